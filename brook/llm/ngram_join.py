@@ -137,44 +137,90 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(common * 180 >= (F.col("na") + F.col("nb")) * 80).select("a", "b")
 
 
-def _fits(x: str, y: str) -> Column:
+def _fits(x: str, y: str, tight: bool = False) -> Column:
     """Length and positional filters of two postings of one token: sizes, places in the order of rarity."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
     rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at"))
-    before = F.least(F.col(f"{x}at"), F.col(f"{y}at"))
+    # shared shingles that may stand before this one: none if the first EARLIER of both hold none in common
+    before = F.least(F.col(f"{x}i"), F.col(f"{y}i"))
+    before = F.when(before > EARLIER, before).otherwise(F.lit(0)) if tight else before
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & ((rest + before) * 180 >= (n + m) * 80)
 
 
-def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links that span every component of the sets: those of the pivots, and those between what the pivots leave apart."""
-    grouped = sets.groupBy("prefix", "n").agg(F.min("sid").alias("gid"), F.min("single").alias("single"))
-    grouped = materialize(grouped)
-    members = materialize(sets.join(grouped.drop("single"), ["prefix", "n"]).select("sid", "gid"))
-    entries = grouped.select("gid", "n", F.posexplode("prefix").alias("at", "token"), "single").withColumn("at", F.col("at") + F.col("single")).drop("single")
-    entries = materialize(entries)
-    pivots = entries.groupBy("token").agg(F.min(F.struct("gid", F.col("n").alias("pn"), F.col("at").alias("pat"))).alias("p"), F.count("*").alias("c")).where("c > 1")
-    to_pivot = entries.join(pivots.select("token", "p.*").withColumnRenamed("gid", "pivot"), "token").where("gid <> pivot")
-    to_pivot = to_pivot.withColumns({"xn": F.col("n"), "xat": F.col("at"), "yn": F.col("pn"), "yat": F.col("pat")}).where(_fits("x", "y"))
-    first = to_pivot.select(F.col("gid").alias("a"), F.col("pivot").alias("b")).union(members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b")))
-    by_pivot = materialize(verify(first.distinct(), sets))
-    # what the pivots have linked needs no other link
-    label = components(by_pivot)
-    labelled = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    labelled = materialize(labelled)
-    spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    lists = entries.join(spread, "gid")
-    open_ = lists.groupBy("token").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).where("tlo <> thi").select("token")
-    # within a list, entries of one label and size need no pair among themselves
-    lists = materialize(lists.join(open_, "token"))
-    x = lists.select("token", *[F.col(c).alias(f"x{c}") for c in ("gid", "n", "at", "lo", "hi")])
-    y = lists.select("token", *[F.col(c).alias(f"y{c}") for c in ("gid", "n", "at", "lo", "hi")])
+#: Rounds of pivots before the rest of the pairs are formed.
+ROUNDS = 3
+#: So many shared shingles before a posting go with it, so that a pair is formed at its first common one.
+EARLIER = 32
+#: Words of 64 parity bits for each set, a power of two.
+LANES = 16
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(sid, own parities): 64 * LANES bits of each set, each the parity of the shared shingles that hash to it."""
+    tokens = sets.select("sid", F.explode("tokens").alias("t")).select("sid", F.xxhash64("t").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int"))
+    tokens = tokens.select("sid", F.col("h").bitwiseAND(F.lit(LANES - 1)).alias("lane"), bit.alias("bit"))
+    return tokens.groupBy("sid").agg(*[F.coalesce(F.expr(f"bit_xor(CASE WHEN lane = {i} THEN bit END)"), F.lit(0).cast("long")).alias(f"q{i}") for i in range(LANES)])
+
+
+def _may_overlap() -> Column:
+    """Parities that differ show shared shingles that only one of two sets has: an upper bound of what they have in common."""
+    differ = lambda i: F.col(f"xq{i}").bitwiseXOR(F.col(f"yq{i}")).bitwiseAND(F.col(f"xs{i}")).bitwiseAND(F.col(f"ys{i}"))
+    apart = sum((F.bit_count(differ(i)) for i in range(LANES)), F.lit(0))
+    most = (F.col("xshared") + F.col("yshared") - apart) * 90
+    return F.coalesce(most >= (F.col("xn") + F.col("yn")) * 80, F.lit(True))
+
+
+def _marks(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(eid, q0.., s0..): parities of the sets behind each entry, and the bits in which they all agree."""
+    each = named.select("eid", "sid").join(parities(sets), "sid").groupBy("eid")
+    same = [F.expr(f"~(bit_or(q{i}) ^ bit_and(q{i}))").alias(f"s{i}") for i in range(LANES)]
+    return each.agg(*[F.expr(f"bit_and(q{i})").alias(f"q{i}") for i in range(LANES)], *same)
+
+
+def _to_pivots(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each group with one of its list, chosen anew in each turn."""
+    x = lists.select("token", *[F.col(c).alias(f"x{c}") for c in ("gid", "n", "at", "i", "lo", "hi")])
+    y = lists.select("token", *[F.col(c).alias(f"y{c}") for c in ("gid", "n", "at", "i", "lo", "hi")])
+    y = y.groupBy("token").agg(F.min_by(F.struct("ygid", "yn", "yat", "yi", "ylo", "yhi"), F.struct(F.xxhash64("ygid", F.lit(turn)), "ygid")).alias("y")).select("token", "y.*")
     apart = ~((F.col("xlo") == F.col("xhi")) & (F.col("ylo") == F.col("yhi")) & (F.col("xlo") == F.col("ylo")))
-    pairs = x.join(y, "token").where((F.col("xgid") < F.col("ygid")) & _fits("x", "y") & apart).select("xgid", "ygid").distinct()
-    within = spread.where("lo <> hi").select(F.col("gid").alias("xgid"), F.col("gid").alias("ygid"))
-    one = labelled.select(F.col("gid").alias("xgid"), F.col("sid").alias("a"), F.col("label").alias("la"))
-    two = labelled.select(F.col("gid").alias("ygid"), F.col("sid").alias("b"), F.col("label").alias("lb"))
-    rest = pairs.union(within).join(one, "xgid").join(two, "ygid").where("la <> lb").where((F.col("xgid") != F.col("ygid")) | (F.col("a") < F.col("b"))).select("a", "b")
-    return by_pivot, materialize(verify(rest.distinct(), sets))
+    return x.join(y, "token").where((F.col("xgid") != F.col("ygid")) & _fits("x", "y") & apart).select(F.col("xgid").alias("a"), F.col("ygid").alias("b"))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Verified links that span every component of the sets: those with pivots, then all those between what the pivots leave apart."""
+    grouped = materialize(sets.groupBy("prefix", "n").agg(F.min("sid").alias("gid"), F.min("single").alias("single")))
+    members = materialize(sets.join(grouped.select("prefix", "n", "gid"), ["prefix", "n"]).select("sid", "gid"))
+    entries = grouped.select("gid", "n", F.posexplode("prefix").alias("i", "token"), "single").withColumn("at", F.col("single") + F.col("i")).drop("single")
+    entries = materialize(entries)
+    found = materialize(verify(members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b")), sets))
+    for i in range(ROUNDS + 1):
+        label = components(found)
+        labelled = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        labelled = materialize(labelled)
+        spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        lists = entries.join(spread, "gid")
+        # a list of one label needs no pair
+        open_ = lists.groupBy("token").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).where("tlo <> thi").select("token")
+        lists = materialize(lists.join(open_, "token"))
+        if i < ROUNDS:
+            pairs = _to_pivots(lists, i)
+        else:
+            # a group of several labels is taken apart into its members
+            whole = F.when(F.col("lo") == F.col("hi"), F.col("gid")).otherwise(F.col("sid"))
+            named = materialize(labelled.join(spread, "gid").select("gid", "sid", "label", whole.alias("eid")))
+            first = F.slice("prefix", 1, EARLIER)
+            lists = lists.drop("lo", "hi").join(grouped.select("gid", first.alias("own"), (F.col("n") - F.col("single")).alias("shared")), "gid")
+            lists = lists.withColumn("own", F.slice("own", F.lit(1), F.col("i"))).join(named.select("gid", "eid", "label").distinct(), "gid").join(_marks(named, sets), "eid")
+            x = lists.select("token", *[F.col(c).alias(f"x{c}") for c in lists.columns if c != "token"])
+            y = lists.select("token", *[F.col(c).alias(f"y{c}") for c in lists.columns if c != "token"])
+            meet = (F.col("xeid") < F.col("yeid")) & (F.col("xlabel") != F.col("ylabel")) & _fits("x", "y", tight=True) & ~F.arrays_overlap("xown", "yown") & _may_overlap()
+            pairs = x.join(y, "token").where(meet).select("xeid", "yeid").distinct()
+            one = named.select(F.col("eid").alias("xeid"), F.col("sid").alias("a"))
+            two = named.select(F.col("eid").alias("yeid"), F.col("sid").alias("b"))
+            pairs = pairs.join(one, "xeid").join(two, "yeid").select("a", "b")
+        found = materialize(found.union(verify(pairs.distinct(), sets)))
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -190,8 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # at most 2**15 buckets, so that a shingle's 48 bits and its bucket fit a long
     buckets = min(1 << 15, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = materialize(candidates(shared_shingles(dealt(docs, buckets, words))))
-    by_pivot, rest = links(sets)
-    label = components(by_pivot.union(rest))
+    label = components(links(sets))
     least = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
     classes = least.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     roots = classes.where(F.col("first").isNotNull()).groupBy("label").agg(F.min("first").alias("component_id"))
