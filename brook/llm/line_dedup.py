@@ -60,8 +60,9 @@ def _by_rarity(classes: list[list[int]]) -> Column:
     if not every:
         return rest
     rare = F.filter(rest, lambda t: ~t.isin(every))
+    within = lambda c: F.filter(rest, lambda t: t.isin(c))
     for c in reversed(classes):
-        parts.append(F.filter(rest, lambda t, c=c: t.isin(c)))
+        parts.append(within(c))
     common = F.concat(rare, *parts)
     return F.when(F.size(rare) >= _prefix_length(F.col("n")), rare).otherwise(common)
 
