@@ -1,10 +1,11 @@
 """Line deduplication by an exact set-similarity join on lines.
 
 A line's tokens are its five-word shingles (lower case). Lines with equal token sets collapse into
-the earliest. Tokens are ordered by rarity: those found to be frequent come last, by classes of
-their count; ties go by hash. The prefix of a line with n tokens is its first n - ceil(0.8 n) + 1,
-and lines of Jaccard 0.8 or more share a prefix token. Length and positional filters thin the
-pairs of a token's postings, which are then verified, and each line that matches an earlier one goes.
+the earliest. The prefix of a line with n tokens is the first n - ceil(0.8 n) + 1 in the order of
+their hashes, and lines of Jaccard 0.8 or more share a prefix token. Tokens that stand in one
+prefix only, the rarest, drop out. Length and positional filters thin the pairs of a token's
+postings, which are then verified. Lines that match, directly or through others, form a class, of
+which the earliest stays.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, read
+from .graph import components
+from .ngram_join import links
 
 WORDS = 5
-#: A token in more prefixes than this is frequent; the FREQUENT most frequent ones are ordered last.
-FREQUENT_FROM, FREQUENT = 32, 2048
 
 
 def _key() -> Column:
@@ -43,69 +44,37 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return _hashed(keyed.select("id", "dk", F.posexplode("_l").alias("no", "line"))).drop("line")
 
 
-def frequent_tokens(lines: DataFrame) -> list[list[int]]:
-    """Classes of frequent tokens, the most frequent first: at most FREQUENT tokens in all."""
-    first = lines.select(F.explode(F.slice("tokens", F.lit(1), _prefix_length(F.col("n")))).alias("t"))
-    top = first.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT_FROM).orderBy(F.desc("c"), "t").limit(FREQUENT).collect()
-    classes: dict[int, list[int]] = {}
-    for r in top:
-        classes.setdefault(int(r["c"]).bit_length(), []).append(r["t"])
-    return [classes[k] for k in sorted(classes, reverse=True)]
-
-
-def _by_rarity(classes: list[list[int]]) -> Column:
-    """Tokens (sorted by hash) with the frequent ones moved to the end, the most frequent last."""
-    parts, rest = [], F.col("tokens")
-    every = [t for c in classes for t in c]
-    if not every:
-        return rest
-    rare = F.filter(rest, lambda t: ~t.isin(every))
-    within = lambda c: F.filter(rest, lambda t: t.isin(c))
-    for c in reversed(classes):
-        parts.append(within(c))
-    common = F.concat(rare, *parts)
-    return F.when(F.size(rare) >= _prefix_length(F.col("n")), rare).otherwise(common)
-
-
 def later_matches(docs: DataFrame) -> DataFrame:
     """(dk, no): the lines that match an earlier one."""
-    lines = lines_of(docs)
-    classes = frequent_tokens(lines)
-    ordered = F.slice(_by_rarity(classes), F.lit(1), _prefix_length(F.col("n")))
     place = F.struct("id", "dk", "no")
-    own = materialize(lines.select(place.alias("place"), F.xxhash64("tokens").alias("sid"), "n", ordered.alias("prefix")))
+    first = F.slice("tokens", F.lit(1), _prefix_length(F.col("n")))
+    own = materialize(lines_of(docs).select(place.alias("place"), F.xxhash64("tokens").alias("sid"), "n", first.alias("prefix")))
     sets = materialize(own.groupBy("sid", "n").agg(F.min("place").alias("first"), F.first("prefix").alias("prefix")))
+    own = own.select("sid", "place")
+    # a token in one prefix only links nothing
     postings = sets.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
     span = Window.partitionBy("token")
-    postings = postings.withColumns({"lo": F.min("sid").over(span), "hi": F.max("sid").over(span)}).where("lo <> hi").drop("lo", "hi")
-    postings = materialize(postings)
-    x = postings.select("token", *[F.col(c).alias(f"x{c}") for c in ("sid", "n", "at")])
-    y = postings.select("token", *[F.col(c).alias(f"y{c}") for c in ("sid", "n", "at")])
-    n, m = F.col("xn"), F.col("yn")
-    alike = (n * 5 >= m * 4) & (m * 5 >= n * 4)
-    position = (F.least("xat", "yat") + F.least(n - F.col("xat"), m - F.col("yat"))) * 180 >= (n + m) * 80
-    pairs = materialize(x.join(y, "token").where((F.col("xsid") < F.col("ysid")) & alike & position).select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct())
+    postings = postings.withColumns({"lo": F.min("sid").over(span), "hi": F.max("sid").over(span)}).where("lo <> hi")
+    shared = postings.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("own"))
+    shared = materialize(shared.select("sid", F.col("own.token").alias("prefix")).join(sets.select("sid", "first"), "sid"))
     # the candidates' tokens are taken again from the documents that hold their first lines
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    where = materialize(sets.join(wanted, "sid").select("sid", "first"))
-    texts = docs.select(_key().alias("dk"), F.col("text").cast("string").alias("text")).join(where.groupBy(F.col("first.dk").alias("dk")).agg(F.collect_set("first.no").alias("nos")), "dk")
-    chosen = texts.select("dk", F.explode("nos").alias("no"), "text").select("dk", "no", F.split("text", "\n")[F.col("no")].alias("line")).dropDuplicates(["dk", "no"])
-    tokens = _hashed(chosen).select(F.xxhash64("tokens").alias("sid"), "n", "tokens")
-    tokens = materialize(tokens.dropDuplicates(["sid"]).join(where, "sid"))
-    left = tokens.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("first").alias("fa"))
-    right = tokens.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("first").alias("fb"))
-    met = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("ta", "tb")) * 180 >= (F.col("na") + F.col("nb")) * 80)
-    beaten = met.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct().withColumn("beaten", F.lit(True))
-    state = sets.select("sid", "first").join(beaten, "sid", "left")
-    gone = own.select("sid", "place").join(state, "sid").where((F.col("place") != F.col("first")) | F.col("beaten"))
-    return gone.select("place.dk", "place.no").distinct()
+    wanted = shared.groupBy(F.col("first.dk").alias("dk")).agg(F.collect_set("first.no").alias("nos"))
+    texts = docs.select(_key().alias("dk"), F.col("text").cast("string").alias("text")).join(wanted, "dk")
+    chosen = texts.select("dk", F.explode("nos").alias("no"), F.split("text", "\n").alias("_l")).select("dk", "no", F.get("_l", F.col("no")).alias("line"))
+    tokens = _hashed(chosen).select(F.xxhash64("tokens").alias("sid"), "n", "tokens").dropDuplicates(["sid"])
+    linked = links(materialize(tokens.join(shared.select("sid", "prefix"), "sid").withColumn("single", F.lit(0))))
+    classes = components(linked).withColumnRenamed("node", "sid").join(sets.select("sid", "first"), "sid")
+    best = classes.groupBy("label").agg(F.min("first").alias("best"))
+    better = classes.join(best, "label").select("sid", "best")
+    state = sets.select("sid", "first").join(better, "sid", "left").select("sid", F.coalesce("best", "first").alias("best"))
+    return own.join(state, "sid").where(F.col("place") != F.col("best")).select("place.dk", "place.no").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, the text without the lines that match an earlier line, and n_lines and n_removed.
 
-    Earlier is by (doc_id, row, line). A line goes if any earlier line has a Jaccard of 0.8 or more
-    with it, whether that one stays or not. Lines of under five words always stay. A null text
+    Earlier is by (doc_id, row, line). Lines with a Jaccard of 0.8 or more match; of lines that
+    match, directly or through others, the earliest stays. Lines of under five words always stay. A null text
     stays null, an empty one empty. Identical rows are decided as one and keep the same lines. A
     null doc_id comes last. Columns n_lines and n_removed of `docs` are replaced. No rows give no rows."""
     gone = later_matches(docs).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("no").alias("_nos"))
@@ -126,18 +95,21 @@ QUERIES = {"op4_line_set_join": op4_line_set_join}
 
 ORACLE = {
     "op4_line_set_join": r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
 w AS (SELECT doc_id, no, x, list_filter(string_split_regex(lower(x), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM l),
 s AS (SELECT doc_id, no, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
 k AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, no))) AS k, len(s) AS n FROM s GROUP BY s),
 t AS (SELECT k, n, hash(unnest(s)) AS t FROM k),
 hit AS (
-  SELECT DISTINCT y.k FROM (
-    SELECT x.k AS a, y.k, x.n AS xn, y.n AS yn, count(*) AS i FROM t x JOIN t y ON x.t = y.t AND x.k < y.k GROUP BY ALL) y
+  SELECT a, b FROM (
+    SELECT x.k AS a, y.k AS b, x.n AS xn, y.n AS yn, count(*) AS i FROM t x JOIN t y ON x.t = y.t AND x.k < y.k GROUP BY ALL)
   WHERE 100 * i >= 80 * (xn + yn - i)),
+edge AS (SELECT a, b FROM hit UNION ALL SELECT b, a FROM hit),
+reach AS (SELECT k, k AS c FROM k UNION SELECT r.k, e.b FROM reach r JOIN edge e ON e.a = r.c),
+class AS (SELECT k, min(c) AS c FROM reach GROUP BY k),
 gone AS (
-  SELECT doc_id, no FROM (SELECT s.doc_id, s.no, k.k, row_number() OVER (PARTITION BY k.k ORDER BY s.doc_id, s.no) AS r FROM s JOIN k ON s.s = k.s)
-  WHERE r > 1 OR k IN (SELECT k FROM hit)),
+  SELECT doc_id, no FROM (SELECT s.doc_id, s.no, row_number() OVER (PARTITION BY c ORDER BY s.doc_id, s.no) AS r FROM s JOIN k ON s.s = k.s JOIN class ON class.k = k.k)
+  WHERE r > 1),
 kept AS (
   SELECT l.doc_id, count(*)::INTEGER AS n_lines, count(gone.no)::INTEGER AS n_removed,
     coalesce(string_agg(x, chr(10) ORDER BY l.no) FILTER (gone.no IS NULL), '') AS text
