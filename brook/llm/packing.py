@@ -11,7 +11,6 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +32,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             for at in range(0, len(texts), 128):
                 rows: list[tuple] = []
                 for doc, ids in zip(ids_of[at : at + 128], own.encode([x or "" for x in texts[at : at + 128]]), strict=True):
-                    flat = np.array([*ids, 0], dtype="<u4")
-                    for k, start in enumerate(range(0, len(flat), capacity)):
-                        part = flat[start : start + capacity]
-                        rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
+                    flat = ids + b"\0\0\0\0"
+                    for k, start in enumerate(range(0, len(flat) // 4, capacity)):
+                        part = flat[4 * start : 4 * (start + capacity)]
+                        rows.append((doc, k, start, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
