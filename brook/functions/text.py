@@ -47,6 +47,11 @@ def without_repetitions(text: str | None, shortest: int = 3, longest: int = 8, m
     return " ".join(words)
 
 
-@F.pandas_udf("string")
-def remove_repetitions(texts: pd.Series) -> pd.Series:
-    return texts.map(without_repetitions)
+def remove_repetitions(text) -> Column:
+    """Column form of `without_repetitions`, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(without_repetitions)
+
+    return clean(text)

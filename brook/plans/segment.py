@@ -12,7 +12,10 @@ from .registry import CHUNKS, Plans, chunks
 plans = Plans()
 QUERIES, ORACLE = plans.queries, plans.oracle
 KEY = "session_id"
-ORDERED = Window.partitionBy(KEY).orderBy("seq")
+
+
+def _ordered():
+    return Window.partitionBy(KEY).orderBy("seq")
 
 
 def _fold(spark, sf_dir, machine, schema, **extra):
@@ -111,15 +114,15 @@ def wake_capture(spark, sf_dir):
 s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY seq) AS segment FROM g)
 SELECT session_id, segment::BIGINT AS segment, min(seq) AS start_seq, max(seq) AS end_seq, count(*) AS n FROM s GROUP BY ALL""")
 def segment_gaps(spark, sf_dir):
-    gap = F.coalesce((F.col("ts") - F.lag("ts").over(ORDERED) > F.expr("INTERVAL 12 HOURS")).cast("int"), F.lit(0))
-    df = chunks(spark, sf_dir).select(KEY, "seq", gap.alias("new")).withColumn("segment", F.sum("new").over(ORDERED))
+    gap = F.coalesce((F.col("ts") - F.lag("ts").over(_ordered()) > F.expr("INTERVAL 12 HOURS")).cast("int"), F.lit(0))
+    df = chunks(spark, sf_dir).select(KEY, "seq", gap.alias("new")).withColumn("segment", F.sum("new").over(_ordered()))
     return df.groupBy(KEY, "segment").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
 
 
 @plans.query(f"""WITH {CHUNKS}, s AS (SELECT session_id, seq, round(avg(prob) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS p FROM chunks)
 SELECT session_id, seq, p AS smoothed, p >= 0.5 AS is_speech, p >= least(0.7, 0.65) AS is_speech_aggressive FROM s""")
 def smooth_prob(spark, sf_dir):
-    p = F.round(F.avg("prob").over(ORDERED.rowsBetween(-2, 0)), 9)
+    p = F.round(F.avg("prob").over(_ordered().rowsBetween(-2, 0)), 9)
     df = chunks(spark, sf_dir).select(KEY, "seq", p.alias("smoothed"))
     return df.select("*", (F.col("smoothed") >= 0.5).alias("is_speech"), (F.col("smoothed") >= min(0.7, 0.65)).alias("is_speech_aggressive"))
 
@@ -127,13 +130,13 @@ def smooth_prob(spark, sf_dir):
 @plans.query(f"""WITH {CHUNKS} SELECT session_id, seq, prob >= 0.5 AS kept, last_value(CASE WHEN prob >= 0.5 THEN value END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_kept FROM chunks""")
 def speech_gate(spark, sf_dir):
     kept = F.col("prob") >= 0.5
-    last = F.last(F.when(kept, F.col("value")), ignorenulls=True).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(kept, F.col("value")), ignorenulls=True).over(_ordered().rowsBetween(Window.unboundedPreceding, 0))
     return chunks(spark, sf_dir).select(KEY, "seq", kept.alias("kept"), last.alias("last_kept"))
 
 
 @plans.query(f"""WITH {CHUNKS} SELECT session_id, seq, row_number() OVER w AS chunk, round(sum(value) OVER w, 4) AS seconds FROM chunks WINDOW w AS (PARTITION BY session_id ORDER BY seq)""")
 def running_chunks(spark, sf_dir):
-    return chunks(spark, sf_dir).select(KEY, "seq", F.row_number().over(ORDERED).cast("long").alias("chunk"), F.round(F.sum("value").over(ORDERED), 4).alias("seconds"))
+    return chunks(spark, sf_dir).select(KEY, "seq", F.row_number().over(_ordered()).cast("long").alias("chunk"), F.round(F.sum("value").over(_ordered()), 4).alias("seconds"))
 
 
 @plans.query(f"""WITH {CHUNKS}, s AS (SELECT session_id, seq, sum(value) OVER (PARTITION BY session_id ORDER BY seq DESC) AS t FROM chunks) SELECT session_id, seq FROM s WHERE t <= 500""")
