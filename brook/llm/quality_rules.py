@@ -81,14 +81,15 @@ def frequent_lines(docs: DataFrame) -> DataFrame:
     return per.where("kept_words < all_words")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """One row for each document: the counts, base_failed and kept.
 
     A null text is empty and fails for want of words; a null source is a host of its own. Equal
     texts count once in a line's documents, so mere copies do not reject each other. Repeated rows
     get the same verdict. Other columns are ignored. No rows give no rows."""
     base = materialize(counts(docs))
-    lines = frequent_lines(docs).select(F.col("dk").alias("_dk"), "all_words", "kept_words")
+    frequent = frequent_lines(docs) if frequent is None else frequent
+    lines = frequent.select(F.col("dk").alias("_dk"), "all_words", "kept_words")
     # of a repeated row, both sums are multiples: their ratio is one row's
     left = F.when(F.col("_dk").isNull(), F.col("n_words")).otherwise(F.floor(F.col("n_words") * F.col("kept_words") / F.col("all_words"))).cast("long")
     out = base.join(lines, F.col("dk") == F.col("_dk"), "left").withColumn("left_words", left)
@@ -98,8 +99,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines above the limit; all columns of `docs` stay."""
-    good = judge(docs).where("kept").select(F.col("dk").alias("_dk")).distinct()
-    cut = frequent_lines(docs).select(F.col("dk").alias("_dk"), "lines")
+    frequent = materialize(frequent_lines(docs))
+    good = judge(docs, frequent).where("kept").select(F.col("dk").alias("_dk")).distinct()
+    cut = frequent.select(F.col("dk").alias("_dk"), "lines")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.withColumn("_key", key).join(good.join(cut, "_dk", "left"), F.col("_key") == F.col("_dk"))
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("lines"), _line_key(x))), "\n")
