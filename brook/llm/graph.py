@@ -25,13 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        large = materialize(large)
         low = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("k"), "m")
         small = large.join(low, F.col("b") == F.col("k")).select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         small = materialize(small.select("e.a", "e.b").where("a <> b").distinct())
         after = _state(small)
-        for old in (edges, large):
-            drop_table(old)
+        drop_table(edges)
         edges = small
         if after == before:
             break

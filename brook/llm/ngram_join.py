@@ -147,7 +147,7 @@ def _fits(x: str, y: str, tight: bool = False) -> Column:
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & ((rest + before) * 180 >= (n + m) * 80)
 
 
-#: Rounds of pivots before the rest of the pairs are formed.
+#: Rounds of pivots at most before the rest of the pairs are formed.
 ROUNDS = 3
 #: So many shared shingles before a posting go with it, so that a pair is formed at its first common one.
 EARLIER = 32
@@ -194,6 +194,7 @@ def links(sets: DataFrame) -> DataFrame:
     entries = grouped.select("gid", "n", F.posexplode("prefix").alias("i", "token"), "single").withColumn("at", F.col("single") + F.col("i")).drop("single")
     entries = materialize(entries)
     found = materialize(verify(members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b")), sets))
+    before = None
     for i in range(ROUNDS + 1):
         label = components(found)
         labelled = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -203,7 +204,13 @@ def links(sets: DataFrame) -> DataFrame:
         # a list of one label needs no pair
         open_ = lists.groupBy("token").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).where("tlo <> thi").select("token")
         lists = materialize(lists.join(open_, "token"))
-        if i < ROUNDS:
+        rows = lists.count()
+        if not rows:
+            break
+        # pivots go on while they shorten the lists by a tenth at least
+        last = i == ROUNDS or (before is not None and rows * 10 > before * 9)
+        before = rows
+        if not last:
             pairs = _to_pivots(lists, i)
         else:
             # a group of several labels is taken apart into its members
@@ -220,6 +227,8 @@ def links(sets: DataFrame) -> DataFrame:
             two = named.select(F.col("eid").alias("yeid"), F.col("sid").alias("b"))
             pairs = pairs.join(one, "xeid").join(two, "yeid").select("a", "b")
         found = materialize(found.union(verify(pairs.distinct(), sets)))
+        if last:
+            break
     return found
 
 

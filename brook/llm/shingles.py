@@ -41,18 +41,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One uint64 per word, in order."""
-    raw = LOWER[np.frombuffer(text, dtype=np.uint8)]
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One uint64 per word, in order, and the words' places in the bytes."""
+    raw = LOWER[raw]
     inside = np.concatenate(([False], ~SPACE[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     if not len(edges):
-        return np.empty(0, dtype=_U)
+        return np.empty(0, dtype=_U), edges
     start, end = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
         sums = np.concatenate(([_U(0)], np.cumsum((raw.astype(_U) + _U(1)) * _power(_BASE, len(raw)))))
         own = (sums[end] - sums[start]) * _power(_INVERSE, len(raw))[start]
-        return mix(own + (end - start).astype(_U))
+        return mix(own + (end - start).astype(_U)), start
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """One uint64 per word, in order."""
+    return word_spans(np.frombuffer(text, dtype=np.uint8))[0]
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
