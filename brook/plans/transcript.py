@@ -203,3 +203,40 @@ def alias_parse(spark, sf_dir):
 @plans.query("SELECT doc_id, 'transcript' AS text, 0.0::DOUBLE AS duration FROM documents")
 def dummy_transcribe(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lit("transcript").alias("text"), F.lit(0.0).alias("duration"))
+
+
+@plans.query("SELECT event_id, md5(event_id::VARCHAR) AS request_id, '{\"request_id\":\"' || md5(event_id::VARCHAR) || '\",\"task\":\"' || event_type || '\",' || CASE WHEN event_type <> 'error' THEN '\"result\":{\"user\":' || user_id || ',\"is_final\":' || (event_type = 'purchase') || '}}' ELSE '\"error\":{\"message\":\"failed\"}}' END AS envelope FROM events")
+def envelope_json(spark, sf_dir):
+    """Each event as a JSON envelope that holds a result or an error; the request id follows from the event's."""
+    ok, request = F.col("event_type") != "error", F.md5(F.col("event_id").cast("string"))
+    result = F.when(ok, F.struct(F.col("user_id").alias("user"), (F.col("event_type") == "purchase").alias("is_final")))
+    error = F.when(~ok, F.struct(F.lit("failed").alias("message")))
+    body = F.struct(request.alias("request_id"), F.col("event_type").alias("task"), result.alias("result"), error.alias("error"))
+    return table(spark, sf_dir, "events").select("event_id", request.alias("request_id"), F.to_json(body).alias("envelope"))
+
+
+@plans.query("SELECT doc_id, CASE WHEN strlen(text) < 1000 THEN 'too small' END AS error, CASE WHEN strlen(text) < 1000 THEN NULL WHEN contains(text, 'token = ') THEN '' ELSE trim(text) END AS text FROM documents")
+def transcribe_pipeline(spark, sf_dir):
+    """The scoring path with the decoder's output given: size check, blanking of corrupt output, trimming; a text or an error."""
+    small = F.octet_length("text") < 1000
+    clean = F.when(F.col("text").contains("token = "), "").otherwise(F.trim("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(small, "too small").alias("error"), F.when(~small, clean).alias("text"))
+
+
+@plans.query(f"""WITH {CHUNKS}, m AS (
+  SELECT session_id, seq, event_type AS t,
+    last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark,
+    count(*) FILTER (event_type = 'signup') OVER (PARTITION BY session_id ORDER BY seq) AS run,
+    count(*) FILTER (event_type NOT IN ('signup', 'error')) OVER (PARTITION BY session_id ORDER BY seq) AS n FROM chunks),
+s AS (SELECT *, max(CASE WHEN t = 'signup' THEN n ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS n0 FROM m)
+SELECT session_id, seq, run, CASE WHEN t = 'signup' THEN 'started' WHEN mark IS DISTINCT FROM 'signup' THEN 'ignored' WHEN t = 'error' THEN 'final' ELSE 'chunk' END AS outcome,
+  CASE WHEN t <> 'signup' AND mark = 'signup' THEN n - n0 ELSE 0 END AS n_chunks FROM s""")
+def session_lifecycle(spark, sf_dir):
+    """Sign-ups start a session (anew), errors end it; chunks in between are counted, those before a start or after the end ignored."""
+    order = Window.partitionBy("session_id").orderBy("seq")
+    t, so_far = F.col("event_type"), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = F.last(F.when(t.isin("signup", "error"), t), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    df = chunks(spark, sf_dir).select("session_id", "seq", "event_type", mark.alias("mark"), F.count_if(t == "signup").over(so_far).alias("run"), F.count_if(~t.isin("signup", "error")).over(so_far).alias("n"))
+    df = df.withColumn("n0", F.max(F.when(t == "signup", F.col("n")).otherwise(0)).over(so_far)).withColumn("open", F.coalesce(F.col("mark") == "signup", F.lit(False)))
+    outcome = F.when(t == "signup", "started").when(~F.col("open"), "ignored").when(t == "error", "final").otherwise("chunk")
+    return df.select("session_id", "seq", "run", outcome.alias("outcome"), F.when((t != "signup") & F.col("open"), F.col("n") - F.col("n0")).otherwise(0).alias("n_chunks"))
