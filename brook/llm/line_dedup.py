@@ -7,131 +7,62 @@ that share no such token with another drop out. Those left, the candidates, are
 rarity among them. Length and positional filters thin the pairs of a token's postings, which are
 then verified. Lines that match, directly or through others, form a class, of which the earliest
 stays.
-
-Shingles are hashed in Arrow tasks: as column expressions they took more than twice the CPU time
-that the whole operator may take.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import SPACES, materialize, read
 from .graph import components
 from .ngram_join import candidates, links
-from .shingles import mix, shingle_hashes, word_spans
 
 WORDS = 5
-#: Bytes of whole lines that are hashed at once.
-PIECE = 1 << 20
-_U = np.uint64
-
-
-def _text() -> Column:
-    return F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, a newline after each, and the places of these newlines."""
-    raw = "\n".join([*texts.to_pylist(), ""]).encode()
-    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.frombuffer(raw, dtype=np.uint8), np.cumsum(sizes + 1) - 1
-
-
-def _token_sets(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of lines that end at `ends`: numbers of the lines of at least WORDS words, their
-    sizes, and their sorted distinct tokens one after the other."""
-    at, begin = 0, 0
-    while at < len(ends):
-        stop = max(at + 1, int(np.searchsorted(ends, begin + PIECE)))
-        hashes, starts = word_spans(raw[begin : ends[stop - 1]])
-        line = at + np.searchsorted(ends[at:stop] - begin, starts)
-        if len(hashes) >= WORDS:
-            whole = line[: -(WORDS - 1)] == line[WORDS - 1 :]
-            tokens, owner = shingle_hashes(hashes, WORDS)[whole].view(np.int64), line[: -(WORDS - 1)][whole]
-            order = np.lexsort((tokens, owner))
-            tokens, owner = tokens[order], owner[order]
-            fresh = np.ones(len(tokens), dtype=bool)
-            fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-            tokens, owner = tokens[fresh], owner[fresh]
-            if len(tokens):
-                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                yield owner[first], np.diff(np.append(first, len(owner))), tokens
-        at, begin = stop, int(ends[stop - 1]) + 1
-
-
-def _set_ids(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    starts = np.cumsum(sizes) - sizes
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(mix(tokens.view(_U)), starts) + sizes.astype(_U)).view(np.int64)
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Add `tokens`, the sorted set of shingle hashes, to rows with a column `line`; lines of under WORDS words go."""
+    words = F.filter(F.split(F.lower("line"), SPACES), lambda w: w != "")
+    lines = lines.withColumn("_w", words).where(F.size("_w") >= WORDS)
+    lines = lines.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    shingles = F.slice(F.transform("_h", lambda _, i: F.xxhash64(F.slice(F.col("_h"), i + 1, F.lit(WORDS)))), F.lit(1), F.size("_h") - (WORDS - 1))
+    return lines.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("_w", "_h").withColumn("n", F.size("tokens"))
+
+
+def _prefix_length(n: Column) -> Column:
+    return (n - F.floor((n * 4 + 4) / 5) + 1).cast("int")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, dk, no, sid, n, prefix) for each line of at least WORDS words: its place, the id and size
-    of its token set and the set's prefix. A null doc_id comes after all others. Of equal sets in
-    a batch only one has its prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, last = _joined(batch.column(2))
-            ends = np.flatnonzero(raw == 10)
-            doc = np.searchsorted(last, ends)
-            no = np.arange(len(ends)) - np.searchsorted(doc, doc)
-            for lines, n, tokens in _token_sets(raw, ends):
-                sid = _set_ids(n, tokens)
-                lead = np.zeros(len(n), dtype=bool)
-                lead[np.unique(sid, return_index=True)[1]] = True
-                size = np.where(lead, n - (4 * n + 4) // 5 + 1, 0)
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-                values = tokens[place < np.repeat(size, n)]
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(values))
-                of = pa.array(doc[lines])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(no[lines], pa.int32()), pa.array(sid), pa.array(n, pa.int32()), prefix], names=["id", "dk", "no", "sid", "n", "prefix"])
-
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), _text().alias("text"))
-    return keyed.mapInArrow(run, "id long, dk long, no int, sid long, n int, prefix array<long>")
-
-
-def token_sets(lines: DataFrame) -> DataFrame:
-    """(sid, n, tokens) of the column `text` of single lower-case lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, last = _joined(batch.column(0))
-            for _, n, tokens in _token_sets(raw, last):
-                sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(n, tokens)), pa.array(n, pa.int32()), sets], names=["sid", "n", "tokens"])
-
-    return lines.select("text").mapInArrow(run, "sid long, n int, tokens array<long>")
+    """(id, dk, no, tokens, n): each line with its place; a null doc_id comes after all others."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), F.split(text, "\n").alias("_l"))
+    return _hashed(keyed.select("id", "dk", F.posexplode("_l").alias("no", "line"))).drop("line")
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(dk, no): the lines that match an earlier one."""
     place = F.struct("id", "dk", "no")
-    own = materialize(lines_of(docs).select(place.alias("place"), "sid", "n", F.when(F.size("prefix") > 0, F.col("prefix")).alias("prefix")))
-    sets = materialize(own.groupBy("sid", "n").agg(F.min("place").alias("first"), F.first("prefix", ignorenulls=True).alias("prefix")))
+    first = F.slice("tokens", F.lit(1), _prefix_length(F.col("n")))
+    own = materialize(lines_of(docs).select(place.alias("place"), F.xxhash64("tokens").alias("sid"), "n", first.alias("prefix")))
+    sets = materialize(own.groupBy("sid", "n").agg(F.min("place").alias("first"), F.first("prefix").alias("prefix")))
     own = own.select("sid", "place")
     # a token in one prefix only links nothing
     postings = sets.select("sid", F.explode("prefix").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
-    shared = postings.join(common, "token").groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
+    shared = postings.join(common, "token").select("sid").distinct()
     shared = materialize(shared.join(sets.select("sid", "first"), "sid"))
     # the candidates' tokens are taken again from the documents that hold their first lines
     wanted = shared.groupBy(F.col("first.dk").alias("dk")).agg(F.collect_set("first.no").alias("nos"))
-    texts = docs.select(_key().alias("dk"), _text().alias("text")).join(wanted, "dk").dropDuplicates(["dk"])
-    chosen = texts.select(F.explode("nos").alias("no"), F.split("text", "\n").alias("_l")).select(F.get("_l", F.col("no")).alias("text"))
-    tokens = materialize(token_sets(chosen))
-    # again prefixes, now in the order of rarity: tokens of one candidate only link nothing, the others come rarest first
+    texts = docs.select(_key().alias("dk"), F.col("text").cast("string").alias("text")).join(wanted, "dk")
+    chosen = texts.select("dk", F.explode("nos").alias("no"), F.split("text", "\n").alias("_l")).select("dk", "no", F.get("_l", F.col("no")).alias("line"))
+    tokens = materialize(_hashed(chosen).select(F.xxhash64("tokens").alias("sid"), "n", "tokens").dropDuplicates(["sid"]))
+    # prefixes again, now in the order of rarity: tokens of one candidate only link nothing, the others come rarest first
     each = tokens.select("sid", "n", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     linked = links(materialize(candidates(each.join(counts, "token"))))
