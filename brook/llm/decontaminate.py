@@ -3,8 +3,9 @@
 Texts are cut into words, and numbers, units and names become typed placeholders, so that a question
 with other figures or names has the same template. Windows of template words are hash-joined with
 those of the benchmark. Matches on one diagonal (same offset between document and item) are taken
-together: the document must cover enough of the item's windows, and its slot values must map to the
-item's one to one, wherever a slot's value recurs.
+together, and so are those on diagonals a few words apart, over which inserted and deleted words deal
+an item. The document must cover enough of the item's windows, and its slot values must map to the
+item's one to one, wherever a slot's value recurs. Placeholders of one type in a row are one slot.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .common import materialize, read
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERED = 0.5
+#: Diagonals at most so many words apart are taken together.
+SHIFT = 8
 #: Windows of a benchmark of at most so many rows are sent to all tasks; a larger one is shuffled.
 BROADCAST_WINDOWS = 200_000
 
@@ -29,13 +32,17 @@ _PARTS = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[.!?:\n]"
 def _templates(df: DataFrame, text: str) -> DataFrame:
     """Add `raw` (words and numbers in order, lower case) and `kind` (`#n`, `#u`, `#p`, or the word itself).
 
-    A name is a capitalised word that does not begin a sentence or line."""
+    A name is a capitalised word that does not begin a sentence or line. Placeholders of one type in
+    a row, with no such begin between them, are one, whose `raw` is all its words."""
     df = df.withColumn("_t", F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(_PARTS), F.lit(0)))
     ends = [".", "!", "?", ":", "\n"]
     typed = F.transform("_t", lambda w, i: F.when(w.isin(ends), None).otherwise(_kind(w, F.get(F.col("_t"), i - 1), ends)))
     df = df.withColumn("_k", typed)
-    df = df.withColumn("kind", F.array_compact("_k"))
-    return df.withColumn("raw", F.transform(F.filter("_t", lambda w: ~w.isin(ends)), lambda w: F.lower(w))).drop("_t", "_k")
+    more = lambda k, i: k.startswith("#") & F.coalesce(F.get(F.col("_k"), i - 1) == k, F.lit(False))
+    df = df.withColumn("kind", F.filter("_k", lambda k, i: k.isNotNull() & ~more(k, i)))
+    # words never hold \x01
+    marked = F.transform("_k", lambda k, i: F.when(k.isNull(), F.lit("")).otherwise(F.concat(F.when(more(k, i), F.lit(" ")).otherwise(F.lit("\x01")), F.lower(F.get(F.col("_t"), i)))))
+    return df.withColumn("raw", F.filter(F.split(F.array_join(marked, ""), "\x01"), lambda w: w != "")).drop("_t", "_k")
 
 
 def _kind(word: Column, before: Column, ends: list[str]) -> Column:
@@ -81,16 +88,27 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("dk"))
     seen = _windows(_templates(keyed, "text"), ["dk"], lengths).join(own, "h")
-    runs = seen.groupBy("dk", "ik", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.countDistinct("ipos").alias("windows"), F.min("ipos").alias("first"), F.max("ipos").alias("last"))
+    diagonals = seen.groupBy("dk", "ik", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at"))
+    # each diagonal alone, and all within two overlapping bands: diagonals SHIFT apart or less share one
+    band = F.floor(F.col("offset") / SHIFT).cast("int")
+    group = lambda wide, n: F.struct(F.lit(wide).alias("wide"), n.cast("int").alias("n"))
+    dealt = diagonals.select("dk", "ik", F.explode(F.array(group(0, F.col("offset")), group(1, band), group(1, band - 1))).alias("band"), F.struct((-F.size("at")).alias("less"), "offset", "at").alias("d"))
+    runs = dealt.groupBy("dk", "ik", "band").agg(F.sort_array(F.collect_list("d")).alias("ds")).where((F.col("band.wide") == 0) | (F.size("ds") > 1))
+    runs = runs.withColumn("at", F.sort_array(F.array_distinct(F.flatten("ds.at"))))
+    # one edited word breaks at most WINDOW windows between two that match; these count as covered
+    bridged = F.transform("at", lambda p, i: p - F.coalesce(F.get(F.col("at"), i - 1), p) - 1)
+    runs = runs.withColumn("windows", F.size("at") + F.aggregate(bridged, F.lit(0), lambda n, g: n + F.when((g > 0) & (g <= WINDOW), g).otherwise(0)))
     runs = materialize(runs.join(per_item, "ik").where(F.col("windows") >= F.col("item_windows") * COVERED))
 
     # slots are compared for the few documents with such runs only
     few = runs.select("dk").distinct()
     texts = _templates(keyed.join(few, "dk").dropDuplicates(["dk"]), "text").select("doc_id", "dk", F.col("raw").alias("draw"))
     met = runs.join(texts, "dk").join(items.select("ik", "item_id", "kind", "raw"), "ik")
-    length = F.col("last") - F.col("first") + F.least(F.lit(WINDOW), F.size("kind"))
-    cut = lambda c, start: F.slice(F.col(c), (start + 1).cast("int"), length.cast("int"))
-    zipped = F.arrays_zip(cut("kind", F.col("first")).alias("k"), cut("raw", F.col("first")).alias("i"), cut("draw", F.col("first") + F.col("offset")).alias("d"))
+    # a window of the item is aligned on that of its diagonals which has the most windows
+    aligned = F.transform("at", lambda p: F.struct(p.alias("p"), (p + F.get(F.filter("ds", lambda d: F.array_contains(d["at"], p)), F.lit(0))["offset"]).alias("q")))
+    met = met.withColumn("_w", aligned).withColumn("offset", F.get("ds", F.lit(0))["offset"])
+    cut = lambda c, start: F.slice(F.col(c), (start + 1).cast("int"), F.least(F.lit(WINDOW), F.size("kind")))
+    zipped = F.flatten(F.transform("_w", lambda w: F.arrays_zip(cut("kind", w["p"]).alias("k"), cut("raw", w["p"]).alias("i"), cut("draw", w["q"]).alias("d"))))
     slot = F.filter(zipped, lambda z: z["k"].isin("#n", "#u", "#p"))
     met = met.withColumn("slots", F.array_distinct(F.transform(slot, lambda z: F.struct(z["k"].alias("k"), z["i"].alias("i"), z["d"].alias("d")))))
     side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"].alias("k"), s[c].alias("v")))))
@@ -104,7 +122,8 @@ def _by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, contaminated, item_ids (sorted), covered (the largest share of an item's windows).
+    """One row for each document: doc_id, contaminated, item_ids (sorted), covered (the largest share of an item's windows,
+    those that one edited word breaks between two matches included).
 
     Null and empty texts match nothing; benchmark items without words are ignored, and an empty
     benchmark matches nothing. Items of under WINDOW words must be matched whole. Repeated rows get

@@ -169,6 +169,19 @@ def test_decontamination(spark):
     assert decontaminate.report(_docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_edited_items(spark):
+    words = "the old mill by the river turns day and night while its keeper counts every sack of flour that leaves the yard before winter".split()
+    trip = "Please tell me how long it takes to go from Paris to Rome by train if it leaves Paris at 9 and stops once in every town"
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, trip)], "item_id long, text string")
+    middle = len(words) // 2
+    texts = [words, words[:middle] + ["really"] + words[middle:], words[:middle] + words[middle + 1 :], words[:middle] + ["really"] + words[middle + 1 :], words[:9]]
+    rows = [(i, "before it. " + " ".join(w) + ". after it", "s") for i, w in enumerate(texts)]
+    other = trip.replace("Paris", "New York").replace("Rome", "Boston").replace("9", "10")
+    rows += [(10, other, "s"), (11, other.replace("leaves New York", "leaves Chicago"), "s")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(_docs(spark, rows), bench).collect()}
+    assert got == {0: [1], 1: [1], 2: [1], 3: [1], 4: [], 10: [2], 11: []}
+
+
 def test_surrogates(spark):
     text = "Mail Ann.B@mail.example.com or +1 (017) 555-7713, +1 017 555 7713 from 1.2.3.4. Frau Weber met Herr Weber; 4651971212855890 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
     rows = [(1, text, "s"), (2, "again ann.b@mail.example.com", "s"), (3, None, "s"), (4, "clean", "s"), (1, text, "s")]
