@@ -5,8 +5,8 @@ the earliest. Lines of Jaccard 0.8 or more share a token among the first n - cei
 in any common order. First the order is that of the tokens' hashes, which needs no counts; lines
 that share no such token with another drop out. Those left, the candidates, are ordered again by
 rarity among them. Length and positional filters thin the pairs of a token's postings, which are
-then verified. Lines that match, directly or through others, form a class, of which the earliest
-stays.
+then verified. A line that matches an earlier one goes, whether that one stays or not: first those
+that match a pivot of a token's postings, then the pairs of those left with all earlier ones.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, read
-from .graph import components
-from .ngram_join import candidates, links
+from .ngram_join import EARLIER, LANES, _fits, _may_overlap, candidates, parities, verify
 
 WORDS = 5
+#: Rounds of pivots before the rest of the pairs are formed.
+ROUNDS = 2
 
 
 def _key() -> Column:
@@ -65,19 +66,41 @@ def later_matches(docs: DataFrame) -> DataFrame:
     # prefixes again, now in the order of rarity: tokens of one candidate only link nothing, the others come rarest first
     each = tokens.select("sid", "n", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    linked = links(materialize(candidates(each.join(counts, "token"))))
-    classes = components(linked).withColumnRenamed("node", "sid").join(sets.select("sid", "first"), "sid")
-    best = classes.groupBy("label").agg(F.min("first").alias("best"))
-    better = classes.join(best, "label").select("sid", "best")
-    state = sets.select("sid", "first").join(better, "sid", "left").select("sid", F.coalesce("best", "first").alias("best"))
-    return own.join(state, "sid").where(F.col("place") != F.col("best")).select("place.dk", "place.no").distinct()
+    beaten = _beaten(materialize(candidates(each.join(counts, "token")).join(sets.select("sid", "first"), "sid")))
+    state = sets.select("sid", "first").join(beaten.withColumn("beaten", F.lit(True)), "sid", "left")
+    return own.join(state, "sid").where((F.col("place") != F.col("first")) | F.col("beaten")).select("place.dk", "place.no").distinct()
+
+
+def _beaten(sets: DataFrame) -> DataFrame:
+    """(sid): the sets that match an earlier one, by `first`."""
+    entries = sets.select("sid", "n", "first", "single", F.posexplode("prefix").alias("i", "token"), F.slice("prefix", 1, EARLIER).alias("own"))
+    entries = entries.withColumn("own", F.slice("own", F.lit(1), F.col("i"))).withColumn("at", F.col("single") + F.col("i"))
+    entries = materialize(entries.withColumn("shared", F.col("n") - F.col("single")).drop("single"))
+    named = lambda df, x: df.select("token", *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != "token"])
+    short = entries.select("token", "sid", "n", "first", "at", "i")
+    gone = None
+    for turn in range(ROUNDS):
+        y = named(short if gone is None else short.join(gone, "sid", "left_anti"), "y")
+        x = named(short, "x")
+        # the earliest of a token's postings, then others
+        by = F.struct("xfirst") if turn == 0 else F.struct(F.xxhash64("xsid", F.lit(turn)), "xsid")
+        x = x.groupBy("token").agg(F.min_by(F.struct("xsid", "xn", "xfirst", "xat", "xi"), by).alias("x")).select("token", "x.*")
+        pairs = x.join(y, "token").where((F.col("xfirst") < F.col("yfirst")) & _fits("x", "y")).select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
+        found = verify(pairs, sets).select(F.col("b").alias("sid")).distinct()
+        gone = materialize(found if gone is None else gone.union(found))
+    marks = parities(sets).withColumns({f"s{i}": F.lit(-1).cast("long") for i in range(LANES)})
+    marked = materialize(entries.join(marks, "sid"))
+    meet = (F.col("xfirst") < F.col("yfirst")) & _fits("x", "y", tight=True) & ~F.arrays_overlap("xown", "yown") & _may_overlap()
+    pairs = named(marked, "x").join(named(marked.join(gone, "sid", "left_anti"), "y"), "token").where(meet)
+    pairs = pairs.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
+    return gone.union(verify(pairs, sets).select(F.col("b").alias("sid"))).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, the text without the lines that match an earlier line, and n_lines and n_removed.
 
-    Earlier is by (doc_id, row, line). Lines with a Jaccard of 0.8 or more match; of lines that
-    match, directly or through others, the earliest stays. Lines of under five words always stay. A null text
+    Earlier is by (doc_id, row, line). A line goes if any earlier line has a Jaccard of 0.8 or more
+    with it, whether that one stays or not. Lines of under five words always stay. A null text
     stays null, an empty one empty. Identical rows are decided as one and keep the same lines. A
     null doc_id comes last. Columns n_lines and n_removed of `docs` are replaced. No rows give no rows."""
     gone = later_matches(docs).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("no").alias("_nos"))

@@ -77,6 +77,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_needs_an_earlier_match_itself(spark):
+    # 1 and 3, 3 and 2 match, 1 and 2 do not: 2 matches no earlier line
+    words = [f"v{i}" for i in range(50)]
+    a, b, c = words[:40], words[6:46], words[3:43]
+    rows = [(1, " ".join(a), "s"), (2, " ".join(b), "s"), (3, " ".join(c), "s")]
+    sets = [_lower_shingles(t) for _, t, _ in rows]
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert alike(0, 2) and alike(1, 2) and not alike(0, 1)
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(_docs(spark, rows)).collect()} == {1: 0, 2: 0, 3: 1}
+
+
 def _lower_shingles(line):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else set()
