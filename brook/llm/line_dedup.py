@@ -26,12 +26,14 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """Add `tokens`, the sorted set of shingle hashes, to rows with a column `line`; lines of under WORDS words go."""
+def _hashed(lines: DataFrame, least: int) -> DataFrame:
+    """Add `tokens`, the sorted set of shingle hashes, to rows with a column `line`; lines of under `least` words go.
+
+    A line of under WORDS words has one shingle, all its words."""
     words = F.filter(F.split(F.lower("line"), SPACES), lambda w: w != "")
-    lines = lines.withColumn("_w", words).where(F.size("_w") >= WORDS)
+    lines = lines.withColumn("_w", words).where(F.size("_w") >= least)
     lines = lines.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    shingles = F.slice(F.transform("_h", lambda _, i: F.xxhash64(F.slice(F.col("_h"), i + 1, F.lit(WORDS)))), F.lit(1), F.size("_h") - (WORDS - 1))
+    shingles = F.slice(F.transform("_h", lambda _, i: F.xxhash64(F.slice(F.col("_h"), i + 1, F.lit(WORDS)))), F.lit(1), F.greatest(F.size("_h") - (WORDS - 1), F.lit(1)))
     return lines.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("_w", "_h").withColumn("n", F.size("tokens"))
 
 
@@ -39,18 +41,18 @@ def _prefix_length(n: Column) -> Column:
     return (n - F.floor((n * 4 + 4) / 5) + 1).cast("int")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(id, dk, no, tokens, n): each line with its place; a null doc_id comes after all others."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), F.split(text, "\n").alias("_l"))
-    return _hashed(keyed.select("id", "dk", F.posexplode("_l").alias("no", "line"))).drop("line")
+    return _hashed(keyed.select("id", "dk", F.posexplode("_l").alias("no", "line")), least).drop("line")
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
+def later_matches(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(dk, no): the lines that match an earlier one."""
     place = F.struct("id", "dk", "no")
     first = F.slice("tokens", F.lit(1), _prefix_length(F.col("n")))
-    own = materialize(lines_of(docs).select(place.alias("place"), F.xxhash64("tokens").alias("sid"), "n", first.alias("prefix")))
+    own = materialize(lines_of(docs, least).select(place.alias("place"), F.xxhash64("tokens").alias("sid"), "n", first.alias("prefix")))
     sets = materialize(own.groupBy("sid", "n").agg(F.min("place").alias("first"), F.first("prefix").alias("prefix")))
     own = own.select("sid", "place")
     # a token in one prefix only links nothing
@@ -62,7 +64,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     wanted = shared.groupBy(F.col("first.dk").alias("dk")).agg(F.collect_set("first.no").alias("nos"))
     texts = docs.select(_key().alias("dk"), F.col("text").cast("string").alias("text")).join(wanted, "dk")
     chosen = texts.select("dk", F.explode("nos").alias("no"), F.split("text", "\n").alias("_l")).select("dk", "no", F.get("_l", F.col("no")).alias("line"))
-    tokens = materialize(_hashed(chosen).select(F.xxhash64("tokens").alias("sid"), "n", "tokens").dropDuplicates(["sid"]))
+    tokens = materialize(_hashed(chosen, least).select(F.xxhash64("tokens").alias("sid"), "n", "tokens").dropDuplicates(["sid"]))
     # prefixes again, now in the order of rarity: tokens of one candidate only link nothing, the others come rarest first
     each = tokens.select("sid", "n", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
@@ -96,14 +98,15 @@ def _beaten(sets: DataFrame) -> DataFrame:
     return gone.union(verify(pairs, sets).select(F.col("b").alias("sid"))).distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """All columns of `docs`, the text without the lines that match an earlier line, and n_lines and n_removed.
 
     Earlier is by (doc_id, row, line). A line goes if any earlier line has a Jaccard of 0.8 or more
-    with it, whether that one stays or not. Lines of under five words always stay. A null text
+    with it, whether that one stays or not. Lines of under `least` words always stay; other
+    lines of under five words match if all their words are equal. A null text
     stays null, an empty one empty. Identical rows are decided as one and keep the same lines. A
     null doc_id comes last. Columns n_lines and n_removed of `docs` are replaced. No rows give no rows."""
-    gone = later_matches(docs).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("no").alias("_nos"))
+    gone = later_matches(docs, least).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("no").alias("_nos"))
     out = docs.withColumn("_key", _key()).join(gone, F.col("_key") == F.col("_dk"), "left")
     out = out.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_removed": F.coalesce(F.size("_nos"), F.lit(0))})
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", F.when(F.col("_nos").isNull(), 0).otherwise(F.col("n_removed")))

@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier one; a document of which nothing is left goes."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without lines, short ones too, that match an earlier one; a document of which nothing is left goes."""
+    out = line_dedup.dedup_lines(docs, least=1)
     return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 

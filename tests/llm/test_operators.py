@@ -88,6 +88,14 @@ def test_line_dedup_needs_an_earlier_match_itself(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(_docs(spark, rows)).collect()} == {1: 0, 2: 0, 3: 1}
 
 
+def test_pipeline_drops_short_repeats(spark):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nown words of one\n\nLes.", "s"), (2, "two\nall  Rights reserved.\n\nall rights", "s"), (3, "Les.", "s")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, _docs(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "two\n\nall rights"}
+
+
 def _lower_shingles(line):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else set()
