@@ -4,7 +4,9 @@ The entities of the corpus are collected as a table of distinct values, so that
 surrogate everywhere (coreference) however it is written. A surrogate comes from a keyed digest of
 the value; two values that would get the same one, or a value that stands in the corpus itself, take
 the digest of the next turn until all are distinct. Digits are put into the places of the original's
-digits, letters keep case and script, and titled names keep their gender.
+digits. Letters of names, addresses and secrets go into the places of the original's letters: those
+of names and addresses keep the script, those of names and secrets also the case (addresses are
+lower case, so that one address looks the same everywhere). Titled names keep their gender.
 """
 
 from __future__ import annotations
@@ -14,20 +16,30 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read
 
+_TITLES = "Mrs|Mr|Ms|Herr|Frau|Monsieur|Madame|Señora|Señor"
+_INITIALS = r"(?:\p{Lu}\. ?)*"
+_NAME = rf"(?!(?:{_TITLES})\b)(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}]*(?:[-'’]\p{{Lu}}[\p{{L}}\p{{M}}]*)*"
+_PARTICLES = r"(?:(?:von|van|der|den|de|di|du|da|la|le|del|zu) )*"
+#: One or more words of a name, with initials and particles.
+_NAMES = rf"{_PARTICLES}{_INITIALS}{_NAME}(?: {_PARTICLES}{_INITIALS}{_NAME})*"
+
 #: Patterns of the entities, the first that fits wins (fixed values).
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"\b[0-9a-f]{32,64}\b",
+    "secret": r"\b[0-9a-fA-F]{32,64}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "card": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}\b",
-    "male": r"\b(?:Mr|Herr|Monsieur|Señor)\.? \p{Lu}\p{Ll}+\b",
-    "female": r"\b(?:Mrs|Ms|Frau|Madame|Señora)\.? \p{Lu}\p{Ll}+\b",
+    "male": rf"\b(?:Mr|Herr|Monsieur|Señor)\.? {_NAMES}",
+    "female": rf"\b(?:Mrs|Ms|Frau|Madame|Señora)\.? {_NAMES}",
 }
-#: Family names of surrogates, and syllables that make them distinct (fixed values).
-NAMES = "Adler Baker Carter Dumont Ebert Fischer Garcia Hansen Ibarra Jensen Keller Lambert Moreau Navarro Olsen Peters Quintero Renard Schmitt Torres".split()
-SYLLABLES = "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so".split()
+#: Letters of surrogates: 26 of each script in the order of their Latin counterparts (fixed values). Other scripts get Latin.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+SCRIPTS = {"Cyrillic": "абцдефгхийклмнопщрстувшжыз", "Greek": "αβξδεφγηιϊκλμνοπψρστυώωχύζ", "Armenian": "աբցդեֆգհիջկլմնոպքրստւվղխյզ"}
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: From this turn on, names and addresses grow by letters, so that short ones never run out.
+LONGER = 3
 KEY = "surrogate-key"
 DIGITS = 40
 
@@ -42,11 +54,11 @@ def _type(value: Column) -> Column:
 
 
 def _plain(value: Column, kind: Column) -> Column:
-    """The value as it is compared: digits alone for numbers, lower case for mail addresses, without the title for names."""
+    """The value as it is compared: digits alone for numbers, lower case for mail addresses, secrets and names, the last without the title."""
     return (
         F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(value, r"\D", ""))
-        .when(kind == "email", F.lower(value))
-        .when(kind.isin("male", "female"), F.regexp_replace(value, r"^\S+ ", ""))
+        .when(kind.isin("email", "secret"), F.lower(value))
+        .when(kind.isin("male", "female"), F.lower(F.regexp_replace(value, r"^\S+ ", "")))
         .otherwise(value)
     )
 
@@ -65,30 +77,54 @@ def _number(digest: Column, at: int, below: int) -> Column:
     return (F.conv(F.substring(digest, at, 7), 16, 10).cast("long") % below).cast("int")
 
 
-def _surrogate(kind: Column, plain: Column, digest: Column) -> Column:
+def _letters(plain: Column, digest: Column) -> Column:
+    """`plain` with other letters of the same scripts, and other digits, in their places."""
+    at = lambda i, below: F.pmod(F.xxhash64(digest, i), F.lit(below)).cast("int") + 1
+    pick = lambda i, words: F.substring(F.lit(words), at(i, len(words)), F.lit(1))
+
+    def other(c: Column, i: Column) -> Column:
+        latin = F.when(i % 2 == 0, pick(i, CONSONANTS)).otherwise(pick(i, VOWELS))
+        out = latin
+        for script, letters in SCRIPTS.items():
+            out = F.when(c.rlike(rf"\p{{Is{script}}}"), F.translate(latin, LATIN, letters)).otherwise(out)
+        return F.when(c.rlike(r"\p{L}"), out).when(c.rlike(r"\p{N}"), pick(i, "0123456789")).when(c.rlike(r"\p{M}"), F.lit("")).otherwise(c)
+
+    return F.array_join(F.transform(F.split(plain, ""), other), "")
+
+
+def _surrogate(kind: Column, plain: Column, digest: Column, turn: int = 0) -> Column:
     """The surrogate of the compared form."""
     octets = F.concat_ws(".", F.lit("10"), *[(_number(digest, 1 + 8 * i, 254) + 1).cast("string") for i in range(3)])
-    pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), _number(digest, at, len(words)) + 1)
-    name = F.concat(pick(NAMES, 1), pick(SYLLABLES, 9), pick(SYLLABLES, 17), pick(SYLLABLES, 25), pick(SYLLABLES, 33))
     numbers = F.concat(F.substring(plain, 1, 0), F.rpad(F.substring(_digits(digest), F.lit(1), F.length(plain)), F.length(plain), "7"))
+    # letters of the first letter's script; none in the first turns
+    longer = lambda x: F.concat(x, _letters(F.repeat(F.regexp_extract(x, r"\p{L}", 0), 4 * max(0, turn - LONGER + 1)), F.sha2(digest, 256)))
+    # the last label gives way to one that never exists
+    local, domain = F.substring_index(plain, "@", 1), F.regexp_replace(F.substring_index(plain, "@", -1), r"\.[^.]*$", "")
+    mail = F.concat(longer(_letters(local, digest)), F.lit("@"), _letters(domain, F.sha2(F.concat(digest, F.lit("@")), 256)), F.lit(".invalid"))
     return (
-        F.when(kind == "email", F.concat(F.lit("user."), F.substring(digest, 1, 12), F.lit("@example.invalid")))
+        F.when(kind == "email", mail)
         .when(kind == "secret", F.substring(F.concat(digest, digest), F.lit(1), F.length(plain)))
         .when(kind == "ip", octets)
-        .when(kind.isin("male", "female"), name)
+        .when(kind.isin("male", "female"), longer(_letters(plain, digest)))
         .otherwise(numbers)
     )
 
 
 def _dressed(value: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of one occurrence: digits in the places of its digits; a name behind its title."""
+    """The surrogate in the format of one occurrence: digits in the places of its digits, letters in the case of its letters; a name behind its title."""
     # digits go into places from the left, as many as there are
     chars = F.split(value, "")
     before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"\D", ""))
     placed = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(surrogate, before(i) + 1, F.lit(1))).otherwise(c)), "")
+    title = F.when(kind.isin("male", "female"), F.regexp_extract(value, r"^\S+ ", 0)).otherwise(F.lit(""))
+    own = F.substring(value, F.length(title) + 1, F.length(value))
+    # a secret without lower case is upper case; else, as in names, each letter has the case of the one in its place
+    is_upper = lambda c: c.rlike(r"\p{Lu}")
+    like = lambda c, i: F.when(is_upper(F.substring(own, i + 1, F.lit(1))), F.upper(c)).otherwise(c)
+    cased = F.when(is_upper(own) & ~own.rlike(r"\p{Ll}"), F.upper(surrogate)).otherwise(F.array_join(F.transform(F.split(surrogate, ""), like), ""))
     return (
         F.when(kind.isin("phone", "ssn", "card"), placed)
-        .when(kind.isin("male", "female"), F.concat(F.regexp_extract(value, r"^\S+ ", 0), surrogate))
+        .when(kind.isin("male", "female", "secret"), F.concat(title, cased))
         .otherwise(surrogate)
     )
 
@@ -101,7 +137,7 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
     open_ = materialize(entities.select("kind", "plain").distinct())
     everything, done, turn = open_, None, 0
     while True:
-        own = open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("plain"), _digest(key, F.col("kind"), F.col("plain"), turn)))
+        own = open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("plain"), _digest(key, F.col("kind"), F.col("plain"), turn), turn))
         own = own.join(everything.select(F.col("kind").alias("_k"), F.col("plain").alias("_p")), (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_p")), "left_anti")
         if done is not None:
             own = own.join(done.select(F.col("kind").alias("_k"), F.col("surrogate").alias("_s")), (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_s")), "left_anti")

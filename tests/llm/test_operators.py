@@ -217,6 +217,23 @@ def test_surrogates(spark):
     assert surrogates.pseudonymize(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_surrogates_keep_shape_case_and_script(spark):
+    secret = "9233A8EC" * 5
+    text = f'TOKEN = "{secret}" and {secret.lower()}\nMr John Smith-Jones left. Mrs DeVries met Mr McDonald and Frau von Stein. Herr Иванов, Herr Παπας, Mr J. Brown! Herr ИВАНОВ; mail иван.p7@ex-ample.org'
+    new = surrogates.pseudonymize(_docs(spark, [(1, text, "s")])).first().text
+    for gone in (secret, secret.lower(), "John", "Smith", "Jones", "DeVries", "Vries", "McDonald", "Stein", "Иванов", "ИВАНОВ", "Παπας", "Brown", "иван", "ex-ample"):
+        assert gone not in new
+    up, low = re.search(r'TOKEN = "([0-9A-F]{40})" and ([0-9a-f]{40})\n', new).groups()
+    assert up.lower() == low and up != low
+    cyrillic, greek = "[а-яё]", "[α-ωύώϊ]"
+    shape = rf"Mr [A-Z][a-z]{{3}} [A-Z][a-z]{{4}}-[A-Z][a-z]{{4}} left\. Mrs [A-Z][a-z][A-Z][a-z]{{4}} met Mr [A-Z][a-z][A-Z][a-z]{{5}} and Frau [a-z]{{3}} [A-Z][a-z]{{4}}\. Herr ([А-Я]{cyrillic}{{5}}), Herr [Α-ΩΎΏΪ]{greek}{{4}}, Mr [A-Z]\. [A-Z][a-z]{{4}}! Herr ([А-Я]{{6}}); mail {cyrillic}{{4}}\.[a-z]\d@[a-z]{{2}}-[a-z]{{5}}\.invalid$"
+    found = re.search(shape, new)
+    assert found and found[1].upper() == found[2], new
+    # short names are distinct too
+    values = spark.createDataFrame([("male", a + b) for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"], "kind string, plain string")
+    assert values.count() == len({r.surrogate for r in surrogates.mapping(values).collect()})
+
+
 def test_surrogates_are_distinct(spark):
     values = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, plain string")
     out = surrogates.mapping(values).collect()
