@@ -14,8 +14,8 @@ from .common import SPACES, materialize, read
 
 WINDOW = 8
 MIN_WORDS = 20
-#: A line is too frequent in more distinct documents of a host than the larger of these: a number, a share of the host's documents.
-LINE_DOCUMENTS, LINE_SHARE = 20, 0.002
+#: A line is too frequent in more than so many distinct documents of a host, whatever the host's size.
+LINE_DOCUMENTS = 20
 #: A document that keeps less than this share of its words is depleted.
 LEAST_SHARE = 0.3
 
@@ -73,9 +73,8 @@ def frequent_lines(docs: DataFrame) -> DataFrame:
     line = F.explode(F.split("text", "\n")).alias("line")
     lines = keyed.select("source", "th", "dk", line).select("source", "th", "dk", _line_key(F.col("line")).alias("lh"), F.size(F.filter(F.split("line", SPACES), lambda w: w != "")).alias("w"))
     lines = materialize(lines.where("w > 0"))
-    in_documents = lines.select("source", "lh", "th").distinct().groupBy("source", "lh").agg(F.count("*").alias("c")).where(F.col("c") > LINE_DOCUMENTS)
-    hosts = lines.select("source", "th").distinct().groupBy("source").agg(F.count("*").alias("d"))
-    above = in_documents.join(hosts, "source").where(F.col("c") > F.col("d") * LINE_SHARE).select("source", "lh", F.lit(True).alias("_cut"))
+    in_documents = lines.select("source", "lh", "th").distinct().groupBy("source", "lh").agg(F.count("*").alias("c"))
+    above = in_documents.where(F.col("c") > LINE_DOCUMENTS).select("source", "lh", F.lit(True).alias("_cut"))
     marked = lines.join(above, ["source", "lh"], "left")
     per = marked.groupBy("dk").agg(F.sum("w").alias("all_words"), F.sum(F.when(F.col("_cut"), F.lit(0)).otherwise(F.col("w"))).alias("kept_words"), F.collect_set(F.when(F.col("_cut"), F.col("lh"))).alias("lines"))
     return per.where("kept_words < all_words")

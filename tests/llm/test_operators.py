@@ -174,6 +174,15 @@ def test_quality_rules(spark):
     assert quality_rules.judge(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_frequent_lines_of_large_hosts(spark):
+    from pyspark.sql import functions as F
+
+    # 12,000 documents of one host, 22 of which hold a line: more than the limit of 20, though under a share of 0.002
+    text = F.concat(F.col("id").cast("string"), F.when(F.col("id") < 22, F.lit("\nshared menu line")).otherwise(F.lit("")))
+    docs = spark.range(12000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    assert quality_rules.frequent_lines(docs).count() == 22
+
+
 def test_decontamination(spark):
     item = "If Anna buys 12 apples for 3 dollars each and Bruno takes 4 of them how many apples does Anna keep"
     other = "If Carla buys 15 apples for 5 dollars each and Diego takes 6 of them how many apples does Carla keep"
