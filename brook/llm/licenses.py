@@ -20,19 +20,49 @@ from .common import read
 #: Phrases and labels of the base count (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+# Parts that full texts share.
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = "[[3]] neither the name of {{12}} nor the names of {{8}} contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_DISCLAIMER = (
+    "this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC_GRANT = "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted "
+_ISC_NOTICE = "provided that the above copyright notice and this permission notice appear in all copies "
+_ISC_DISCLAIMER = (
+    "the software is provided as is and {{12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall {{12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+
 #: Wording of the licenses (fixed values), with this module's markup.
 TEMPLATES = {
+    "0bsd": _ISC_GRANT + _ISC_DISCLAIMER,
     "apache-2.0": "licensed under the apache license [[,]] version 2 [[0]]",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "bsd-3-clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
     "cc-by-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0",
     "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0",
     "copyright": "copyright [[c]] {{8}} all rights reserved",
     "gpl-2.0": "[[this work is]] licensed under the gnu general public license [[,]] version 2",
     "gpl-3.0": "[[this work is]] licensed under the gnu general public license [[,]] version 3",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc": _ISC_GRANT + _ISC_NOTICE + _ISC_DISCLAIMER,
     "mit": "released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction",
+    "mit-text": _MIT,
 }
 
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -143,6 +143,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_license_texts_are_whole(spark):
+    full = {k: licenses.TEMPLATES[k] for k in ("0bsd", "bsd-2-clause", "bsd-3-clause", "isc", "mit-text")}
+    texts = {k: re.sub(r"\{\{\d+\}\}", "the holders", v).replace("[[", "").replace("]]", "") for k, v in full.items()}
+    # the mandatory word at each of these places is another one, or the text ends
+    cases = [(k, t) for k, t in texts.items()] + [("", t.rsplit(" ", 1)[0]) for t in texts.values()] + [("", t.replace("liable", "answerable")) for t in texts.values()]
+    cases += [("", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")]
+    cases += [("", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.")]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(_docs(spark, [(i, t, "s") for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
+
+
 def test_quality_model(spark):
     random.seed(4)
     good = [" ".join(random.choice(["alpha", "beta", "gamma", "delta"]) + str(i) for i in range(40)) for _ in range(60)]
