@@ -45,6 +45,15 @@ def drop_table(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A table of at most so many rows of a few numbers each is sent to all tasks.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A materialized table, marked to be sent to all tasks if it is small; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, in order; an empty array for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -1,118 +1,176 @@
 """Line deduplication by an exact set-similarity join on lines.
 
-A line's tokens are its five-word shingles (lower case). Lines with equal token sets collapse into
-the earliest. Lines of Jaccard 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of each
-in any common order. First the order is that of the tokens' hashes, which needs no counts; lines
-that share no such token with another drop out. Those left, the candidates, are ordered again by
-rarity among them. Length and positional filters thin the pairs of a token's postings, which are
-then verified. A line that matches an earlier one goes, whether that one stays or not: first those
-that match a pivot of a token's postings, then the pairs of those left with all earlier ones.
+A line's tokens are its distinct words (lower case). All words of all texts are counted in a table of
+BUCKETS counts by hash, whatever the corpus; the class of a word's count (two classes for each doubling) comes
+before its hash in its token, so tokens in ascending order are in the order of rarity. Lines with
+equal sets collapse into the earliest. Two sets of Jaccard 0.8 or more share a token among the first
+n - ceil(0.8 n) + 1 of each; length and positional filters and an upper bound of the overlap by 64
+parities thin the pairs of a token's postings, which are then verified on the words. A line that
+matches an earlier one goes, whether that one stays or not. First the sets are compared with the
+earliest set of their rarest tokens' postings; pairs of postings are then formed only for the sets
+that no earlier one has beaten yet, so a group of near copies costs as many pairs as it has sets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, read
-from .ngram_join import EARLIER, LANES, _fits, _may_overlap, candidates, parities, verify
+from .common import SPACES, materialize, read, sent
 
-WORDS = 5
-#: Rounds of pivots before the rest of the pairs are formed.
-ROUNDS = 2
+#: Counts of words, by hash.
+BUCKETS = 1 << 20
+#: Classes of counts.
+CLASSES = 64
+#: Rarest tokens whose postings' earliest set is tried first.
+TRIED = 2
+#: Smaller sets match equal ones only.
+LEAST = 4
+#: Sets of so many tokens have more parities.
+LARGE = 40
+
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _hashed(lines: DataFrame, least: int) -> DataFrame:
-    """Add `tokens`, the sorted set of shingle hashes, to rows with a column `line`; lines of under `least` words go.
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _words(line: Column) -> Column:
+    """Words of a line, lower case; one empty word for a blank line."""
+    return F.split(F.lower(F.btrim(line, F.lit(_BLANKS))), SPACES)
+
+
+def rarity(docs: DataFrame) -> bytes:
+    """BUCKETS bytes: the class of the count of all words with this hash. It comes to the driver in 256 rows."""
+    spark = docs.sparkSession
+    words = docs.select(F.explode(F.split(F.lower(_text()), SPACES)).alias("w")).where("w <> ''")
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
+    every = counted.union(spark.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
+    sign = F.char(F.lit(48) + F.least(F.floor(F.log2(F.greatest("n", F.lit(1))) * 2), F.lit(CLASSES - 1)))
+    part = every.groupBy(F.floor(F.col("b") / (BUCKETS // 256)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("b", sign.alias("c")))).alias("x"))
+    rows = part.select("part", F.array_join("x.c", "").alias("x")).orderBy("part").collect()
+    return "".join(r["x"] for r in rows).encode()
+
 
-    A line of under WORDS words has one shingle, all its words."""
-    words = F.filter(F.split(F.lower("line"), SPACES), lambda w: w != "")
-    lines = lines.withColumn("_w", words).where(F.size("_w") >= least)
-    lines = lines.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    shingles = F.slice(F.transform("_h", lambda _, i: F.xxhash64(F.slice(F.col("_h"), i + 1, F.lit(WORDS)))), F.lit(1), F.greatest(F.size("_h") - (WORDS - 1), F.lit(1)))
-    return lines.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("_w", "_h").withColumn("n", F.size("tokens"))
+def _token(word: Column, table: bytes) -> Column:
+    """Class of the word's count, then 57 bits of its hash: a positive long."""
+    h = F.xxhash64(word)
+    sign = F.substring(F.lit(table), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")
+    return F.shiftleft((F.ascii(sign) - 48).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
 
-def _prefix_length(n: Column) -> Column:
+def prefix_length(n: Column) -> Column:
+    """n - ceil(0.8 n) + 1."""
     return (n - F.floor((n * 4 + 4) / 5) + 1).cast("int")
 
 
-def lines_of(docs: DataFrame, least: int = WORDS) -> DataFrame:
-    """(id, dk, no, tokens, n): each line with its place; a null doc_id comes after all others."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), F.split(text, "\n").alias("_l"))
-    return _hashed(keyed.select("id", "dk", F.posexplode("_l").alias("no", "line")), least).drop("line")
+def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
+    """(id, dk, no, sid, n, sig, more, prefix) of each line with a word, with its place; a null doc_id comes after all others.
+
+    `sig`, and `more` for larger sets, have 64 parities each of the set's tokens; the prefix has the upper half of each token, which keeps the order."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), F.split(_text(), "\n").alias("_l"))
+    lines = keyed.select("id", "dk", F.posexplode("_l").alias("no", "line")).where(F.btrim(F.col("line"), F.lit(_BLANKS)) != "")
+    tokens = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: _token(w, table))))
+    lines = lines.select("id", "dk", "no", tokens.alias("_t")).withColumn("n", F.size("_t"))
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    sig = F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(one(t)))
+    more = F.when(F.col("n") >= LARGE, F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(one(F.shiftright(t, 6))))).otherwise(F.lit(0).cast("long"))
+    first = F.slice("_t", F.lit(1), F.when(F.col("n") >= LEAST, prefix_length(F.col("n"))).otherwise(F.lit(0)))
+    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), "n", sig.alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
+
+
+def _fits(x: str, y: str) -> Column:
+    """Length and positional filters, and the parities: sets that differ in d of them have at least d tokens not in common."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at")) + F.least(f"{x}at", f"{y}at")
+    differ = lambda c: F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")))
+    apart = F.greatest(differ("sig"), F.when((n >= LARGE) & (m >= LARGE), differ("sig") + differ("more")).otherwise(F.lit(0)))
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80) & (apart * 9 <= n + m)
+
+
+def _postings(sets: DataFrame, prefix: Column) -> DataFrame:
+    return sets.select(F.col("place.id").alias("id"), "sid", "n", "sig", "more", *[c for c in sets.columns if c == "alive"], F.posexplode(prefix).alias("at", "token"))
 
 
-def later_matches(docs: DataFrame, least: int = WORDS) -> DataFrame:
+def _named(df: DataFrame, x: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != "token"])
+
+
+def _to_earliest(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with the earliest one of the postings of its rarest tokens."""
+    short = _postings(sets, F.slice("prefix", 1, TRIED))
+    heads = short.groupBy("token").agg(F.min(F.struct("id", "sid", "n", "sig", "more", "at")).alias("x"), F.count("*").alias("sets")).where("sets > 1")
+    heads = heads.select("token", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("sid", "n", "sig", "more", "at")])
+    met = _named(short, "y").join(heads, "token").where((F.col("xsid") != F.col("ysid")) & _fits("x", "y"))
+    return met.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
+
+
+def _to_all(sets: DataFrame) -> DataFrame:
+    """(a, b): the sets that are alive with all others of their tokens' postings that pass the filters."""
+    both = _postings(sets, F.col("prefix")).repartition("token")
+    both = both.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1").drop("sets")
+    met = _named(both.drop("alive"), "x").join(_named(both.where("alive").drop("alive"), "y"), "token")
+    met = met.where((F.col("xid") <= F.col("yid")) & (F.col("xsid") != F.col("ysid")) & _fits("x", "y"))
+    return met.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
+
+
+def _beaten(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sid): the later set of each pair whose words have a Jaccard of 0.8 or more, in a new table.
+
+    The words are taken again from the documents that hold the sets' first lines."""
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    places = wanted.join(sets.select("sid", "place"), "sid")
+    by_text = materialize(places.groupBy(F.col("place.dk").alias("dk")).agg(F.collect_list(F.struct(F.col("place.no").alias("no"), "sid", "place")).alias("at")))
+    texts = docs.select(_key().alias("_key"), _text().alias("_x")).join(sent(by_text), F.col("_key") == F.col("dk"))
+    lines = texts.select(F.explode("at").alias("at"), F.split("_x", "\n").alias("_l")).select("at.sid", "at.place", F.get("_l", F.col("at.no")).alias("line"))
+    own = lines.select("sid", "place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(["sid"])
+    own = materialize(own)
+    a = own.select(F.col("sid").alias("a"), F.col("place").alias("pa"), F.col("words").alias("wa"))
+    b = own.select(F.col("sid").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb"))
+    met = pairs.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    met = met.where(common * 180 >= (F.size("wa") + F.size("wb")) * 80)
+    return materialize(met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
+
+
+def later_matches(docs: DataFrame) -> DataFrame:
     """(dk, no): the lines that match an earlier one."""
+    own = materialize(lines_of(docs, rarity(docs)))
     place = F.struct("id", "dk", "no")
-    first = F.slice("tokens", F.lit(1), _prefix_length(F.col("n")))
-    own = materialize(lines_of(docs, least).select(place.alias("place"), F.xxhash64("tokens").alias("sid"), "n", first.alias("prefix")))
-    sets = materialize(own.groupBy("sid", "n").agg(F.min("place").alias("first"), F.first("prefix").alias("prefix")))
-    own = own.select("sid", "place")
-    # a token in one prefix only links nothing
-    postings = sets.select("sid", F.explode("prefix").alias("token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
-    shared = postings.join(common, "token").select("sid").distinct()
-    shared = materialize(shared.join(sets.select("sid", "first"), "sid"))
-    # the candidates' tokens are taken again from the documents that hold their first lines
-    wanted = shared.groupBy(F.col("first.dk").alias("dk")).agg(F.collect_set("first.no").alias("nos"))
-    texts = docs.select(_key().alias("dk"), F.col("text").cast("string").alias("text")).join(wanted, "dk")
-    chosen = texts.select("dk", F.explode("nos").alias("no"), F.split("text", "\n").alias("_l")).select("dk", "no", F.get("_l", F.col("no")).alias("line"))
-    tokens = materialize(_hashed(chosen, least).select(F.xxhash64("tokens").alias("sid"), "n", "tokens").dropDuplicates(["sid"]))
-    # prefixes again, now in the order of rarity: tokens of one candidate only link nothing, the others come rarest first
-    each = tokens.select("sid", "n", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    beaten = _beaten(materialize(candidates(each.join(counts, "token")).join(sets.select("sid", "first"), "sid")))
-    state = sets.select("sid", "first").join(beaten.withColumn("beaten", F.lit(True)), "sid", "left")
-    return own.join(state, "sid").where((F.col("place") != F.col("first")) | F.col("beaten")).select("place.dk", "place.no").distinct()
-
-
-def _beaten(sets: DataFrame) -> DataFrame:
-    """(sid): the sets that match an earlier one, by `first`."""
-    entries = sets.select("sid", "n", "first", "single", F.posexplode("prefix").alias("i", "token"), F.slice("prefix", 1, EARLIER).alias("own"))
-    entries = entries.withColumn("own", F.slice("own", F.lit(1), F.col("i"))).withColumn("at", F.col("single") + F.col("i"))
-    entries = materialize(entries.withColumn("shared", F.col("n") - F.col("single")).drop("single"))
-    named = lambda df, x: df.select("token", *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != "token"])
-    short = entries.select("token", "sid", "n", "first", "at", "i")
-    gone = None
-    for turn in range(ROUNDS):
-        y = named(short if gone is None else short.join(gone, "sid", "left_anti"), "y")
-        x = named(short, "x")
-        # the earliest of a token's postings, then others
-        by = F.struct("xfirst") if turn == 0 else F.struct(F.xxhash64("xsid", F.lit(turn)), "xsid")
-        x = x.groupBy("token").agg(F.min_by(F.struct("xsid", "xn", "xfirst", "xat", "xi"), by).alias("x")).select("token", "x.*")
-        pairs = x.join(y, "token").where((F.col("xfirst") < F.col("yfirst")) & _fits("x", "y")).select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
-        found = verify(pairs, sets).select(F.col("b").alias("sid")).distinct()
-        gone = materialize(found if gone is None else gone.union(found))
-    marks = parities(sets).withColumns({f"s{i}": F.lit(-1).cast("long") for i in range(LANES)})
-    marked = materialize(entries.join(marks, "sid"))
-    meet = (F.col("xfirst") < F.col("yfirst")) & _fits("x", "y", tight=True) & ~F.arrays_overlap("xown", "yown") & _may_overlap()
-    pairs = named(marked, "x").join(named(marked.join(gone, "sid", "left_anti"), "y"), "token").where(meet)
-    pairs = pairs.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
-    return gone.union(verify(pairs, sets).select(F.col("b").alias("sid"))).distinct()
-
-
-def dedup_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
+    sets = own.groupBy("sid").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets)
+    gone = _beaten(_to_earliest(sets), sets, docs)
+    alive = sets.join(gone.withColumn("_gone", F.lit(True)), "sid", "left").withColumn("alive", F.col("_gone").isNull()).drop("_gone")
+    gone = gone.union(_beaten(_to_all(alive), sets, docs)).distinct()
+    state = sets.select("sid", F.col("place").alias("first")).join(gone.withColumn("beaten", F.lit(True)), "sid", "left")
+    lines = own.select(place.alias("place"), "sid").join(state, "sid")
+    return lines.where((F.col("place") != F.col("first")) | F.col("beaten")).select("place.dk", "place.no").distinct()
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, the text without the lines that match an earlier line, and n_lines and n_removed.
 
     Earlier is by (doc_id, row, line). A line goes if any earlier line has a Jaccard of 0.8 or more
-    with it, whether that one stays or not. Lines of under `least` words always stay; other
-    lines of under five words match if all their words are equal. A null text
-    stays null, an empty one empty. Identical rows are decided as one and keep the same lines. A
-    null doc_id comes last. Columns n_lines and n_removed of `docs` are replaced. No rows give no rows."""
-    gone = later_matches(docs, least).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("no").alias("_nos"))
-    out = docs.withColumn("_key", _key()).join(gone, F.col("_key") == F.col("_dk"), "left")
-    out = out.withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_removed": F.coalesce(F.size("_nos"), F.lit(0))})
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", F.when(F.col("_nos").isNull(), 0).otherwise(F.col("n_removed")))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_nos"), i)), "\n")
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    with it on distinct words in lower case, whether that one stays or not; lines of the same words
+    match. Lines without a word always stay. A null text stays null, an empty one empty. Identical
+    rows are decided as one and keep the same lines. A null doc_id comes last. Columns n_lines and
+    n_removed of `docs` are replaced; any other names may be there. No rows give no rows."""
+    found = materialize(later_matches(docs).groupBy("dk").agg(F.collect_set("no").alias("nos")))
+    left = docs.select(F.struct("*").alias("doc"), _key().alias("dk"))
+    out = left.join(sent(found), "dk", "left")
+    lines = F.split(F.col("doc.text").cast("string"), "\n")
+    removed = F.coalesce(F.size("nos"), F.lit(0))
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("nos"), i)), "\n")
+    text = F.when(F.col("nos").isNotNull(), rest).otherwise(F.col("doc.text"))
+    columns = [text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    count = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size(lines))
+    return out.select(*columns, count.alias("n_lines"), F.when(F.col("nos").isNull(), 0).otherwise(removed).alias("n_removed"))
 
 
 def op4_line_set_join(spark, sf_dir):
@@ -124,21 +182,16 @@ QUERIES = {"op4_line_set_join": op4_line_set_join}
 
 ORACLE = {
     "op4_line_set_join": r"""
-WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-w AS (SELECT doc_id, no, x, list_filter(string_split_regex(lower(x), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM l),
-s AS (SELECT doc_id, no, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
-k AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, no))) AS k, len(s) AS n FROM s GROUP BY s),
-t AS (SELECT k, n, hash(unnest(s)) AS t FROM k),
-hit AS (
-  SELECT a, b FROM (
-    SELECT x.k AS a, y.k AS b, x.n AS xn, y.n AS yn, count(*) AS i FROM t x JOIN t y ON x.t = y.t AND x.k < y.k GROUP BY ALL)
-  WHERE 100 * i >= 80 * (xn + yn - i)),
-edge AS (SELECT a, b FROM hit UNION ALL SELECT b, a FROM hit),
-reach AS (SELECT k, k AS c FROM k UNION SELECT r.k, e.b FROM reach r JOIN edge e ON e.a = r.c),
-class AS (SELECT k, min(c) AS c FROM reach GROUP BY k),
-gone AS (
-  SELECT doc_id, no FROM (SELECT s.doc_id, s.no, row_number() OVER (PARTITION BY c ORDER BY s.doc_id, s.no) AS r FROM s JOIN k ON s.s = k.s JOIN class ON class.k = k.k)
-  WHERE r > 1),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+s AS (SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split_regex(lower(x), '[\x20\x09-\x0D]+'), lambda v: v <> ''))) AS s FROM l),
+k AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, no))) AS k, min((doc_id, no)) AS first, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+w AS (SELECT k, n, unnest(s) AS w FROM k),
+df AS (SELECT w, count(*) AS df FROM w GROUP BY w HAVING count(*) > 1),
+r AS (SELECT k, n, w.w, row_number() OVER (PARTITION BY k ORDER BY coalesce(df, 1), w.w) AS i FROM w LEFT JOIN df ON df.w = w.w),
+p AS (SELECT k, n, w FROM r WHERE i <= n - (4 * n + 4) // 5 + 1 AND n > 3),
+c AS (SELECT DISTINCT x.k AS a, y.k AS b FROM p x JOIN p y ON x.w = y.w AND x.k < y.k AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+hit AS (SELECT DISTINCT b FROM c JOIN k x ON x.k = a JOIN k y ON y.k = b WHERE 180 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n)),
+gone AS (SELECT doc_id, no FROM s JOIN k ON s.s = k.s WHERE (doc_id, no) <> first OR k.k IN (SELECT b FROM hit)),
 kept AS (
   SELECT l.doc_id, count(*)::INTEGER AS n_lines, count(gone.no)::INTEGER AS n_removed,
     coalesce(string_agg(x, chr(10) ORDER BY l.no) FILTER (gone.no IS NULL), '') AS text

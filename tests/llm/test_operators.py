@@ -56,33 +56,37 @@ def test_near_duplicates(spark):
 
 
 def test_line_dedup(spark):
-    rows = _corpus()
+    rows = _corpus() + [(400, " \n".join(["one", "alpha beta", "ONE ", "", "beta  alpha", "gamma beta alpha"]), "s0"), (401, "One\nfour words stand here\nnow four words stand here", "s0")]
     got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(_docs(spark, rows)).collect())
     order = sorted({(d is None, d or 0, t) for d, t, _ in rows if t is not None})
-    lines = [(k, no, x, _lower_shingles(x)) for k in order for no, x in enumerate(k[2].split("\n"))]
-    root = list(range(len(lines)))
-    for i, (_, _, _, a) in enumerate(lines):
-        for j in range(i):
-            b = lines[j][3]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                lo, hi = sorted((root[i], root[j]))
-                root = [lo if x == hi else x for x in root]
-    kept = {}
-    for i, (k, _, x, a) in enumerate(lines):
-        kept.setdefault(k, [])
-        if not a or root[i] == i:
-            kept[k].append(x)
+    seen, kept = [], {}
+    for k in order:
+        kept[k] = []
+        for x in k[2].split("\n"):
+            a = _line_words(x)
+            if not a or not any(100 * len(a & b) >= 80 * len(a | b) for b in seen):
+                kept[k].append(x)
+            seen += [a] * bool(a)
     want = Counter((d, None if t is None else "\n".join(kept[(d is None, d or 0, t)])) for d, t, _ in rows)
     assert got == want
     assert line_dedup.dedup_lines(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_of_edited_and_short_lines(spark):
+    line = "the second line of this page has twelve words in a row"
+    rows = [(1, f"{line}\nShare\nown words", "s"), (2, f"{line.replace('second', 'third')}\nshare\nother words", "s"), (3, "SHARE", "s")]
+    docs = _docs(spark, rows).withColumnsRenamed({"lang": "nos", "source": "doc", "sid": "dk"})
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "other words", 3: ""}
+
+
 def test_line_dedup_needs_an_earlier_match_itself(spark):
     # 1 and 3, 3 and 2 match, 1 and 2 do not: 2 matches no earlier line
     words = [f"v{i}" for i in range(50)]
     a, b, c = words[:40], words[6:46], words[3:43]
     rows = [(1, " ".join(a), "s"), (2, " ".join(b), "s"), (3, " ".join(c), "s")]
-    sets = [_lower_shingles(t) for _, t, _ in rows]
+    sets = [_line_words(t) for _, t, _ in rows]
     alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
     assert alike(0, 2) and alike(1, 2) and not alike(0, 1)
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(_docs(spark, rows)).collect()} == {1: 0, 2: 0, 3: 1}
@@ -96,9 +100,8 @@ def test_pipeline_drops_short_repeats(spark):
     assert got == {1: rows[0][1], 2: "two\n\nall rights"}
 
 
-def _lower_shingles(line):
-    w = [x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x]
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else set()
+def _line_words(line):
+    return {x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x}
 
 
 def test_components(spark):
