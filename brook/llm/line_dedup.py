@@ -27,7 +27,7 @@ TRIED = 2
 #: Smaller sets match equal ones only.
 LEAST = 4
 #: Sets of so many tokens have more parities.
-LARGE = 40
+LARGE = 72
 
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -40,28 +40,35 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _words(line: Column) -> Column:
-    """Words of a line, lower case; one empty word for a blank line."""
-    return F.split(F.lower(F.btrim(line, F.lit(_BLANKS))), SPACES)
+def _words(text: Column) -> Column:
+    """Words of a text, lower case, in order."""
+    low = F.lower(text)
+    odd = F.lit(False)
+    for c in _BLANKS[1:]:
+        odd = odd | F.contains(low, F.lit(c))
+    return F.array_remove(F.split(F.when(odd, F.regexp_replace(low, SPACES, " ")).otherwise(low), " "), "")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """BUCKETS bytes: the class of the count of all words with this hash. It comes to the driver in 256 rows."""
+def rarity(docs: DataFrame) -> Column:
+    """An array of BUCKETS classes: that of the count of all words with this hash. It comes to the driver in 256 rows."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(F.lower(_text()), SPACES)).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(_words(_text())).alias("w"))
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     every = counted.union(spark.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
-    sign = F.char(F.lit(48) + F.least(F.floor(F.log2(F.greatest("n", F.lit(1))) * 2), F.lit(CLASSES - 1)))
-    part = every.groupBy(F.floor(F.col("b") / (BUCKETS // 256)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("b", sign.alias("c")))).alias("x"))
-    rows = part.select("part", F.array_join("x.c", "").alias("x")).orderBy("part").collect()
-    return "".join(r["x"] for r in rows).encode()
+    own = F.least(F.floor(F.log2(F.greatest("n", F.lit(1))) * 2), F.lit(CLASSES - 1)).cast("string")
+    part = every.groupBy(F.floor(F.col("b") / (BUCKETS // 256)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("b", own.alias("c")))).alias("x"))
+    rows = part.select("part", F.array_join("x.c", ",").alias("x")).orderBy("part").collect()
+    return _numbers(",".join(r["x"] for r in rows), "tinyint")
 
 
-def _token(word: Column, table: bytes) -> Column:
-    """Class of the word's count, then 57 bits of its hash: a positive long."""
-    h = F.xxhash64(word)
-    sign = F.substring(F.lit(table), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")
-    return F.shiftleft((F.ascii(sign) - 48).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+def _numbers(csv: str, kind: str) -> Column:
+    return F.split(F.lit(csv), ",").cast(f"array<{kind}>")
+
+
+def _tokens(words: Column, table: Column) -> Column:
+    """For each word the class of its count, then 57 bits of its hash: a positive long."""
+    one = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 57)
+    return F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: one(h).bitwiseOR(F.shiftrightunsigned(h, 7)))
 
 
 def prefix_length(n: Column) -> Column:
@@ -69,87 +76,96 @@ def prefix_length(n: Column) -> Column:
     return (n - F.floor((n * 4 + 4) / 5) + 1).cast("int")
 
 
-def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
+#: The bit of a token's last six bits, and the same for tokens whose seventh bit is 1 only.
+_BITS = [1 << i for i in range(63)] + [-(1 << 63)]
+_HALF = [0] * 64 + _BITS
+
+
+def _parities(bits: list[int]) -> Column:
+    own = _numbers(",".join(map(str, bits)), "bigint")
+    return F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.get(own, t.bitwiseAND(F.lit(len(bits) - 1)).cast("int"))))
+
+
+def lines_of(docs: DataFrame, table: Column) -> DataFrame:
     """(id, dk, no, sid, n, sig, more, prefix) of each line with a word, with its place; a null doc_id comes after all others.
 
-    `sig`, and `more` for larger sets, have 64 parities each of the set's tokens; the prefix has the upper half of each token, which keeps the order."""
+    `sig` has 64 parities of the set's tokens, `more` those of one half of a larger set's tokens, so that
+    `sig` xor `more` has those of the other half; the prefix has the upper half of each token, which keeps the order."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), F.split(_text(), "\n").alias("_l"))
-    lines = keyed.select("id", "dk", F.posexplode("_l").alias("no", "line")).where(F.btrim(F.col("line"), F.lit(_BLANKS)) != "")
-    tokens = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: _token(w, table))))
-    lines = lines.select("id", "dk", "no", tokens.alias("_t")).withColumn("n", F.size("_t"))
-    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    sig = F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(one(t)))
-    more = F.when(F.col("n") >= LARGE, F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(one(F.shiftright(t, 6))))).otherwise(F.lit(0).cast("long"))
+    lines = keyed.select("id", "dk", F.posexplode("_l").alias("no", "line"))
+    tokens = F.sort_array(F.array_distinct(_tokens(_words(F.col("line")), table)))
+    lines = lines.select("id", "dk", "no", tokens.alias("_t")).where(F.size("_t") > 0).withColumn("n", F.size("_t"))
+    more = F.when(F.col("n") >= LARGE, _parities(_HALF)).otherwise(F.lit(0).cast("long"))
     first = F.slice("_t", F.lit(1), F.when(F.col("n") >= LEAST, prefix_length(F.col("n"))).otherwise(F.lit(0)))
-    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), "n", sig.alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
+    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), "n", _parities(_BITS).alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
 
 
 def _fits(x: str, y: str) -> Column:
     """Length and positional filters, and the parities: sets that differ in d of them have at least d tokens not in common."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
     rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at")) + F.least(f"{x}at", f"{y}at")
-    differ = lambda c: F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")))
-    apart = F.greatest(differ("sig"), F.when((n >= LARGE) & (m >= LARGE), differ("sig") + differ("more")).otherwise(F.lit(0)))
+    sig, more = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("sig", "more"))
+    apart = F.when((n >= LARGE) & (m >= LARGE), F.bit_count(sig.bitwiseXOR(more)) + F.bit_count(more)).otherwise(F.bit_count(sig))
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80) & (apart * 9 <= n + m)
 
 
-def _postings(sets: DataFrame, prefix: Column) -> DataFrame:
-    return sets.select(F.col("place.id").alias("id"), "sid", "n", "sig", "more", *[c for c in sets.columns if c == "alive"], F.posexplode(prefix).alias("at", "token"))
+def _postings(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
+    return sets.select("uid", "n", "sig", "more", *more, F.posexplode(prefix).alias("at", "token"))
 
 
 def _named(df: DataFrame, x: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != "token"])
+    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("uid", "n", "sig", "more", "at")])
 
 
 def _to_earliest(sets: DataFrame) -> DataFrame:
     """(a, b): each set with the earliest one of the postings of its rarest tokens."""
-    short = _postings(sets, F.slice("prefix", 1, TRIED))
-    heads = short.groupBy("token").agg(F.min(F.struct("id", "sid", "n", "sig", "more", "at")).alias("x"), F.count("*").alias("sets")).where("sets > 1")
-    heads = heads.select("token", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("sid", "n", "sig", "more", "at")])
-    met = _named(short, "y").join(heads, "token").where((F.col("xsid") != F.col("ysid")) & _fits("x", "y"))
-    return met.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
+    short = _postings(sets, F.slice("prefix", 1, TRIED), "place.id")
+    heads = short.groupBy("token").agg(F.min(F.struct("id", "uid", "n", "sig", "more", "at")).alias("x"), F.count("*").alias("sets")).where("sets > 1")
+    met = _named(short, "y").join(_named(heads.select("token", "x.*"), "x"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    return met.select(F.col("xuid").alias("a"), F.col("yuid").alias("b")).distinct()
 
 
-def _to_all(sets: DataFrame) -> DataFrame:
-    """(a, b): the sets that are alive with all others of their tokens' postings that pass the filters."""
-    both = _postings(sets, F.col("prefix")).repartition("token")
-    both = both.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1").drop("sets")
-    met = _named(both.drop("alive"), "x").join(_named(both.where("alive").drop("alive"), "y"), "token")
-    met = met.where((F.col("xid") <= F.col("yid")) & (F.col("xsid") != F.col("ysid")) & _fits("x", "y"))
-    return met.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")).distinct()
+def _to_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """(a, b): the sets not in `gone` with all others of their tokens' postings that pass the filters."""
+    alive = sets.join(sent(gone.withColumn("_gone", F.lit(True))), "uid", "left").withColumn("alive", F.col("_gone").isNull())
+    both = _postings(alive, F.col("prefix"), "alive").repartition("token")
+    both = both.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
+    met = _named(both, "x").join(_named(both.where("alive"), "y"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    return met.select(F.least("xuid", "yuid").alias("a"), F.greatest("xuid", "yuid").alias("b")).distinct()
 
 
 def _beaten(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(sid): the later set of each pair whose words have a Jaccard of 0.8 or more, in a new table.
+    """(uid): the later set of each pair whose words have a Jaccard of 0.8 or more, in a new table.
 
     The words are taken again from the documents that hold the sets' first lines."""
     pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    places = wanted.join(sets.select("sid", "place"), "sid")
-    by_text = materialize(places.groupBy(F.col("place.dk").alias("dk")).agg(F.collect_list(F.struct(F.col("place.no").alias("no"), "sid", "place")).alias("at")))
+    wanted = materialize(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
+    places = sets.select("uid", "place").join(sent(wanted), "uid")
+    by_text = materialize(places.groupBy(F.col("place.dk").alias("dk")).agg(F.collect_list(F.struct(F.col("place.no").alias("no"), "uid", "place")).alias("at")))
     texts = docs.select(_key().alias("_key"), _text().alias("_x")).join(sent(by_text), F.col("_key") == F.col("dk"))
-    lines = texts.select(F.explode("at").alias("at"), F.split("_x", "\n").alias("_l")).select("at.sid", "at.place", F.get("_l", F.col("at.no")).alias("line"))
-    own = lines.select("sid", "place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(["sid"])
+    lines = texts.select(F.explode("at").alias("at"), F.split("_x", "\n").alias("_l")).select("at.uid", "at.place", F.get("_l", F.col("at.no")).alias("line"))
+    own = lines.select("uid", "place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(["uid"])
     own = materialize(own)
-    a = own.select(F.col("sid").alias("a"), F.col("place").alias("pa"), F.col("words").alias("wa"))
-    b = own.select(F.col("sid").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb"))
+    a = own.select(F.col("uid").alias("a"), F.col("place").alias("pa"), F.col("words").alias("wa"))
+    b = own.select(F.col("uid").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb"))
     met = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("wa", "wb"))
     met = met.where(common * 180 >= (F.size("wa") + F.size("wb")) * 80)
-    return materialize(met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
+    return materialize(met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("uid")).distinct())
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(dk, no): the lines that match an earlier one."""
     own = materialize(lines_of(docs, rarity(docs)))
     place = F.struct("id", "dk", "no")
-    sets = own.groupBy("sid").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets)
+    sets = own.groupBy("sid").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "sig", "more", "prefix")])
+    # numbers of the rows as written are shorter in the shuffles than hashes
+    sets = materialize(sets.withColumn("uid", F.monotonically_increasing_id()))
     gone = _beaten(_to_earliest(sets), sets, docs)
-    alive = sets.join(gone.withColumn("_gone", F.lit(True)), "sid", "left").withColumn("alive", F.col("_gone").isNull()).drop("_gone")
-    gone = gone.union(_beaten(_to_all(alive), sets, docs)).distinct()
-    state = sets.select("sid", F.col("place").alias("first")).join(gone.withColumn("beaten", F.lit(True)), "sid", "left")
-    lines = own.select(place.alias("place"), "sid").join(state, "sid")
+    gone = materialize(gone.union(_beaten(_to_all(sets, gone), sets, docs)).distinct())
+    state = sets.select("uid", "sid", "lines", F.col("place").alias("first")).join(sent(gone.withColumn("beaten", F.lit(True))), "uid", "left")
+    state = materialize(state.where("lines > 1 OR beaten").select("sid", "first", "beaten"))
+    lines = own.select(place.alias("place"), "sid").join(sent(state), "sid")
     return lines.where((F.col("place") != F.col("first")) | F.col("beaten")).select("place.dk", "place.no").distinct()
 
 
