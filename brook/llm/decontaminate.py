@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, sent
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
@@ -26,7 +26,8 @@ BROADCAST_WINDOWS = 200_000
 #: Units (fixed values).
 UNITS = "mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years mile miles inch inches foot feet ft yard yards pound pounds lb ounce ounces oz dollar dollars euro euros cent cents percent meter meters metre metres kilometer kilometers liter liters litre litres gram grams kilogram kilograms degrees".split()
 
-_PARTS = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[.!?:\n]"
+# possessive, so that a number of any length takes no stack
+_PARTS = r"\p{L}[\p{L}\p{M}]*+|\p{N}++(?:[.,]\p{N}++)*+|[.!?:\n]"
 
 
 def _templates(df: DataFrame, text: str) -> DataFrame:
@@ -50,7 +51,7 @@ def _kind(word: Column, before: Column, ends: list[str]) -> Column:
     initial, rest = F.substring(word, 1, 1), F.substring(word, 2, 1)
     capital = (initial != F.lower(initial)) & (rest != F.upper(rest))
     inside = before.isNotNull() & ~before.isin(ends)
-    digit = (initial >= "0") & (initial <= "9")
+    digit = F.when(F.ascii(initial) < 128, (initial >= "0") & (initial <= "9")).otherwise(initial.rlike(r"^\p{N}"))
     return F.when(digit, F.lit("#n")).when(low.isin(UNITS), F.lit("#u")).when(capital & inside, F.lit("#p")).otherwise(low)
 
 
@@ -80,6 +81,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = _windows(items.where(F.size("kind") >= WINDOW), ["ik"], [WINDOW])
     for n in short:
         own = own.union(_windows(items.where(F.size("kind") == n), ["ik"], [n]))
+    # a window of placeholders alone would be in any text with numbers or names
+    fixed = items.select("ik", F.posexplode(F.transform("kind", lambda _, i: F.exists(F.slice("kind", i + 1, F.lit(WINDOW)), lambda k: ~k.startswith("#")))).alias("pos", "fixed"))
+    own = own.join(fixed.where("fixed"), ["ik", "pos"])
     own = materialize(own.select("ik", F.col("pos").alias("ipos"), "h").distinct())
     per_item = own.groupBy("ik").agg(F.countDistinct("ipos").alias("item_windows"))
     if own.count() <= BROADCAST_WINDOWS:
@@ -126,7 +130,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     those that one edited word breaks between two matches included).
 
     Null and empty texts match nothing; benchmark items without words are ignored, and an empty
-    benchmark matches nothing. Items of under WINDOW words must be matched whole. Repeated rows get
+    benchmark matches nothing. Items of under WINDOW words must be matched whole. Windows of placeholders
+    alone decide nothing, so an item of numbers, units and names only matches nothing. Repeated rows get
     the same result; a null doc_id stays null; other columns are ignored."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"))
@@ -135,10 +140,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, that hold no benchmark item."""
+    """The rows of `docs`, with all columns, that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as do rows with a null doc_id that hold none. Repeated
+    rows stay or go together. Any column names may be there. No rows give no rows."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = matches(docs, benchmark).select(F.col("dk").alias("_dk")).distinct()
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_dk"), "left_anti").select(*docs.columns)
+    bad = materialize(matches(docs, benchmark).select("dk").distinct())
+    left = docs.select(F.struct("*").alias("doc"), key.alias("key"))
+    return left.join(sent(bad), F.col("key") == F.col("dk"), "left_anti").select("doc.*")
 
 
 def op2_template_decontamination(spark, sf_dir):
