@@ -1,14 +1,15 @@
 """Exact Jaccard self-join on word shingles by grouped prefixes, reduced to components.
 
 1. Texts with equal shingle sets become one set.
-2. Shingles are dealt over buckets of their hash; a bucket counts in how many sets each stands.
-   A shingle of one set can link nothing, so only shared ones come back to their sets.
+2. The rarity of a shingle: counted over the first shingles of all sets by hash, those that stand in
+   more than FREQUENT of them are frequent (the FREQUENT_MOST most frequent ones are kept). Others come first, by
+   hash, then the frequent ones in ascending order of their counts.
 3. A set's prefix is its rarest shingles, n - ceil(0.8 n) + 1 of them; linked sets share one. Sets
-   whose prefix holds no shared shingle drop out. Sets with equal prefixes and sizes form a group.
-4. Group pairs from the prefixes' postings pass length and positional filters and are expanded to
-   members and verified. First each list is compared with one pivot; what that links is labelled,
-   and all other pairs of the list are formed only between different labels, so that a list of
-   copies costs as many pairs as it has rows, and no link between different components is missed.
+   with equal prefixes and sizes form a group, which has one row for each shingle in the postings.
+4. Group pairs from the postings pass length and positional filters and an upper bound of the
+   overlap by parities, are expanded to members and verified on the texts. In each round the lists
+   that hold several components are compared with pivots, another one for each list, so that a list
+   of copies costs as many pairs as it has rows. In the end all pairs between different components are formed.
 """
 
 from __future__ import annotations
@@ -18,218 +19,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, sent
 from .graph import components
-from .shingles import shingle_set
+from .shingles import shingle_sets
 
 WORDS = 5
-#: Occurrences that a task gathers before it deals them out.
-FLUSH = 1_000_000
+#: A shingle is frequent if it is among the first ones of more than so many sets.
+FREQUENT = 32
+#: At most so many frequent shingles, the most frequent ones, are sent to all tasks (12 bytes each).
+FREQUENT_MOST = 1 << 20
+#: Rounds of pivots, and how many of a set's rarest shingles take part in each.
+TURNS = [1, 4, 16]
+#: So many shingles before a posting go with it, so that a pair is formed at its first common one.
+EARLIER = 32
+#: Words of 64 parity bits for each set.
+LANES = 16
 _U = np.uint64
 
 
-def _set_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def required(n):
+    """ceil(0.8 n) in whole numbers, of a number or a column."""
+    return F.floor((n * 4 + 4) / 5).cast("int") if isinstance(n, Column) else (n * 4 + 4) // 5
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def set_ids(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, sid) for each document: the size of its shingle set and the set's id."""
+    """(dk, doc_id, n, sid) for each document: its key, the size of its shingle set and the set's id of 128 bits."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(ids, "doc_id long, n long, sid long")
-
-
-def dealt(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
-    """Occurrences by bucket of the shingle: 48 bits of each shingle, the set it stands in, and the sets' ids and sizes."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-
-        def flush():
-            sids, sets = np.array(list(own), dtype="<i8"), list(own.values())
-            sizes = np.array([len(s) for s in sets], dtype="<i4")
-            shingles = np.concatenate(sets)
-            at = np.repeat(np.arange(len(sets), dtype="<u4"), sizes)
-            bucket = ((shingles & _U(0xFFFF)) % _U(buckets)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            shingles, at, bucket = shingles[order] >> _U(16), at[order], bucket[order]
-            cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            rows = []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                used, place = np.unique(at[i:j], return_inverse=True)
-                wide = "<u2" if len(used) <= 1 << 16 else "<u4"
-                rows.append((int(bucket[i]), (shingles[i:j] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (shingles[i:j] >> _U(32)).astype("<u2").tobytes(), place.astype(wide).tobytes(), sids[used].tobytes(), sizes[used].tobytes()))
-            own.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names=["bucket", "low", "high", "place", "sids", "sizes"])
-
-        held = 0
+            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in shingle_sets(batch.column(2), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["dk", "doc_id", "n", "sid"])
+
+    return docs.select(_key().alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(ids, "dk long, doc_id long, n long, sid binary")
+
+
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(uid, text) of the documents whose keys stand in the table `keys` (uid, dk)."""
+    return docs.select(_key().alias("_key"), F.col("text").cast("string").alias("text")).join(sent(keys.select("uid", "dk")), F.col("_key") == F.col("dk")).select("uid", "text")
+
+
+def frequent_shingles(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, ascending, and their places in the order of rarity."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # half as many again as a prefix has, since frequent ones will give way to later ones
+            own = [s[: (len(s) - required(len(s)) + 1) * 3 // 2] for s in shingle_sets(batch.column(0), words)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["token"])
+
+    counts = texts.select("text").mapInArrow(first, "token long").groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > FREQUENT)
+    found = counts.orderBy(F.desc("sets"), "token").limit(FREQUENT_MOST).toArrow()
+    token = found.column("token").to_numpy().view(_U)[::-1]
+    order = np.argsort(token)
+    return token[order], order.astype(np.int32)
+
+
+def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
+    """(uid, n, pkey, prefix, q0..): each set's prefix, rarest first, a key of it, and parities of the set's shingles."""
+    known = texts.sparkSession.sparkContext.broadcast(frequent)
+    schema = "uid long, n int, pkey binary, prefix array<long>, " + ", ".join(f"q{i} long" for i in range(LANES))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, places = known.value
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, words)
-                if len(s) and (sid := _set_id(s)) not in own:
-                    own[sid] = s
-                    held += len(s)
-                    if held >= FLUSH:
-                        yield flush()
-                        held = 0
-        if own:
-            yield flush()
-
-    return docs.where(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "bucket int, low binary, high binary, place binary, sids binary, sizes binary")
-
-
-def shared_shingles(blobs: DataFrame) -> DataFrame:
-    """(sid, n, df, token) for every shingle that stands in more than one set."""
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        sids, sizes, tokens, places, seen = [], [], [], [], 0
-        for low, high, place, s, z in zip(*(table.column(c).to_pylist() for c in ("low", "high", "place", "sids", "sizes")), strict=True):
-            tokens.append(np.frombuffer(low, "<u4").astype(_U) | np.frombuffer(high, "<u2").astype(_U) << _U(32))
-            places.append(np.frombuffer(place, "<u2" if len(place) == len(high) else "<u4").astype(np.int64) + seen)
-            sids.append(np.frombuffer(s, "<i8"))
-            sizes.append(np.frombuffer(z, "<i4"))
-            seen += len(sids[-1])
-        sid, size, token, place = (np.concatenate(x) for x in (sids, sizes, tokens, places))
-        # a set that several tasks have seen counts once
-        _, first = np.unique(sid, return_index=True)
-        once = np.zeros(len(sid), dtype=bool)
-        once[first] = True
-        keep = once[place]
-        token, place = token[keep], place[keep]
-        order = np.argsort(token, kind="stable")
-        token, place = token[order], place[order]
-        edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
-        runs = np.diff(edge)
-        df = np.repeat(runs, runs)
-        hit = df > 1
-        own = (token[hit] << _U(15) | _U(key[0].as_py())).view(np.int64)
-        return pa.table({"sid": sid[place[hit]], "n": size[place[hit]].astype(np.int32), "df": df[hit].astype(np.int32), "token": own})
-
-    return blobs.groupBy("bucket").applyInArrow(count, "sid long, n int, df int, token long")
-
-
-def required(n: Column) -> Column:
-    """ceil(0.8 n) in whole numbers."""
-    return F.floor((n * 4 + 4) / 5).cast("int")
-
-
-def candidates(shared: DataFrame) -> DataFrame:
-    """(sid, n, tokens, prefix) of the sets whose prefix holds a shared shingle."""
-    sets = shared.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
-    single, length = F.col("n") - F.size("own"), F.col("n") - required(F.col("n")) + 1
-    sets = sets.where(length > single)
-    return sets.select("sid", "n", F.sort_array("own.token").alias("tokens"), F.slice(F.col("own.token"), F.lit(1), (length - single).cast("int")).alias("prefix"), single.alias("single"))
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets with 100 * intersection >= 80 * union."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    met = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return met.where(common * 180 >= (F.col("na") + F.col("nb")) * 80).select("a", "b")
-
-
-def _fits(x: str, y: str, tight: bool = False) -> Column:
-    """Length and positional filters of two postings of one token: sizes, places in the order of rarity."""
+            sizes, keys, own, parities = [], [], [], []
+            for s in shingle_sets(batch.column(1), words):
+                most = len(s) - required(len(s)) + 1
+                at = np.minimum(np.searchsorted(tokens, s), max(0, len(tokens) - 1))
+                often = tokens[at] == s if len(tokens) else np.zeros(len(s), dtype=bool)
+                prefix = s[~often][:most]
+                if len(prefix) < most:
+                    rest = s[often]
+                    prefix = np.concatenate([prefix, rest[np.argsort(places[at[often]])][: most - len(prefix)]])
+                sizes.append(len(s))
+                keys.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
+                own.append(prefix.view(np.int64))
+                odd = np.bincount((s & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+                parities.append(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
+            ends = np.cumsum([0] + [len(p) for p in own], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+            q = np.stack(parities) if parities else np.zeros((0, LANES), dtype="<i8")
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), lists, *[pa.array(q[:, i]) for i in range(LANES)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "n", "pkey", "prefix", *[f"q{i}" for i in range(LANES)]])
+
+    return texts.select("uid", "text").mapInArrow(cut, schema)
+
+
+def _near(x: str, y: str) -> Column:
+    """Parities that differ show shingles that only one of two sets has: a lower bound of how many."""
+    apart = sum((F.bit_count(F.col(f"{x}q{i}").bitwiseXOR(F.col(f"{y}q{i}"))) for i in range(LANES)), F.lit(0))
+    return apart * 9 <= F.col(f"{x}n") + F.col(f"{y}n")
+
+
+def _fits(x: str, y: str) -> Column:
+    """Length and positional filters of two postings of one shingle: sizes, places in the order of rarity."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at"))
-    # shared shingles that may stand before this one: none if the first EARLIER of both hold none in common
-    before = F.least(F.col(f"{x}i"), F.col(f"{y}i"))
-    before = F.when(before > EARLIER, before).otherwise(F.lit(0)) if tight else before
-    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & ((rest + before) * 180 >= (n + m) * 80)
+    rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at")) + F.least(f"{x}at", f"{y}at")
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80)
 
 
-#: Rounds of pivots at most before the rest of the pairs are formed.
-ROUNDS = 3
-#: So many shared shingles before a posting go with it, so that a pair is formed at its first common one.
-EARLIER = 32
-#: Words of 64 parity bits for each set, a power of two.
-LANES = 16
+def _named(df: DataFrame, x: str, key: str = "token") -> DataFrame:
+    return df.select(*[F.col(c) if c == key else F.col(c).alias(f"{x}{c}") for c in df.columns])
+
 
+def verify(pairs: DataFrame, sets: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= 80 * union of the texts' shingles, in a new table.
 
-def parities(sets: DataFrame) -> DataFrame:
-    """(sid, own parities): 64 * LANES bits of each set, each the parity of the shared shingles that hash to it."""
-    tokens = sets.select("sid", F.explode("tokens").alias("t")).select("sid", F.xxhash64("t").alias("h"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int"))
-    tokens = tokens.select("sid", F.col("h").bitwiseAND(F.lit(LANES - 1)).alias("lane"), bit.alias("bit"))
-    return tokens.groupBy("sid").agg(*[F.coalesce(F.expr(f"bit_xor(CASE WHEN lane = {i} THEN bit END)"), F.lit(0).cast("long")).alias(f"q{i}") for i in range(LANES)])
-
-
-def _may_overlap() -> Column:
-    """Parities that differ show shared shingles that only one of two sets has: an upper bound of what they have in common."""
-    differ = lambda i: F.col(f"xq{i}").bitwiseXOR(F.col(f"yq{i}")).bitwiseAND(F.col(f"xs{i}")).bitwiseAND(F.col(f"ys{i}"))
-    apart = sum((F.bit_count(differ(i)) for i in range(LANES)), F.lit(0))
-    most = (F.col("xshared") + F.col("yshared") - apart) * 90
-    return F.coalesce(most >= (F.col("xn") + F.col("yn")) * 80, F.lit(True))
-
-
-def _marks(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """(eid, q0.., s0..): parities of the sets behind each entry, and the bits in which they all agree."""
-    each = named.select("eid", "sid").join(parities(sets), "sid").groupBy("eid")
-    same = [F.expr(f"~(bit_or(q{i}) ^ bit_and(q{i}))").alias(f"s{i}") for i in range(LANES)]
-    return each.agg(*[F.expr(f"bit_and(q{i})").alias(f"q{i}") for i in range(LANES)], *same)
-
-
-def _to_pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each group with one of its list, chosen anew in each turn."""
-    x = lists.select("token", *[F.col(c).alias(f"x{c}") for c in ("gid", "n", "at", "i", "lo", "hi")])
-    y = lists.select("token", *[F.col(c).alias(f"y{c}") for c in ("gid", "n", "at", "i", "lo", "hi")])
-    y = y.groupBy("token").agg(F.min_by(F.struct("ygid", "yn", "yat", "yi", "ylo", "yhi"), F.struct(F.xxhash64("ygid", F.lit(turn)), "ygid")).alias("y")).select("token", "y.*")
-    apart = ~((F.col("xlo") == F.col("xhi")) & (F.col("ylo") == F.col("yhi")) & (F.col("xlo") == F.col("ylo")))
-    return x.join(y, "token").where((F.col("xgid") != F.col("ygid")) & _fits("x", "y") & apart).select(F.col("xgid").alias("a"), F.col("ygid").alias("b"))
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """Verified links that span every component of the sets: those with pivots, then all those between what the pivots leave apart."""
-    grouped = materialize(sets.groupBy("prefix", "n").agg(F.min("sid").alias("gid"), F.min("single").alias("single")))
-    members = materialize(sets.join(grouped.select("prefix", "n", "gid"), ["prefix", "n"]).select("sid", "gid"))
-    entries = grouped.select("gid", "n", F.posexplode("prefix").alias("i", "token"), "single").withColumn("at", F.col("single") + F.col("i")).drop("single")
-    entries = materialize(entries)
-    found = materialize(verify(members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b")), sets))
-    before = None
-    for i in range(ROUNDS + 1):
-        label = components(found)
-        labelled = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        labelled = materialize(labelled)
-        spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        lists = entries.join(spread, "gid")
-        # a list of one label needs no pair
-        open_ = lists.groupBy("token").agg(F.min("lo").alias("tlo"), F.max("hi").alias("thi")).where("tlo <> thi").select("token")
-        lists = materialize(lists.join(open_, "token"))
-        rows = lists.count()
-        if not rows:
-            break
-        # pivots go on while they shorten the lists by a tenth at least
-        last = i == ROUNDS or (before is not None and rows * 10 > before * 9)
-        before = rows
-        if not last:
-            pairs = _to_pivots(lists, i)
-        else:
-            # a group of several labels is taken apart into its members
-            whole = F.when(F.col("lo") == F.col("hi"), F.col("gid")).otherwise(F.col("sid"))
-            named = materialize(labelled.join(spread, "gid").select("gid", "sid", "label", whole.alias("eid")))
-            first = F.slice("prefix", 1, EARLIER)
-            lists = lists.drop("lo", "hi").join(grouped.select("gid", first.alias("own"), (F.col("n") - F.col("single")).alias("shared")), "gid")
-            lists = lists.withColumn("own", F.slice("own", F.lit(1), F.col("i"))).join(named.select("gid", "eid", "label").distinct(), "gid").join(_marks(named, sets), "eid")
-            x = lists.select("token", *[F.col(c).alias(f"x{c}") for c in lists.columns if c != "token"])
-            y = lists.select("token", *[F.col(c).alias(f"y{c}") for c in lists.columns if c != "token"])
-            meet = (F.col("xeid") < F.col("yeid")) & (F.col("xlabel") != F.col("ylabel")) & _fits("x", "y", tight=True) & ~F.arrays_overlap("xown", "yown") & _may_overlap()
-            pairs = x.join(y, "token").where(meet).select("xeid", "yeid").distinct()
-            one = named.select(F.col("eid").alias("xeid"), F.col("sid").alias("a"))
-            two = named.select(F.col("eid").alias("yeid"), F.col("sid").alias("b"))
-            pairs = pairs.join(one, "xeid").join(two, "yeid").select("a", "b")
-        found = materialize(found.union(verify(pairs.distinct(), sets)))
-        if last:
-            break
-    return found
+    Only pairs that the parities let pass meet the texts."""
+    marks = sets.select("uid", "n", *[f"q{i}" for i in range(LANES)])
+    pairs = pairs.join(_named(marks, "x").withColumnRenamed("xuid", "a"), "a").join(_named(marks, "y").withColumnRenamed("yuid", "b"), "b")
+    pairs = materialize(pairs.where(_near("x", "y")).select("a", "b").distinct())
+    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    texts = texts_of(docs, materialize(reps.join(sent(materialize(wanted)), "uid").select("uid", "dk"))).dropDuplicates(["uid"])
+    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True):
+                common = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+                keep.append(common * 180 >= (len(s) + len(t)) * 80)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+
+
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (uid, label) after the links (a, b); a set without a row is its own label."""
+    one = edges.join(labels.select(F.col("uid").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("uid").alias("b"), F.col("label").alias("lb")), "b", "left")
+    joined = components(one.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    joined = materialize(joined)
+    old = labels.join(joined.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left").select("uid", F.coalesce("new", "label").alias("label"))
+    fresh = joined.select(F.col("node").alias("uid"), "label").join(labels.select("uid"), "uid", "left_anti")
+    return materialize(old.union(fresh))
+
+
+def label_sets(sets: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(uid, label): equal labels for sets that verified links connect; sets without a row are alone."""
+    heads = sets.groupBy("pkey", "n").agg(F.min("uid").alias("gid"), F.count("*").alias("c")).where("c > 1")
+    pairs = sets.select("uid", "pkey", "n").join(heads, ["pkey", "n"]).where("uid <> gid").select(F.col("gid").alias("a"), F.col("uid").alias("b"))
+    # a group's row stands for the members that link with its head; others stand for themselves
+    inside = verify(pairs, sets, reps, docs, words)
+    members = materialize(inside.select(F.col("b").alias("uid"), F.col("a").alias("gid")))
+    labels = materialize(members.select("uid", F.col("gid").alias("label")).union(members.select(F.col("gid").alias("uid"), F.col("gid").alias("label")).distinct()))
+    entries = sets.join(sent(members.select("uid")), "uid", "left_anti").select(F.col("uid").alias("gid"), "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    lists = materialize(entries.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1").drop("sets"))
+
+    def open_lists() -> DataFrame:
+        own = lists.join(sent(labels), F.col("gid") == F.col("uid"), "left").select("token", "gid", "n", "at", F.coalesce("label", "gid").alias("label"))
+        several = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        return materialize(own.join(several, "token"))
+
+    for turn, most in enumerate(TURNS):
+        own = open_lists().where(F.col("at") < most)
+        # each list has a pivot of its own in all turns but the first
+        by = F.struct(F.xxhash64("gid", *([F.lit(turn), F.col("token")] if turn else [])), "gid")
+        pivots = own.groupBy("token").agg(F.min_by(F.struct("gid", "n", "at", "label"), by).alias("p")).select("token", "p.*")
+        met = _named(own, "x").join(_named(pivots, "y"), "token").where((F.col("xlabel") != F.col("ylabel")) & _fits("x", "y"))
+        found = verify(met.select(F.col("ygid").alias("a"), F.col("xgid").alias("b")).distinct(), sets, reps, docs, words)
+        labels = _relabel(labels, found)
+
+    # all pairs of different labels; a group is taken apart into its members when a pair is expanded
+    rest = open_lists()
+    wide = sets.select(F.col("uid").alias("gid"), F.slice("prefix", 1, EARLIER).alias("own"), *[f"q{i}" for i in range(LANES)])
+    heads = members.select("gid").distinct().withColumn("grouped", F.lit(True))
+    rest = rest.join(wide, "gid").join(sent(materialize(heads)), "gid", "left").withColumn("own", F.slice("own", F.lit(1), F.col("at")))
+    # parities speak for a set alone, not for a group's other members
+    meet = (F.col("xgid") < F.col("ygid")) & (F.col("xlabel") != F.col("ylabel")) & _fits("x", "y") & ~F.arrays_overlap("xown", "yown")
+    meet = meet & (F.col("xgrouped").isNotNull() | F.col("ygrouped").isNotNull() | _near("x", "y"))
+    pairs = materialize(_named(rest, "x").join(_named(rest, "y"), "token").where(meet).select("xgid", "ygid").distinct())
+    either = lambda c: members.select(F.col("gid").alias(c), "uid").union(members.select(F.col("gid").alias(c), F.col("gid").alias("uid")).distinct())
+    expanded = pairs.join(either("xgid").withColumnRenamed("uid", "a"), "xgid", "left").join(either("ygid").withColumnRenamed("uid", "b"), "ygid", "left")
+    return _relabel(labels, verify(expanded.select(F.coalesce("a", "xgid").alias("a"), F.coalesce("b", "ygid").alias("b")), sets, reps, docs, words))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -239,17 +208,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     is the smallest doc_id reachable by links. Null, empty and blank texts have no shingles and
     link with nothing: their component is their own doc_id. Equal texts are always linked. A null
     doc_id stays null and never becomes a component's id while the component has another. Columns
-    other than doc_id and text are ignored. No rows give no rows."""
-    spark = docs.sparkSession
+    other than doc_id and text are ignored. No rows give no rows. Shingles are 64-bit hashes."""
     own = materialize(set_ids(docs, words))
-    # at most 2**15 buckets, so that a shingle's 48 bits and its bucket fit a long
-    buckets = min(1 << 15, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = materialize(candidates(shared_shingles(dealt(docs, buckets, words))))
-    label = components(links(sets))
-    least = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    classes = least.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    roots = classes.where(F.col("first").isNotNull()).groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = classes.join(roots, "label", "left").select("sid", "component_id")
+    distinct = own.where("n > 0").groupBy("sid").agg(F.min("dk").alias("dk"), F.min("doc_id").alias("first"))
+    reps = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()))
+    texts = texts_of(docs, reps)
+    sets = materialize(prefixes(texts, frequent_shingles(texts, words), words))
+    if sets.count() > reps.count():  # repeated rows have one key
+        sets = materialize(sets.dropDuplicates(["uid"]))
+    labels = label_sets(sets, reps, docs, words)
+    classes = reps.select("uid", "sid", "first").join(labels, "uid", "left").select("sid", "first", F.coalesce("label", "uid").alias("label"))
+    roots = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    classes = classes.join(roots, "label").select("sid", "component_id")
     out = own.join(classes, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

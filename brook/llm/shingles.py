@@ -7,7 +7,10 @@ in order. Equal shingles always have equal hashes; different ones collide with p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,3 +73,43 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes (uint64) of a text; empty for null."""
     return np.unique(shingle_hashes(word_hashes((text or "").encode()), size))
+
+
+#: Bytes of text hashed at a time; a longer text is taken alone.
+CHUNK = 1 << 20
+
+
+def _chunk(raw: np.ndarray, cuts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text raw[cuts[i]:cuts[i + 1]]."""
+    n = len(raw)
+    raw = LOWER[raw]
+    inside = np.empty(n + 2, dtype=bool)
+    inside[0] = inside[-1] = False
+    np.logical_not(SPACE[raw], out=inside[1:-1])
+    first = np.zeros(n + 1, dtype=bool)
+    first[cuts] = True
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
+    with np.errstate(over="ignore"):
+        sums = np.empty(n + 1, dtype=_U)
+        sums[0] = 0
+        np.cumsum((raw.astype(_U) + _U(1)) * _power(_BASE, n), out=sums[1:])
+        words = mix((sums[end] - sums[start]) * _power(_INVERSE, n)[start] + (end - start).astype(_U))
+    at = np.searchsorted(start, cuts)
+    every = shingle_hashes(words, size) if len(words) >= size else None
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out.append(np.unique(every[i : j - size + 1] if j - i >= size else shingle_hashes(words[i:j], size)))
+    return out
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """shingle_set() of each text of an Arrow column, many texts at a time."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
+        yield from _chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+        i = j

@@ -98,3 +98,16 @@ def test_pack_round_trip(spark):
             end += n
         assert end <= 64
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_shingles_of_a_batch_equal_those_of_each_text():
+    import pyarrow as pa
+
+    from brook.llm.shingles import shingle_set, shingle_sets
+
+    random.seed(1)
+    texts = ["", None, " ", "a", "a b", "A B c d", "x y z u v", "x y z u v\tw", "end", " lead trail  ", "w " * 100_000]
+    texts += [" ".join(random.choice(["foo", "Bar", "baz\n", "qü", "é"]) for _ in range(random.randint(0, 60))) for _ in range(300)]
+    for column, want in ((pa.array(texts), texts), (pa.array(texts).slice(3, 50), texts[3:53])):
+        got = list(shingle_sets(column, 5))
+        assert len(got) == len(want) and all(np.array_equal(a, shingle_set(b, 5)) for a, b in zip(got, want))
