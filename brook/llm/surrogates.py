@@ -1,31 +1,39 @@
 """PII: detected entities are replaced by keyed surrogates of the same type and format.
 
 The entities of the corpus are collected as a table of distinct values, so that one value has one
-surrogate everywhere (coreference) however it is written. A surrogate comes from a keyed digest of
-the value; two values that would get the same one, or a value that stands in the corpus itself, take
-the digest of the next turn until all are distinct. Digits are put into the places of the original's
-digits. Letters of names, addresses and secrets go into the places of the original's letters: those
-of names and addresses keep the script, those of names and secrets also the case (addresses are
-lower case, so that one address looks the same everywhere). Titled names keep their gender.
+surrogate everywhere (coreference) however it is written; a name counts word by word, so that its
+parts are the same in other names, and the last word of a titled name is replaced where it stands
+alone in the same text. A surrogate comes from a keyed digest (HMAC) of the value; two values that
+would get the same one, or a value that stands in the corpus itself, take the digest of the next
+turn until all are distinct. Digits are put into the places of the original's digits; phone numbers keep their
+country code, cards their first digit and whether their check digit fits. Letters of names, addresses
+and secrets go into the places of the original's letters: those of names and addresses keep the
+script, those of names and secrets also the case (addresses are lower case, so that one address
+looks the same everywhere). Titles and particles stay, so titled names keep their gender.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, sent
 
 _TITLES = "Mrs|Mr|Ms|Herr|Frau|Monsieur|Madame|Señora|Señor"
-_INITIALS = r"(?:\p{Lu}\. ?)*"
-_NAME = rf"(?!(?:{_TITLES})\b)(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}]*(?:[-'’]\p{{Lu}}[\p{{L}}\p{{M}}]*)*"
-_PARTICLES = r"(?:(?:von|van|der|den|de|di|du|da|la|le|del|zu) )*"
-#: One or more words of a name, with initials and particles.
-_NAMES = rf"{_PARTICLES}{_INITIALS}{_NAME}(?: {_PARTICLES}{_INITIALS}{_NAME})*"
+# repeats of groups are bounded or possessive, so that no text takes a deep stack
+_INITIALS = r"(?:\p{Lu}\. ?){0,4}"
+_NAME = rf"(?!(?:{_TITLES})\b)(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}]*(?:[-'’]\p{{Lu}}[\p{{L}}\p{{M}}]*){{0,4}}"
+PARTICLES = "von van der den de di du da la le del zu".split()
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+#: One to five words of a name, with initials and particles.
+_NAMES = rf"{_PARTICLES}{_INITIALS}{_NAME}(?: {_PARTICLES}{_INITIALS}{_NAME}){{0,4}}"
+_LOCAL = r"\p{L}\p{N}._%+-"
 
 #: Patterns of the entities, the first that fits wins (fixed values).
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)++",
     "secret": r"\b[0-9a-fA-F]{32,64}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}\b",
@@ -40,8 +48,11 @@ SCRIPTS = {"Cyrillic": "абцдефгхийклмнопщрстувшжыз", "
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: From this turn on, names and addresses grow by letters, so that short ones never run out.
 LONGER = 3
-KEY = "surrogate-key"
+#: Turns after which a type counts as having no free surrogates.
+TURNS = 64
 DIGITS = 40
+#: The entities of at most so many documents are sent to all tasks; more are shuffled.
+SENT = 200_000
 
 _ANY = "|".join(PATTERNS.values())
 
@@ -54,17 +65,21 @@ def _type(value: Column) -> Column:
 
 
 def _plain(value: Column, kind: Column) -> Column:
-    """The value as it is compared: digits alone for numbers, lower case for mail addresses, secrets and names, the last without the title."""
+    """The value as it is compared: digits alone for numbers, lower case for mail addresses, secrets and words of names."""
     return (
         F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(value, r"\D", ""))
-        .when(kind.isin("email", "secret"), F.lower(value))
-        .when(kind.isin("male", "female"), F.lower(F.regexp_replace(value, r"^\S+ ", "")))
+        .when(kind.isin("email", "secret", "name", "initial"), F.lower(value))
         .otherwise(value)
     )
 
 
 def _digest(key: str, kind: Column, plain: Column, turn: int) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, plain, F.lit(str(turn))), 256)
+    """HMAC-SHA256 in hexadecimal digits."""
+    raw = key.encode()
+    block = (raw if len(raw) <= 64 else hashlib.sha256(raw).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(c ^ pad for c in block)) for pad in (0x36, 0x5C))
+    message = F.encode(F.concat_ws("\x1f", kind, plain, F.lit(str(turn))), "UTF-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def _digits(digest: Column) -> Column:
@@ -94,8 +109,15 @@ def _letters(plain: Column, digest: Column) -> Column:
 
 def _surrogate(kind: Column, plain: Column, digest: Column, turn: int = 0) -> Column:
     """The surrogate of the compared form."""
-    octets = F.concat_ws(".", F.lit("10"), *[(_number(digest, 1 + 8 * i, 254) + 1).cast("string") for i in range(3)])
-    numbers = F.concat(F.substring(plain, 1, 0), F.rpad(F.substring(_digits(digest), F.lit(1), F.length(plain)), F.length(plain), "7"))
+    octets = F.concat_ws(".", (_number(digest, 25, 15) + 240).cast("string"), *[(_number(digest, 1 + 8 * i, 254) + 1).cast("string") for i in range(3)])
+    digits, size = _digits(digest), F.length(plain)
+    of = lambda n: F.rpad(F.substring(digits, F.lit(1), n), n, "7")
+    # zones 1 and 7 have codes of one digit
+    code = F.when(F.substring(plain, 1, 1).isin("1", "7"), 1).otherwise(2)
+    phone = F.concat(F.substring(plain, F.lit(1), code), of(size - code))
+    body = F.concat(F.substring(plain, 1, 1), of(size - 2))
+    fits = F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.call_function("luhn_check", F.concat(body, d)))
+    card = F.concat(body, F.when(F.call_function("luhn_check", plain), F.get(fits, F.lit(0))).otherwise(F.substring(digits, 40, 1)))
     # letters of the first letter's script; none in the first turns
     longer = lambda x: F.concat(x, _letters(F.repeat(F.regexp_extract(x, r"\p{L}", 0), 4 * max(0, turn - LONGER + 1)), F.sha2(digest, 256)))
     # the last label gives way to one that never exists
@@ -105,35 +127,36 @@ def _surrogate(kind: Column, plain: Column, digest: Column, turn: int = 0) -> Co
         F.when(kind == "email", mail)
         .when(kind == "secret", F.substring(F.concat(digest, digest), F.lit(1), F.length(plain)))
         .when(kind == "ip", octets)
-        .when(kind.isin("male", "female"), longer(_letters(plain, digest)))
-        .otherwise(numbers)
+        .when(kind.isin("name", "male", "female"), longer(_letters(plain, digest)))
+        .when(kind == "phone", phone)
+        .when(kind == "card", card)
+        .otherwise(of(size))
     )
 
 
 def _dressed(value: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of one occurrence: digits in the places of its digits, letters in the case of its letters; a name behind its title."""
+    """The surrogate in the format of one occurrence: digits in the places of its digits, letters in the case of its letters."""
     # digits go into places from the left, as many as there are
     chars = F.split(value, "")
     before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"\D", ""))
     placed = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(surrogate, before(i) + 1, F.lit(1))).otherwise(c)), "")
-    title = F.when(kind.isin("male", "female"), F.regexp_extract(value, r"^\S+ ", 0)).otherwise(F.lit(""))
-    own = F.substring(value, F.length(title) + 1, F.length(value))
+    own = value
     # a secret without lower case is upper case; else, as in names, each letter has the case of the one in its place
     is_upper = lambda c: c.rlike(r"\p{Lu}")
     like = lambda c, i: F.when(is_upper(F.substring(own, i + 1, F.lit(1))), F.upper(c)).otherwise(c)
     cased = F.when(is_upper(own) & ~own.rlike(r"\p{Ll}"), F.upper(surrogate)).otherwise(F.array_join(F.transform(F.split(surrogate, ""), like), ""))
     return (
         F.when(kind.isin("phone", "ssn", "card"), placed)
-        .when(kind.isin("male", "female", "secret"), F.concat(title, cased))
+        .when(kind.isin("name", "initial", "secret"), cased)
         .otherwise(surrogate)
     )
 
 
-def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
+def mapping(entities: DataFrame, key: str) -> DataFrame:
     """(kind, plain, surrogate) for distinct (kind, plain): surrogates are distinct and none is itself a value.
 
     Each turn settles the values whose candidate is free; of several with one candidate, the first.
-    Turns go on until none is left."""
+    Turns go on until none is left; after TURNS of them the values of a type fill its space, which is an error."""
     open_ = materialize(entities.select("kind", "plain").distinct())
     everything, done, turn = open_, None, 0
     while True:
@@ -147,35 +170,51 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
         if open_.isEmpty():
             return done
         turn += 1
+        if turn == TURNS:
+            raise ValueError(f"no free surrogates left for {open_.select('kind').first()[0]}")
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """All columns of `docs` with entities in `text` replaced, and n_entities and kinds (sorted, distinct).
 
     One value has one surrogate in all documents, whatever its separators; different values have
-    different ones. Null texts stay null and hold none. Repeated rows get the same text. Columns
-    n_entities and kinds of `docs` are replaced. No rows give no rows."""
+    different ones. Initials alone may share theirs. Null texts stay null and hold none. Repeated rows get the same text. Columns
+    n_entities and kinds of `docs` are replaced; any other names may be there. No rows give no rows."""
     text = F.col("text").cast("string")
-    ids = docs.withColumn("_dk", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))))
-    # a text without a digit, an at sign or a title holds nothing
-    maybe = F.coalesce(text.rlike(r"[0-9@]|Mr|Ms|Herr|Frau|Monsieur|Madame|Señor"), F.lit(False))
-    found = ids.where(maybe).select("_dk", F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)).alias("_found")).where(F.size("_found") > 0).dropDuplicates(["_dk"])
-    each = found.select("_dk", F.posexplode("_found").alias("_at", "value"))
-    each = each.withColumn("kind", _type(F.col("value"))).withColumn("plain", _plain(F.col("value"), F.col("kind")))
-    each = materialize(each.where("kind is not null"))
-    named = each.join(mapping(each, key), ["kind", "plain"]).withColumn("new", _dressed(F.col("value"), F.col("kind"), F.col("surrogate")))
-    per = named.groupBy("_dk").agg(F.sort_array(F.collect_list(F.struct("_at", "new"))).alias("_new"), F.sort_array(F.collect_set("kind")).alias("_kinds"))
-    per = per.select(F.col("_dk").alias("_key"), F.col("_new.new").alias("_new"), "_kinds")
-    out = ids.join(per, F.col("_dk") == F.col("_key"), "left")
-    parts = F.split(text, _ANY, -1)
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.col("_new").alias("n")), lambda z: F.array(z["p"], F.coalesce(z["n"], F.lit(""))))), "")
-    out = out.withColumn("text", F.when(F.col("_new").isNotNull(), joined).otherwise(F.col("text")))
-    out = out.withColumn("n_entities", F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))).withColumn("kinds", F.coalesce("_kinds", F.expr("array()").cast("array<string>")))
-    return out.select(*[c for c in docs.columns if c not in ("n_entities", "kinds")], "n_entities", "kinds")
+    ids = docs.select(F.struct("*").alias("doc"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))).alias("dk"))
+    # a text without a digit, an at sign, a title or a long run of hexadecimal letters holds nothing
+    maybe = F.coalesce(F.col("text").rlike(r"[0-9@]|Mr|Ms|Herr|Frau|Monsieur|Madame|Señor|[a-fA-F]{32}"), F.lit(False))
+    found = ids.where(maybe).select("dk", F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)).alias("found")).where(F.size("found") > 0).dropDuplicates(["dk"])
+    each = found.select("dk", F.posexplode("found").alias("at", "value")).withColumn("type", _type(F.col("value")))
+    named = F.col("type").isin("male", "female")
+    pieces = each.select("dk", "at", "type", F.posexplode(F.when(named, F.split("value", " ")).otherwise(F.array("value"))).alias("i", "piece"))
+    # titles and particles have no kind
+    word = F.when((F.col("i") == 0) | F.col("piece").isin(PARTICLES), None).when(F.col("piece").rlike(r"^(?:\p{Lu}\.){1,4}$"), F.lit("initial")).otherwise(F.lit("name"))
+    pieces = pieces.withColumn("kind", F.when(named, word).otherwise(F.col("type"))).withColumn("plain", _plain(F.col("piece"), F.col("kind")))
+    pieces = materialize(pieces)
+    known = mapping(pieces.where(F.col("kind").isNotNull() & (F.col("kind") != "initial")), key)
+    pieces = pieces.join(sent(known), ["kind", "plain"], "left")
+    initial = _letters(F.col("plain"), _digest(key, F.col("kind"), F.col("plain"), 0))
+    new = F.when(F.col("kind").isNull(), F.col("piece")).otherwise(_dressed(F.col("piece"), F.col("kind"), F.when(F.col("kind") == "initial", initial).otherwise(F.col("surrogate"))))
+    pieces = pieces.withColumn("new", new)
+    own = F.sort_array(F.collect_list(F.struct("i", "new", "piece", "kind")))
+    whole = pieces.groupBy("dk", "at", "type").agg(own.alias("x")).withColumn("last", F.element_at("x", -1))
+    alone = F.when((F.col("last.kind") == "name") & (F.length("last.piece") > 2), F.struct(F.col("last.piece").alias("old"), F.col("last.new").alias("new")))
+    per = whole.select("dk", "at", "type", F.array_join("x.new", " ").alias("new"), alone.alias("alone"))
+    per = per.groupBy("dk").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"), F.sort_array(F.collect_set("type")).alias("kinds"), F.sort_array(F.collect_set("alone")).alias("alone"))
+    per = materialize(per.select("dk", F.col("new.new").alias("new"), "kinds", "alone"))
+    out = ids.join(sent(per, SENT), "dk", "left")
+    # the last words of titled names where they stand alone
+    bare = lambda x: F.aggregate("alone", x, lambda t, a: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}])\Q"), a["old"], F.lit(r"\E(?![\p{L}\p{M}])")), a["new"]))
+    parts = F.split("text", _ANY, -1)
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.col("new").alias("n")), lambda z: F.array(bare(z["p"]), F.coalesce(z["n"], F.lit(""))))), "")
+    new_text = F.when(F.col("new").isNotNull(), joined).otherwise(F.col("doc.text"))
+    columns = [new_text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_entities", "kinds")]
+    return out.select(*columns, F.when(F.col("new").isNull(), 0).otherwise(F.size("new")).alias("n_entities"), F.coalesce("kinds", F.expr("array()").cast("array<string>")).alias("kinds"))
 
 
 def op5_surrogates(spark, sf_dir):
-    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), key="key of the query only")
 
 
 QUERIES = {"op5_surrogates": op5_surrogates}

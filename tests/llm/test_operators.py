@@ -227,7 +227,7 @@ def test_decontamination_of_edited_items(spark):
 def test_surrogates(spark):
     text = "Mail Ann.B@mail.example.com or +1 (017) 555-7713, +1 017 555 7713 from 1.2.3.4. Frau Weber met Herr Weber; 4651971212855890 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
     rows = [(1, text, "s"), (2, "again ann.b@mail.example.com", "s"), (3, None, "s"), (4, "clean", "s"), (1, text, "s")]
-    out = surrogates.pseudonymize(_docs(spark, rows)).orderBy("doc_id").collect()
+    out = surrogates.pseudonymize(_docs(spark, rows), "k").orderBy("doc_id").collect()
     one, two = out[0].text, out[2].text
     assert len(out) == 5 and out[0].text == out[1].text and out[3].text is None and out[4].text == "clean"
     for gone in ("Ann", "555-7713", "1.2.3.4", "Weber", "4651971212855890", "04dbebab"):
@@ -237,13 +237,13 @@ def test_surrogates(spark):
     a, b = re.findall(r"\+\d \(?\d{3}\)? \d{3}[- ]\d{4}", one)
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and "(" in a and "(" not in b
     assert re.search(r"Frau \p{L}+ met Herr \p{L}+;".replace(r"\p{L}", r"\w"), one)
-    assert surrogates.pseudonymize(_docs(spark, rows).limit(0)).count() == 0
+    assert surrogates.pseudonymize(_docs(spark, rows).limit(0), "k").count() == 0
 
 
 def test_surrogates_keep_shape_case_and_script(spark):
     secret = "9233A8EC" * 5
     text = f'TOKEN = "{secret}" and {secret.lower()}\nMr John Smith-Jones left. Mrs DeVries met Mr McDonald and Frau von Stein. Herr Иванов, Herr Παπας, Mr J. Brown! Herr ИВАНОВ; mail иван.p7@ex-ample.org'
-    new = surrogates.pseudonymize(_docs(spark, [(1, text, "s")])).first().text
+    new = surrogates.pseudonymize(_docs(spark, [(1, text, "s")]), "k").first().text
     for gone in (secret, secret.lower(), "John", "Smith", "Jones", "DeVries", "Vries", "McDonald", "Stein", "Иванов", "ИВАНОВ", "Παπας", "Brown", "иван", "ex-ample"):
         assert gone not in new
     up, low = re.search(r'TOKEN = "([0-9A-F]{40})" and ([0-9a-f]{40})\n', new).groups()
@@ -254,12 +254,12 @@ def test_surrogates_keep_shape_case_and_script(spark):
     assert found and found[1].upper() == found[2], new
     # short names are distinct too
     values = spark.createDataFrame([("male", a + b) for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"], "kind string, plain string")
-    assert values.count() == len({r.surrogate for r in surrogates.mapping(values).collect()})
+    assert values.count() == len({r.surrogate for r in surrogates.mapping(values, "k").collect()})
 
 
 def test_surrogates_are_distinct(spark):
     values = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, plain string")
-    out = surrogates.mapping(values).collect()
+    out = surrogates.mapping(values, "k").collect()
     assert len(out) == 300 == len({r.surrogate for r in out})
     assert not {r.surrogate for r in out} & {f"{i:03d}" for i in range(300)}
 
