@@ -14,8 +14,8 @@ from .common import materialize, read
 
 #: (host, path, verdict); the empty host fits none.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Hosts whose pages' canonical URLs make up the list.
-LISTED_HOSTS = ["spam-farm", "cheap-pills"]
+#: The query lists the canonical URLs of every so manieth page.
+LISTED = 50
 BITS_A_URL, LANES = 12, 8
 #: A filter of at most so many blocks (64 bytes each) is sent to all tasks.
 BROADCAST_BLOCKS = 1 << 16
@@ -35,9 +35,11 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """Host without `www.` or `m.`, and path without a last slash; null without a host."""
-    plain = F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"/+$", ""))
-    return F.when(host != "", plain)
+    """Host without user, default port, last dot, `www.` or `m.`, and path without a last slash; null without a host."""
+    plain = host
+    for part in (r"^.*@", r":(80|443)?$", r"\.$", r"^(www|m)\."):
+        plain = F.regexp_replace(plain, part, "")
+    return F.when(host != "", F.concat(plain, F.regexp_replace(path, r"/+$", "")))
 
 
 def rule_of(host: Column, path: Column, rules=None) -> tuple[Column, Column]:
@@ -91,9 +93,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=None) -> DataFrame:
 
 def op8_blocked_bloom(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    host = host_of(F.col("url"))
-    listed = pages.where(F.split(F.regexp_replace(host, r"^(www|m|blog)\.", ""), r"\.")[0].isin(LISTED_HOSTS))
-    return judge_urls(pages, listed.select(canonical(host, path_of(F.col("url"))).alias("url")))
+    listed = pages.where(F.col("page_id") % LISTED == 0)
+    return judge_urls(pages, listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("url")))
 
 
 QUERIES = {"op8_blocked_bloom": op8_blocked_bloom}
@@ -105,8 +106,8 @@ WITH s AS (
     CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages),
-c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') END AS own FROM s),
-listed AS (SELECT DISTINCT own FROM c WHERE split_part(regexp_replace(host, '^(www|m|blog)\.', ''), '.', 1) IN ('spam-farm', 'cheap-pills')),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\.$', ''), '^(www|m)\.', '') || regexp_replace(path, '/+$', '') END AS own FROM s),
+listed AS (SELECT DISTINCT own FROM c WHERE page_id % 50 = 0),
 rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 fit AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled
