@@ -97,8 +97,10 @@ def reduce_by_dominance(lengths: _Lengths, capacity: int) -> list[tuple[int, tup
             for w in {*best}:
                 uses = best.count(w) + (w == j)
                 times = min(times, (lengths.n.get(w, 0) + (w == j)) // uses)
-            if times > 1 and j not in best and len(best) == 2:
-                times = 1  # the second member was chosen among those that were left
+            if len(best) == 2:
+                # the choice looks at no more than three of a length, so it stays while four of each are left
+                held = lambda w: lengths.n.get(w, 0) + (w == j)
+                times = max(1, min((held(w) - 4) // (best.count(w) + (w == j)) for w in {j, *best}))
             for w in best:
                 lengths.take(w, times)
             if times > 1:
