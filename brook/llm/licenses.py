@@ -50,16 +50,47 @@ _MIT = (
 
 #: Wording of the licenses (fixed values), with this module's markup.
 TEMPLATES = {
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use this [[file]] [[work]] except in compliance with the license "
+        "you may obtain a copy of the license at {{1}} www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "bsl-1.0": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following "
+        "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part "
+        "and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"
+    ),
+    "gpl-notice": (
+        "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1}} of the license or [[at your option]] any later version "
+        "[[this program]] {{4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+    ),
+    "mpl-2.0-notice": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 "
+        "if a copy of the mpl was not distributed with this file you can obtain one at {{1}} [[www]] mozilla org mpl 2 0"
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "[[3]] this notice may not be removed or altered from any source distribution"
+    ),
     "0bsd": _ISC_GRANT + _ISC_DISCLAIMER,
-    "apache-2.0": "licensed under the apache license [[,]] version 2 [[0]]",
+    "apache-2.0": "licensed under the apache license version 2 [[0]]",
     "bsd-2-clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
     "bsd-3-clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
     "cc-by-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0",
     "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0",
     "copyright": "copyright [[c]] {{8}} all rights reserved",
-    "gpl-2.0": "[[this work is]] licensed under the gnu general public license [[,]] version 2",
-    "gpl-3.0": "[[this work is]] licensed under the gnu general public license [[,]] version 3",
+    "gpl-2.0": "[[this work is]] licensed under the gnu general public license version 2",
+    "gpl-3.0": "[[this work is]] licensed under the gnu general public license version 3",
     "isc": _ISC_GRANT + _ISC_NOTICE + _ISC_DISCLAIMER,
     "mit": "released under the mit license",
     "mit-text": _MIT,
@@ -91,10 +122,12 @@ class Automaton:
     def first_words(self) -> set[bytes]:
         out: set[bytes] = set()
         for kind, what in self.step:
+            if kind == "gap":
+                raise ValueError("a template must not begin with a gap")
             out.add(what[0] if kind == "optional" else what)
             if kind == "word":
-                break
-        return out
+                return out
+        raise ValueError("a template needs a mandatory word")
 
     def accepts(self, words: list[bytes], at: int) -> int | None:
         """Where an accepted place that starts at word `at` ends, the earliest end; None if there is none."""
