@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, read
+from .common import SPACES, materialize, read, sent
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -19,6 +19,9 @@ LINE_DOCUMENTS = 20
 #: A document that keeps less than this share of its words is depleted.
 LEAST_SHARE = 0.3
 
+#: The verdicts of at most so many documents are sent to all tasks; more are shuffled.
+SENT = 500_000
+
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -97,14 +100,18 @@ def judge(docs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without the lines above the limit; all columns of `docs` stay."""
+    """The documents that are kept, without the lines above the limit; all columns of `docs` stay, whatever their names.
+
+    Null, empty and short texts are rejected. A null source is a host of its own. Repeated rows stay
+    or go together. No rows give no rows."""
     frequent = materialize(frequent_lines(docs))
-    good = judge(docs, frequent).where("kept").select(F.col("dk").alias("_dk")).distinct()
-    cut = frequent.select(F.col("dk").alias("_dk"), "lines")
+    good = judge(docs, frequent).where("kept").select("dk").distinct()
+    cut = materialize(good.join(frequent.select("dk", "lines"), "dk", "left"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("_key", key).join(good.join(cut, "_dk", "left"), F.col("_key") == F.col("_dk"))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("lines"), _line_key(x))), "\n")
-    return out.withColumn("text", F.when(F.size("lines") > 0, rest).otherwise(F.col("text"))).select(*docs.columns)
+    out = docs.select(F.struct("*").alias("doc"), key.alias("dk")).join(sent(cut, SENT), "dk")
+    rest = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x: ~F.array_contains(F.col("lines"), _line_key(x))), "\n")
+    text = F.when(F.size("lines") > 0, rest).otherwise(F.col("doc.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op9_line_frequency(spark, sf_dir):
