@@ -201,14 +201,8 @@ def label_sets(sets: DataFrame, reps: DataFrame, docs: DataFrame, words: int = W
     return _relabel(labels, verify(expanded.select(F.coalesce("a", "xgid").alias("a"), F.coalesce("b", "ygid").alias("b")), sets, reps, docs, words))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row for each document.
-
-    Two documents link when 100 * intersection >= 80 * union of their shingle sets; component_id
-    is the smallest doc_id reachable by links. Null, empty and blank texts have no shingles and
-    link with nothing: their component is their own doc_id. Equal texts are always linked. A null
-    doc_id stays null and never becomes a component's id while the component has another. Columns
-    other than doc_id and text are ignored. No rows give no rows. Shingles are 64-bit hashes."""
+def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (dk, doc_id, n, sid), and (sid, first, label) of their sets with the smallest doc_id of each set."""
     own = materialize(set_ids(docs, words))
     distinct = own.where("n > 0").groupBy("sid").agg(F.min("dk").alias("dk"), F.min("doc_id").alias("first"))
     reps = materialize(distinct.withColumn("uid", F.monotonically_increasing_id()))
@@ -217,13 +211,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     if sets.count() > reps.count():  # repeated rows have one key
         sets = materialize(sets.dropDuplicates(["uid"]))
     labels = label_sets(sets, reps, docs, words)
-    classes = reps.select("uid", "sid", "first").join(labels, "uid", "left").select("sid", "first", F.coalesce("label", "uid").alias("label"))
+    return own, reps.select("uid", "sid", "first").join(labels, "uid", "left").select("sid", "first", F.coalesce("label", "uid").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row for each document.
+
+    Two documents link when 100 * intersection >= 80 * union of their shingle sets; component_id
+    is the smallest doc_id reachable by links. Null, empty and blank texts have no shingles and
+    link with nothing: their component is their own doc_id. Equal texts are always linked. A null
+    doc_id stays null and never becomes a component's id while the component has another. Columns
+    other than doc_id and text are ignored. No rows give no rows. Shingles are 64-bit hashes."""
+    own, classes = _classes(docs, words)
     roots = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = classes.join(roots, "label").select("sid", "component_id")
     out = own.join(classes, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of `docs`, with all columns, that come first among the documents they are linked with, directly or by others.
+
+    First is the smallest doc_id, a null one last; of several texts with it, the one with the smallest hash. Of repeated
+    rows one stays. Null, empty and blank texts link with nothing and all stay. Any column names may
+    be there. No rows give no rows."""
+    own, classes = _classes(docs, words)
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "dk")
+    firsts = own.where("n > 0").groupBy("sid").agg(F.min(place).alias("place")).join(classes.select("sid", "label"), "sid")
+    firsts = materialize(firsts.groupBy("label").agg(F.min("place").alias("place")).select("place.dk"))
+    empty = materialize(own.where("n = 0").select("dk").distinct())
+    left = docs.select(F.struct("*").alias("doc"), _key().alias("dk"))
+    kept = left.join(sent(firsts), "dk", "left_semi").dropDuplicates(["dk"])
+    return kept.union(left.join(sent(empty), "dk", "left_semi")).select("doc.*")
+
+
 def op6_grouped_prefix_join(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
