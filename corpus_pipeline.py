@@ -10,31 +10,34 @@ from brook.llm.common import materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines that are too frequent in their host."""
+    """Documents that the rules keep, without lines that are too frequent in their host.
+
+    Null, empty and short texts are rejected; repeated rows stay or go together; no rows give no rows."""
     return quality_rules.filter_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines, short ones too, that match an earlier one; a document of which nothing is left goes."""
+    """Documents without lines, short ones too, that match an earlier one; a document of which nothing is left goes.
+
+    Null and empty texts stay as they are, as does any text without a removed line."""
     out = line_dedup.dedup_lines(docs)
-    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id, once."""
-    groups = ngram_join.near_duplicates(docs)
-    first = groups.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each group of near copies: that with the smallest doc_id, once; a null doc_id comes last.
+
+    Null, empty and blank texts are no copies and stay."""
+    return ngram_join.first_of_groups(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and an empty benchmark has none."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' tokens in sequences."""
+    """Places of all documents' tokens in sequences; null and empty texts have one token."""
     return packing.pack(docs, packing.tokenizer_path())
 
 
@@ -45,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written as Parquet and read again; the last one's places."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
