@@ -102,12 +102,13 @@ def _letters(plain: Column, digest: Column) -> Column:
         out = latin
         for script, letters in SCRIPTS.items():
             out = F.when(c.rlike(rf"\p{{Is{script}}}"), F.translate(latin, LATIN, letters)).otherwise(out)
-        return F.when(c.rlike(r"\p{L}"), out).when(c.rlike(r"\p{N}"), pick(i, "0123456789")).when(c.rlike(r"\p{M}"), F.lit("")).otherwise(c)
+        plain_letter = (F.ascii(c) < 128) & (c >= "a") & (c <= "z")
+        return F.when(plain_letter, latin).when(c.rlike(r"\p{L}"), out).when(c.rlike(r"\p{N}"), pick(i, "0123456789")).when(c.rlike(r"\p{M}"), F.lit("")).otherwise(c)
 
     return F.array_join(F.transform(F.split(plain, ""), other), "")
 
 
-def _surrogate(kind: Column, plain: Column, digest: Column, turn: int = 0) -> Column:
+def _surrogate(kind: Column, plain: Column, digest: Column, more: Column, mail_digest: Column, turn: int) -> Column:
     """The surrogate of the compared form."""
     octets = F.concat_ws(".", (_number(digest, 25, 15) + 240).cast("string"), *[(_number(digest, 1 + 8 * i, 254) + 1).cast("string") for i in range(3)])
     digits, size = _digits(digest), F.length(plain)
@@ -119,10 +120,10 @@ def _surrogate(kind: Column, plain: Column, digest: Column, turn: int = 0) -> Co
     fits = F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.call_function("luhn_check", F.concat(body, d)))
     card = F.concat(body, F.when(F.call_function("luhn_check", plain), F.get(fits, F.lit(0))).otherwise(F.substring(digits, 40, 1)))
     # letters of the first letter's script; none in the first turns
-    longer = lambda x: F.concat(x, _letters(F.repeat(F.regexp_extract(x, r"\p{L}", 0), 4 * max(0, turn - LONGER + 1)), F.sha2(digest, 256)))
+    longer = lambda x: F.concat(x, _letters(F.repeat(F.regexp_extract(x, r"\p{L}", 0), 4 * max(0, turn - LONGER + 1)), more))
     # the last label gives way to one that never exists
     local, domain = F.substring_index(plain, "@", 1), F.regexp_replace(F.substring_index(plain, "@", -1), r"\.[^.]*$", "")
-    mail = F.concat(longer(_letters(local, digest)), F.lit("@"), _letters(domain, F.sha2(F.concat(digest, F.lit("@")), 256)), F.lit(".invalid"))
+    mail = F.concat(longer(_letters(local, digest)), F.lit("@"), _letters(domain, mail_digest), F.lit(".invalid"))
     return (
         F.when(kind == "email", mail)
         .when(kind == "secret", F.substring(F.concat(digest, digest), F.lit(1), F.length(plain)))
@@ -143,8 +144,9 @@ def _dressed(value: Column, kind: Column, surrogate: Column) -> Column:
     own = value
     # a secret without lower case is upper case; else, as in names, each letter has the case of the one in its place
     is_upper = lambda c: c.rlike(r"\p{Lu}")
-    like = lambda c, i: F.when(is_upper(F.substring(own, i + 1, F.lit(1))), F.upper(c)).otherwise(c)
-    cased = F.when(is_upper(own) & ~own.rlike(r"\p{Ll}"), F.upper(surrogate)).otherwise(F.array_join(F.transform(F.split(surrogate, ""), like), ""))
+    both = F.arrays_zip(F.split(surrogate, "").alias("s"), F.split(own, "").alias("o"))
+    like = lambda z: F.when(is_upper(z["o"]), F.upper(z["s"])).otherwise(F.coalesce(z["s"], F.lit("")))
+    cased = F.when(is_upper(own) & ~own.rlike(r"\p{Ll}"), F.upper(surrogate)).otherwise(F.array_join(F.transform(both, like), ""))
     return (
         F.when(kind.isin("phone", "ssn", "card"), placed)
         .when(kind.isin("name", "initial", "secret"), cased)
@@ -160,7 +162,8 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     open_ = materialize(entities.select("kind", "plain").distinct())
     everything, done, turn = open_, None, 0
     while True:
-        own = open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("plain"), _digest(key, F.col("kind"), F.col("plain"), turn), turn))
+        own = open_.withColumn("digest", _digest(key, F.col("kind"), F.col("plain"), turn)).withColumn("more", F.sha2("digest", 256)).withColumn("mail", F.sha2(F.concat("digest", F.lit("@")), 256))
+        own = materialize(own.withColumn("surrogate", _surrogate(F.col("kind"), F.col("plain"), F.col("digest"), F.col("more"), F.col("mail"), turn)).select("kind", "plain", "surrogate"))
         own = own.join(everything.select(F.col("kind").alias("_k"), F.col("plain").alias("_p")), (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_p")), "left_anti")
         if done is not None:
             own = own.join(done.select(F.col("kind").alias("_k"), F.col("surrogate").alias("_s")), (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_s")), "left_anti")
