@@ -6,8 +6,8 @@ before its hash in its token, so tokens in ascending order are in the order of r
 equal sets collapse into the earliest. Two sets of Jaccard 0.8 or more share a token among the first
 n - ceil(0.8 n) + 1 of each; length and positional filters and an upper bound of the overlap by 64
 parities thin the pairs of a token's postings, which are then verified on the words. A line that
-matches an earlier one goes, whether that one stays or not. First the sets are compared with the
-earliest set of their rarest tokens' postings; pairs of postings are then formed only for the sets
+matches an earlier one goes, whether that one stays or not. First each set is compared with the
+nearest of a few earlier ones in its rarest tokens' postings; pairs of postings are then formed only for the sets
 that no earlier one has beaten yet, so a group of near copies costs as many pairs as it has sets.
 """
 
@@ -22,8 +22,10 @@ from .common import SPACES, materialize, read, sent
 BUCKETS = 1 << 20
 #: Classes of counts.
 CLASSES = 64
-#: Rarest tokens whose postings' earliest set is tried first.
+#: Rarest tokens in whose postings some earlier sets are tried first: the earliest, and those so many rows before.
 TRIED = 2
+BACK = (1, 2, 3, 5, 8)
+SALTS = 8
 #: Smaller sets match equal ones only.
 LEAST = 4
 #: Sets of so many tokens have more parities.
@@ -100,13 +102,18 @@ def lines_of(docs: DataFrame, table: Column) -> DataFrame:
     return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), "n", _parities(_BITS).alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
 
 
+def _apart(x: str, y: str) -> Column:
+    """Sets that differ in d parities have at least d tokens that only one of them has."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    sig, more = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("sig", "more"))
+    return F.when((n >= LARGE) & (m >= LARGE), F.bit_count(sig.bitwiseXOR(more)) + F.bit_count(more)).otherwise(F.bit_count(sig))
+
+
 def _fits(x: str, y: str) -> Column:
-    """Length and positional filters, and the parities: sets that differ in d of them have at least d tokens not in common."""
+    """Length and positional filters, and the parities."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
     rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at")) + F.least(f"{x}at", f"{y}at")
-    sig, more = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("sig", "more"))
-    apart = F.when((n >= LARGE) & (m >= LARGE), F.bit_count(sig.bitwiseXOR(more)) + F.bit_count(more)).otherwise(F.bit_count(sig))
-    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80) & (apart * 9 <= n + m)
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80) & (_apart(x, y) * 9 <= n + m)
 
 
 def _postings(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
@@ -117,12 +124,18 @@ def _named(df: DataFrame, x: str) -> DataFrame:
     return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("uid", "n", "sig", "more", "at")])
 
 
-def _to_earliest(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with the earliest one of the postings of its rarest tokens."""
+def _to_neighbours(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with that one of some earlier sets in its rarest tokens' postings whose parities are nearest.
+
+    Each list is dealt over SALTS parts, so that a long one is no single task's."""
     short = _postings(sets, F.slice("prefix", 1, TRIED), "place.id")
-    heads = short.groupBy("token").agg(F.min(F.struct("id", "uid", "n", "sig", "more", "at")).alias("x"), F.count("*").alias("sets")).where("sets > 1")
-    met = _named(short, "y").join(_named(heads.select("token", "x.*"), "x"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
-    return met.select(F.col("xuid").alias("a"), F.col("yuid").alias("b")).distinct()
+    own = F.struct("uid", "n", "sig", "more", "at")
+    order = Window.partitionBy("token", F.pmod(F.xxhash64("uid"), F.lit(SALTS))).orderBy("id", "uid")
+    short = short.withColumn("x", F.array(F.first(own).over(order), *[F.lag(own, k).over(order) for k in BACK]))
+    met = short.select(*[F.col(c).alias(f"y{c}") for c in ("uid", "n", "sig", "more", "at")], F.explode("x").alias("x"))
+    met = met.select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("uid", "n", "sig", "more", "at")]).where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    nearest = F.struct(_apart("x", "y") / (F.col("xn") + F.col("yn")), "xuid")
+    return met.groupBy(F.col("yuid").alias("b")).agg(F.min(nearest).alias("m")).select(F.col("m.xuid").alias("a"), "b")
 
 
 def _to_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
@@ -161,7 +174,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     sets = own.groupBy("sid").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "sig", "more", "prefix")])
     # numbers of the rows as written are shorter in the shuffles than hashes
     sets = materialize(sets.withColumn("uid", F.monotonically_increasing_id()))
-    gone = _beaten(_to_earliest(sets), sets, docs)
+    gone = _beaten(_to_neighbours(sets), sets, docs)
     gone = materialize(gone.union(_beaten(_to_all(sets, gone), sets, docs)).distinct())
     state = sets.select("uid", "sid", "lines", F.col("place").alias("first")).join(sent(gone.withColumn("beaten", F.lit(True))), "uid", "left")
     state = materialize(state.where("lines > 1 OR beaten").select("sid", "first", "beaten"))
