@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,12 +39,23 @@ def collapse_runs(words: list[str], size: int, most: int) -> list[str]:
     return out + words[i:]
 
 
+def _repeats(ids: np.ndarray, size: int, most: int) -> bool:
+    """Whether some phrase of `size` words stands more than `most` times in a row."""
+    same = ids[size:] == ids[:-size]
+    ends = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+    return bool(len(ends)) and int((ends[1::2] - ends[::2]).max()) >= size * most
+
+
 def without_repetitions(text: str | None, shortest: int = 3, longest: int = 8, most: int = 2) -> str | None:
     words = text.split() if text else []
     if len(words) < 2 * shortest:
         return text
+    seen: dict[str, int] = {}
+    ids = np.array([seen.setdefault(w, len(seen)) for w in words])
     for size in range(shortest, min(longest + 1, len(words) // 2)):
-        words = collapse_runs(words, size, most)
+        if size < len(ids) and _repeats(ids, size, most):
+            words = collapse_runs(words, size, most)
+            ids = np.array([seen[w] for w in words])
     return " ".join(words)
 
 

@@ -1,28 +1,37 @@
 """State machines over ordered chunks of a session.
 
 Each machine is a class with `step(row) -> list of outputs`; `fold` runs one machine for each key
-over the key's rows in order, in one Arrow batch per key.
+over the key's rows in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
 def fold(df: DataFrame, key: str, order: list[str], machine: Callable, schema: str) -> DataFrame:
-    """Run `machine()` over each key's rows by `order`; the outputs, with the key first."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    """Run `machine()` over each key's rows by `order`; the outputs, with the key first.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = machine(), []
-        for row in pdf.sort_values(order).itertuples(index=False):
-            out.extend((getattr(row, key), *o) for o in state.step(row))
-        return pd.DataFrame(out, columns=names)
+    Spark deals the rows by key and sorts them; a task holds one Arrow batch and one machine at a
+    time, so a session may be of any length. A null key is a session of its own."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), None
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False):
+                own = getattr(row, key)
+                own = None if pd.isna(own) else own
+                if own != current:
+                    current, state = own, machine()
+                out.extend((own, *o) for o in state.step(row))
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 class VoiceActivity:

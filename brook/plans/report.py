@@ -41,22 +41,28 @@ def run_summary(spark, sf_dir):
     return _runs(spark, sf_dir).groupBy("run").agg(F.count("*").alias("total"), n("PASSED").alias("passed"), n("FAILED").alias("failed"), n("SKIPPED").alias("skipped"), F.when(F.bool_or(F.col("status") == "FAILED"), 1).otherwise(0).alias("return_code"))
 
 
+_NAMES = "r AS (SELECT DISTINCT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS run, user_id || ':' || event_type || ':' || floor(value)::BIGINT AS name FROM events)"
+
+
 def _names(spark, sf_dir, run):
-    return _runs(spark, sf_dir).where(F.col("run") == run).select("name")
+    """Distinct names of one of two runs; each run has some that the other lacks."""
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    name = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.floor("value").cast("string"))
+    return table(spark, sf_dir, "events").where(early if run == 0 else ~early).select(name.alias("name")).distinct()
 
 
-@plans.query(f"WITH {_RUNS} SELECT name FROM r WHERE run = 0 UNION SELECT name FROM r WHERE run = 1")
+@plans.query(f"WITH {_NAMES} SELECT name FROM r WHERE run = 0 UNION SELECT name FROM r WHERE run = 1")
 def set_union_keys(spark, sf_dir):
     return _names(spark, sf_dir, 0).union(_names(spark, sf_dir, 1)).distinct()
 
 
-@plans.query(f"WITH {_RUNS} (SELECT name FROM r WHERE run = 0 EXCEPT SELECT name FROM r WHERE run = 1) UNION ALL (SELECT name FROM r WHERE run = 1 EXCEPT SELECT name FROM r WHERE run = 0)")
+@plans.query(f"WITH {_NAMES} (SELECT name FROM r WHERE run = 0 EXCEPT SELECT name FROM r WHERE run = 1) UNION ALL (SELECT name FROM r WHERE run = 1 EXCEPT SELECT name FROM r WHERE run = 0)")
 def set_diff_keys(spark, sf_dir):
     a, b = _names(spark, sf_dir, 0), _names(spark, sf_dir, 1)
     return a.subtract(b).union(b.subtract(a))
 
 
-@plans.query(f"WITH {_RUNS} SELECT name FROM r WHERE run = 0 INTERSECT SELECT name FROM r WHERE run = 1")
+@plans.query(f"WITH {_NAMES} SELECT name FROM r WHERE run = 0 INTERSECT SELECT name FROM r WHERE run = 1")
 def set_intersect_keys(spark, sf_dir):
     return _names(spark, sf_dir, 0).intersect(_names(spark, sf_dir, 1))
 
@@ -99,8 +105,20 @@ def issue_report(spark, sf_dir):
 
 @plans.query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(CASE WHEN count(*) < 20 THEN max(value) ELSE quantile_cont(value, 0.95) END, 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    p95 = F.when(F.count("*") < 20, F.max("value")).otherwise(F.percentile("value", F.lit(0.95)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(p95, 6).alias("p95"))
+    """Exact percentiles with interpolation: counts by whole values tell where a rank lies, and only those values are ordered."""
+    df = table(spark, sf_dir, "events").where("value is not null").select("event_type", "value", F.floor("value").alias("b"))
+    counts = df.groupBy("event_type", "b").agg(F.count("*").alias("c"), F.max("value").alias("top"))
+    so_far = Window.partitionBy("event_type").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(so_far), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy("event_type"))).withColumn("most", F.max("top").over(Window.partitionBy("event_type")))
+    ranks = F.array(*[F.struct(F.lit(q).alias("q"), (F.floor((F.col("n") - 1) * q) + up).alias("rank"), F.lit(up).alias("up")) for q in (0.5, 0.95) for up in (0, 1)])
+    need = counts.withColumn("r", F.explode(ranks)).where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("c"))).select("event_type", "b", "n", "most", "r.q", "r.up", (F.col("r.rank") - F.col("before")).alias("i"))
+    # at most four whole values of each type
+    order = Window.partitionBy("event_type", "b").orderBy("value")
+    own = df.join(F.broadcast(need.select("event_type", "b").distinct()), ["event_type", "b"]).withColumn("i", (F.row_number().over(order) - 1).cast("long"))
+    found = own.join(need, ["event_type", "b", "i"]).groupBy("event_type", "n", "most").agg(*[F.max(F.when((F.col("q") == q) & (F.col("up") == up), F.col("value"))).alias(f"v{int(q * 100)}_{up}") for q in (0.5, 0.95) for up in (0, 1)])
+    share = lambda q: (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    at = lambda q: F.col(f"v{int(q * 100)}_0") + share(q) * (F.coalesce(f"v{int(q * 100)}_1", f"v{int(q * 100)}_0") - F.col(f"v{int(q * 100)}_0"))
+    return found.select("event_type", "n", F.round(at(0.5), 6).alias("p50"), F.round(F.when(F.col("n") < 20, F.col("most")).otherwise(at(0.95)), 6).alias("p95"))
 
 
 @plans.query("SELECT user_id, count(*) AS chunks, round(sum(value), 4) AS samples, round(2 * sum(value), 4) AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS elapsed FROM events GROUP BY user_id")

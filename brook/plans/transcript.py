@@ -29,13 +29,14 @@ def words_flatten(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(words).alias("pos", "word")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "word")
 
 
-@plans.query("""WITH h AS (SELECT conv_id, turn * 2 + k AS o, array_to_string(string_split(text, ' ')[1:k + 1], ' ') AS x FROM conversations, range(0, 2) t(k)),
+@plans.query("""WITH h AS (SELECT conv_id, turn * 2 + k AS o, CASE WHEN k = 1 THEN text ELSE array_to_string(string_split(text, ' ')[1:(len(string_split(text, ' ')) + 1) // 2], ' ') END AS x FROM conversations, range(0, 2) t(k)),
 l AS (SELECT conv_id, list(x ORDER BY o, x) AS l FROM h GROUP BY conv_id)
 SELECT conv_id, list_reduce(l, lambda a, b: CASE WHEN b = '' THEN a WHEN a = '' THEN b WHEN starts_with(b, a) THEN b ELSE a || ' ' || b END) AS stable FROM l""")
 def prefix_merge(spark, sf_dir):
-    """Each turn gives two hypotheses, its first word and its first two."""
-    first = lambda n: F.array_join(F.slice(F.split("text", " "), 1, n), " ")
-    both = F.explode(F.array(*[F.struct((F.col("turn") * 2 + k).alias("o"), first(k + 1).alias("x")) for k in range(2)])).alias("h")
+    """Each turn gives two hypotheses, the first half of its words and all of them."""
+    words = F.split("text", " ")
+    half = F.array_join(F.slice(words, F.lit(1), F.floor((F.size(words) + 1) / 2).cast("int")), " ")
+    both = F.explode(F.array(*[F.struct((F.col("turn") * 2 + k).alias("o"), x.alias("x")) for k, x in enumerate((half, F.col("text")))])).alias("h")
     lists = _turns(spark, sf_dir).select("conv_id", both).groupBy("conv_id").agg(F.array_sort(F.collect_list("h")).alias("l"))
     return lists.select("conv_id", fn.prefix_merge(F.col("l.x")).alias("stable"))
 
@@ -140,10 +141,9 @@ def scan_extension_filter(spark, sf_dir):
 
 @plans.query(f"SELECT page_id, CASE {_EXT} WHEN '.html' THEN 'kebab-case' WHEN '.py' THEN 'lower_snake' ELSE 'lower_snake' END AS style FROM pages")
 def ext_style(spark, sf_dir):
-    dim = spark.createDataFrame([(".html", "kebab-case"), (".py", "lower_snake"), ("*", "lower_snake")], "ext string, style string")
-    rest = dim.where("ext = '*'").select(F.col("style").alias("other"))
+    dim = spark.createDataFrame([(".html", "kebab-case"), (".py", "lower_snake")], "ext string, style string")
     df = table(spark, sf_dir, "pages").select("page_id", _ext(F.col("url")).alias("ext")).join(F.broadcast(dim), "ext", "left")
-    return df.join(F.broadcast(rest)).select("page_id", F.coalesce("style", "other").alias("style"))
+    return df.select("page_id", F.coalesce("style", F.lit("lower_snake")).alias("style"))
 
 
 @plans.query("SELECT page_id, split_part(split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 1), ':', 1) AS host FROM pages")
