@@ -7,7 +7,7 @@ equal sets collapse into the earliest. Two sets of Jaccard 0.8 or more share a t
 n - ceil(0.8 n) + 1 of each; length and positional filters and an upper bound of the overlap by 64
 parities thin the pairs of a token's postings, which are then verified on the words. A line that
 matches an earlier one goes, whether that one stays or not. First each set is compared with the
-nearest of a few earlier ones in its rarest tokens' postings; pairs of postings are then formed only for the sets
+nearest of a few earlier ones in some of its tokens' postings; pairs of postings are then formed only for the sets
 that no earlier one has beaten yet, so a group of near copies costs as many pairs as it has sets.
 """
 
@@ -22,10 +22,10 @@ from .common import SPACES, materialize, read, sent
 BUCKETS = 1 << 20
 #: Classes of counts.
 CLASSES = 64
-#: Rarest tokens in whose postings some earlier sets are tried first: the earliest, and those so many rows before.
-TRIED = 2
-BACK = (1, 2, 3, 5, 8)
-SALTS = 8
+#: Tokens of a prefix in whose postings some earlier sets are tried first: the earliest, and those so many rows before.
+TRIED = 3
+BACK = (1, 2, 3, 4, 6, 9, 13, 20)
+SALTS = 4
 #: Smaller sets match equal ones only.
 LEAST = 4
 #: Sets of so many tokens have more parities.
@@ -120,30 +120,36 @@ def _postings(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
     return sets.select("uid", "n", "sig", "more", *more, F.posexplode(prefix).alias("at", "token"))
 
 
-def _named(df: DataFrame, x: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("uid", "n", "sig", "more", "at")])
+def _named(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("uid", "n", "sig", "more", "at", *more)])
 
 
 def _to_neighbours(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with that one of some earlier sets in its rarest tokens' postings whose parities are nearest.
+    """(a, b): each set with two of some earlier sets in some of its tokens' postings, those whose parities are nearest.
 
     Each list is dealt over SALTS parts, so that a long one is no single task's."""
-    short = _postings(sets, F.slice("prefix", 1, TRIED), "place.id")
+    # by hash, not by rarity: edits put words of their own in front of the rarest common ones
+    chosen = F.slice(F.sort_array(F.transform("prefix", lambda t, i: F.struct(t.bitwiseAND(F.lit(2**25 - 1)).alias("h"), i.alias("at"), t.alias("token")))), 1, TRIED)
+    short = sets.select("uid", "n", "sig", "more", "place.id", F.explode(chosen).alias("c")).select("uid", "n", "sig", "more", "id", "c.at", "c.token")
     own = F.struct("uid", "n", "sig", "more", "at")
     order = Window.partitionBy("token", F.pmod(F.xxhash64("uid"), F.lit(SALTS))).orderBy("id", "uid")
     short = short.withColumn("x", F.array(F.first(own).over(order), *[F.lag(own, k).over(order) for k in BACK]))
     met = short.select(*[F.col(c).alias(f"y{c}") for c in ("uid", "n", "sig", "more", "at")], F.explode("x").alias("x"))
     met = met.select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("uid", "n", "sig", "more", "at")]).where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
     nearest = F.struct(_apart("x", "y") / (F.col("xn") + F.col("yn")), "xuid")
-    return met.groupBy(F.col("yuid").alias("b")).agg(F.min(nearest).alias("m")).select(F.col("m.xuid").alias("a"), "b")
+    # the nearest of either half of the sets
+    half = [F.min(F.when(F.xxhash64("xuid") % 2 == 0, nearest)).alias("m"), F.min(F.when(F.xxhash64("xuid") % 2 != 0, nearest)).alias("o")]
+    return met.groupBy(F.col("yuid").alias("b")).agg(*half).select(F.explode(F.array("m.xuid", "o.xuid")).alias("a"), "b").where(F.col("a").isNotNull())
 
 
 def _to_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
     """(a, b): the sets not in `gone` with all others of their tokens' postings that pass the filters."""
     alive = sets.join(sent(gone.withColumn("_gone", F.lit(True))), "uid", "left").withColumn("alive", F.col("_gone").isNull())
-    both = _postings(alive, F.col("prefix"), "alive").repartition("token")
+    both = _postings(alive, F.col("prefix"), "alive", "place.id").repartition("token")
     both = both.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
-    met = _named(both, "x").join(_named(both.where("alive"), "y"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    met = _named(both, "x", "id", "alive").join(_named(both.where("alive"), "y", "id", "alive"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    # a later set that is beaten already decides nothing; of two that are not, one order will do
+    met = met.where((F.col("xid") < F.col("yid")) | ((F.col("xid") == F.col("yid")) & (~F.col("xalive") | (F.col("xuid") < F.col("yuid")))))
     return met.select(F.least("xuid", "yuid").alias("a"), F.greatest("xuid", "yuid").alias("b")).distinct()
 
 
