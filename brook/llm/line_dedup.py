@@ -51,25 +51,23 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.when(odd, F.regexp_replace(low, SPACES, " ")).otherwise(low), " "), "")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """An array of BUCKETS classes: that of the count of all words with this hash. It comes to the driver in 256 rows."""
+def rarity(docs: DataFrame) -> bytes:
+    """BUCKETS bytes: 48 and the class of the count of all words with this hash. It comes to the driver in 256 rows."""
     spark = docs.sparkSession
     words = docs.select(F.explode(_words(_text())).alias("w"))
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     every = counted.union(spark.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
-    own = F.least(F.floor(F.log2(F.greatest("n", F.lit(1))) * 2), F.lit(CLASSES - 1)).cast("string")
+    own = F.char(48 + F.least(F.floor(F.log2(F.greatest("n", F.lit(1))) * 2), F.lit(CLASSES - 1)))
     part = every.groupBy(F.floor(F.col("b") / (BUCKETS // 256)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("b", own.alias("c")))).alias("x"))
-    rows = part.select("part", F.array_join("x.c", ",").alias("x")).orderBy("part").collect()
-    return _numbers(",".join(r["x"] for r in rows), "tinyint")
+    rows = part.select("part", F.array_join("x.c", "").alias("x")).orderBy("part").collect()
+    return "".join(r["x"] for r in rows).encode()
 
 
-def _numbers(csv: str, kind: str) -> Column:
-    return F.split(F.lit(csv), ",").cast(f"array<{kind}>")
-
-
-def _tokens(words: Column, table: Column) -> Column:
+def _tokens(words: Column, table: bytes) -> Column:
     """For each word the class of its count, then 57 bits of its hash: a positive long."""
-    one = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 57)
+    # a literal of bytes is light in plans and tasks
+    sign = lambda h: F.substring(F.lit(table), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")
+    one = lambda h: F.shiftleft((F.ascii(sign(h)) - 48).cast("long"), 57)
     return F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: one(h).bitwiseOR(F.shiftrightunsigned(h, 7)))
 
 
@@ -84,11 +82,11 @@ _HALF = [0] * 64 + _BITS
 
 
 def _parities(bits: list[int]) -> Column:
-    own = _numbers(",".join(map(str, bits)), "bigint")
+    own = F.array(*map(F.lit, bits))
     return F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.get(own, t.bitwiseAND(F.lit(len(bits) - 1)).cast("int"))))
 
 
-def lines_of(docs: DataFrame, table: Column) -> DataFrame:
+def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
     """(id, dk, no, sid, n, sig, more, prefix) of each line with a word, with its place; a null doc_id comes after all others.
 
     `sig` has 64 parities of the set's tokens, `more` those of one half of a larger set's tokens, so that
