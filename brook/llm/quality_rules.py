@@ -135,8 +135,7 @@ ln AS (
     len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
   FROM (SELECT doc_id, source, text, unnest(ls) AS l FROM d)),
 freq AS (SELECT source, k, count(DISTINCT text) AS c FROM ln GROUP BY ALL),
-host AS (SELECT source, count(DISTINCT text) AS n FROM ln GROUP BY ALL),
-above AS (SELECT f.source, k FROM freq f JOIN host h ON f.source = h.source WHERE c > 20 AND c > n * 0.002),
+above AS (SELECT source, k FROM freq WHERE c > 20),
 lost AS (SELECT doc_id, sum(w) AS n FROM ln JOIN above USING (source, k) GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words,
