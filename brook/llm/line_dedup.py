@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, materialize, read, sent
 
 #: Counts of words, by hash.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Classes of counts.
 CLASSES = 64
 #: Tokens of a prefix in whose postings some earlier sets are tried first: the earliest, and those so many rows before.
