@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import drop_table, materialize, read
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -69,14 +69,19 @@ def band_tokens(minima: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keyed() -> list[Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("own"), text.alias("text")]
+
+
 def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(rid, doc_id, text, n, sid, q0.., bands) of each row: its number, the size of its set, an id of 128 bits, parities and tokens."""
-    schema = "rid long, doc_id long, text string, n long, sid binary, " + ", ".join(f"{q} long" for q in _Q) + ", bands array<long>"
+    """(rid, doc_id, own, n, sid, q0.., bands) of each row: its number, a hash of its text, the size of its set, an id of 128 bits, parities and tokens."""
+    schema = "rid long, doc_id long, own binary, n long, sid binary, " + ", ".join(f"{q} long" for q in _Q) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids, parities, bands = [], [], [], []
-            for s in shingle_sets(batch.column(2), words):
+            for s in shingle_sets(batch.column(3), words):
                 sizes.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 odd = np.bincount((s & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
@@ -86,11 +91,11 @@ def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 continue
             ends = np.cumsum([0] + [len(b) for b in bands], dtype=np.int32)
             q = np.stack(parities)
-            columns = [*batch.columns, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *[pa.array(q[:, i]) for i in range(LANES)]]
+            columns = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *[pa.array(q[:, i]) for i in range(LANES)]]
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands))))
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "text", "n", "sid", *_Q, "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "own", "n", "sid", *_Q, "bands"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *_keyed())
     return rows.mapInArrow(run, schema)
 
 
@@ -115,10 +120,17 @@ def _marked(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.where(_near("x", "y")).select("a", "b", (_apart("x", "y") / (F.col("xn") + F.col("yn"))).alias("apart"))
 
 
-def verify(pairs: DataFrame, own: DataFrame, words: int = WORDS) -> DataFrame:
+def texts_of(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, text) of the rows `wanted` (rid), in a new table; equal texts of one doc_id stand for each other."""
+    keys = own.select("rid", F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).join(wanted, "rid", "left_semi")
+    found = docs.select(*_keyed()).join(keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")))
+    return materialize(found.select("rid", "text").dropDuplicates(["rid"]))
+
+
+def verify(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 80 * union of the shingles of their whole texts, in a new table."""
     wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    texts = materialize(own.select("rid", "text").join(wanted, "rid", "left_semi"))
+    texts = texts_of(docs, own, wanted)
     both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +141,9 @@ def verify(pairs: DataFrame, own: DataFrame, words: int = WORDS) -> DataFrame:
                 keep.append(common * 180 >= (len(s) + len(t)) * 80)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+    found = materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+    drop_table(texts)
+    return found
 
 
 def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -143,17 +157,16 @@ def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialize(old.union(fresh))
 
 
-def label_sets(marks: DataFrame, own: DataFrame, words: int = WORDS) -> DataFrame:
+def label_sets(marks: DataFrame, own: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(uid, label): equal labels for sets that verified links connect; sets without a row are alone."""
     tokens = marks.select("uid", F.explode("bands").alias("token"))
-    order = F.struct(F.xxhash64("uid"), "uid")
-    # partial sums before the shuffle, so a token of very many sets is no task of its own
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(order).alias("p")).where("c > 1").select("token", F.col("p.uid").alias("pivot")))
+    # partial minima before the shuffle, so a token of very many sets is no task of its own
+    shared = materialize(tokens.groupBy("token").agg(F.min("uid").alias("pivot"), F.max("uid").alias("last")).where("pivot < last").select("token", "pivot"))
     lists = materialize(tokens.join(shared, "token"))
     sizes = marks.drop("bands")
     met = _marked(lists.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), sizes)
     nearest = materialize(met.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
-    labels = _relabel(None, verify(nearest, own, words))
+    labels = _relabel(None, verify(nearest, own, docs, words))
 
     def open_lists() -> DataFrame:
         mine = lists.select("token", "uid").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
@@ -164,7 +177,7 @@ def label_sets(marks: DataFrame, own: DataFrame, words: int = WORDS) -> DataFram
     rest = open_lists()
     pivots = rest.groupBy("token").agg(F.min_by(F.struct("uid", "label"), F.struct(F.xxhash64("uid", "token"), "uid")).alias("p"))
     met = rest.join(pivots, "token").where(F.col("label") != F.col("p.label")).select(F.least("p.uid", "uid").alias("a"), F.greatest("p.uid", "uid").alias("b"))
-    labels = _relabel(labels, verify(materialize(_marked(met.distinct(), sizes).select("a", "b")), own, words))
+    labels = _relabel(labels, verify(materialize(_marked(met.distinct(), sizes).select("a", "b")), own, docs, words))
 
     # all pairs of different labels that may link; a set meets those of its own class of sizes and the one below
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
@@ -172,7 +185,7 @@ def label_sets(marks: DataFrame, own: DataFrame, words: int = WORDS) -> DataFram
     here, below = rest.withColumn("at", F.col("size")), rest.withColumn("at", F.explode(F.array("size", F.col("size") - 1)))
     once = (F.col("xsize") < F.col("ysize")) | (F.col("xuid") < F.col("yuid"))
     pairs = _named(here, "x", "token", "at").join(_named(below, "y", "token", "at"), ["token", "at"]).where((F.col("xlabel") != F.col("ylabel")) & once & _near("x", "y"))
-    return _relabel(labels, verify(materialize(pairs.select(F.col("xuid").alias("a"), F.col("yuid").alias("b")).distinct()), own, words))
+    return _relabel(labels, verify(materialize(pairs.select(F.col("xuid").alias("a"), F.col("yuid").alias("b")).distinct()), own, docs, words))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -187,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     distinct = own.where("n > 0").groupBy("sid").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("first"))
     reps = materialize(distinct)
     marks = materialize(own.select(F.col("rid").alias("uid"), "n", *_Q, "bands").join(reps.select("uid"), "uid", "left_semi"))
-    labels = label_sets(marks, own, words)
+    labels = label_sets(marks, own, docs, words)
     classes = reps.join(labels, "uid", "left").select("sid", "first", F.coalesce("label", "uid").alias("label"))
     roots = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = classes.join(roots, "label").select("sid", "component_id")
