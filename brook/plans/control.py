@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brook.operators import chains
+
 from .pcm import Q, S
 from .registry import CHUNKS, Plans, chunks, table
 from .report import _RUNS, _runs
@@ -14,15 +16,16 @@ QUERIES, ORACLE = plans.queries, plans.oracle
 
 
 @plans.query("""SELECT conv_id, turn, role, base64(encode(text)) AS data, strlen(text) // 2 AS samples,
-  round(sum(strlen(text) // 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 16000.0, 6) AS duration FROM conversations""")
+  (sum(strlen(text) // 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS total,
+  sum(strlen(text) // 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / 16000 AS duration FROM conversations""")
 def chunk_ack(spark, sf_dir):
-    """JSON chunks with a base64 payload of 16-bit samples; each gets an answer with its samples and the session's duration so far."""
+    """JSON chunks with a base64 payload of 16-bit samples; each gets an answer with its samples, the session's samples and its duration so far."""
     body = F.to_json(F.struct("conv_id", "turn", F.base64(F.encode("text", "UTF-8")).alias("data")))
     sent = table(spark, sf_dir, "conversations").select("role", body.alias("message"), "text")
     got = sent.select("role", "text", F.from_json("message", "conv_id long, turn int, data string").alias("m")).select("role", "text", "m.*")
     got = got.withColumn("samples", F.floor(F.octet_length(F.unbase64("data")) / 2))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return got.select("conv_id", "turn", "role", F.regexp_replace("data", "\r?\n", "").alias("data"), "samples", F.round(F.sum("samples").over(order) / 16000.0, 6).alias("duration"))
+    return got.select("conv_id", "turn", "role", F.regexp_replace("data", "\r?\n", "").alias("data"), "samples", F.sum("samples").over(order).alias("total"), (F.sum("samples").over(order).cast("double") / 16000).alias("duration"))
 
 
 def _little(n, width: int):
@@ -130,12 +133,8 @@ def compression_ratio(spark, sf_dir):
 SELECT session_id, seq FROM m WHERE saved""")
 def save_throttle(spark, sf_dir):
     """Chunks at which a store is saved: strictly more than 12 hours after the last save."""
-    one = F.struct("seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    by = chunks(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.expr("array()").cast("array<bigint>").alias("out"))
-    due = lambda a, c: a["last"].isNull() | (c["t"] - a["last"] > 12 * 3600 * 1_000_000)
-    step = lambda a, c: F.when(due(a, c), F.struct(c["t"].alias("last"), F.array_append(a["out"], c["seq"]).alias("out"))).otherwise(a)
-    return by.select("session_id", F.explode(F.aggregate("x", none, step)["out"]).alias("seq"))
+    rows = chunks(spark, sf_dir).select("session_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return chains.spaced(rows, "session_id", 12 * 3600 * 10**6, strict=True)
 
 
 @plans.query("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
@@ -177,7 +176,7 @@ def suite_of_path(spark, sf_dir):
     made = F.when(k % 6 == 0, "tests").when(k % 6 == 1, "tests/").when(k % 6 == 2, F.concat(F.lit("tests/"), "c_mktsegment", F.lit("/x.py -q"))).when(k % 6 == 3, F.concat(F.lit("tests/pipeline_"), k.cast("string"), F.lit("/a"))).when(k % 6 == 4, F.concat(F.lit("src/tests/"), k.cast("string"))).otherwise(" tests/one.py ")
     suite = F.lit("tests")
     suite = F.when(F.startswith(path, F.lit("tests/")) & (path != "tests/"), F.concat(F.lit("tests/"), F.get(F.split(path, "/"), F.lit(1)))).otherwise(suite)
-    for known in ("networking", "pipeline", "infrastructure", "ears_tuner"):
+    for known in ("networking", "pipeline", "infrastructure", "tuner"):
         suite = F.when(F.startswith(path, F.lit(f"tests/{known}")), f"tests/{known}").otherwise(suite)
     return table(spark, sf_dir, "customer").select("c_custkey", F.trim(made).alias("p")).select("c_custkey", suite.alias("suite"))
 
@@ -281,12 +280,19 @@ def hotkey_lookup(spark, sf_dir):
     return df.select("p_partkey", F.coalesce(F.col("part").cast("string"), F.lit("")).alias("hotkey"))
 
 
-@plans.query("SELECT p_partkey, agent, phrases FROM (SELECT p_partkey, unnest(['a', 'b']) AS agent, unnest([p_type || '|' || p_name, p_brand]) AS phrases FROM part)")
+_ALIASES = "' a:first, ;b : ' || p_brand || ' ;bad;c: , ;:x; d:' || p_name || ':' || p_size || ' , ;a :' || p_type || ' ,, ' || p_name || ';'"
+
+
+@plans.query(f"""WITH p AS (SELECT p_partkey, x, i FROM (SELECT p_partkey, unnest(string_split({_ALIASES}, ';')) AS x, generate_subscripts(string_split({_ALIASES}, ';'), 1) AS i FROM part) WHERE strpos(x, ':') > 0),
+e AS (SELECT p_partkey, i, trim(x[:strpos(x, ':') - 1]) AS agent, list_filter(list_transform(string_split(x[strpos(x, ':') + 1:], ','), lambda w: trim(w)), lambda w: w <> '') AS v FROM p)
+SELECT p_partkey, agent, array_to_string(arg_max(v, i), '|') AS phrases FROM e WHERE agent <> '' AND len(v) > 0 GROUP BY p_partkey, agent""")
 def alias_map(spark, sf_dir):
-    """Parses `agent:phrase,phrase;agent:phrase` to a map; bad parts are skipped, an agent's last entry wins."""
-    line = F.concat(F.lit(" a:first, ;"), F.lit("b : "), "p_brand", F.lit(" ;bad;c: , ;:x; a :"), "p_type", F.lit(" ,, "), "p_name", F.lit(";"))
+    """Parses `agent:phrase,phrase;agent:phrase` to a map, at the first colon of each part; bad parts are skipped, an agent's last entry wins."""
+    size = F.col("p_size").cast("string")
+    line = F.concat(F.lit(" a:first, ;b : "), "p_brand", F.lit(" ;bad;c: , ;:x; d:"), "p_name", F.lit(":"), size, F.lit(" , ;a :"), "p_type", F.lit(" ,, "), "p_name", F.lit(";"))
     df = table(spark, sf_dir, "part").select("p_partkey", F.split(line, ";").alias("parts"))
-    parsed = F.transform(F.filter("parts", lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.filter(F.transform(F.split(F.substring_index(x, ":", -1), ","), lambda w: F.trim(w)), lambda w: w != "").alias("v")))
+    phrases = lambda x: F.filter(F.transform(F.split(F.substr(x, F.instr(x, ":") + 1), ","), lambda w: F.trim(w)), lambda w: w != "")
+    parsed = F.transform(F.filter("parts", lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), phrases(x).alias("v")))
     df = df.select("p_partkey", F.filter(parsed, lambda e: (e["k"] != "") & (F.size(e["v"]) > 0)).alias("e"))
     last = F.filter("e", lambda e, i: ~F.exists(F.filter("e", lambda o, j: j > i), lambda o: o["k"] == e["k"]))
     return df.select("p_partkey", F.explode(F.map_from_entries(last)).alias("agent", "v")).select("p_partkey", "agent", F.array_join("v", "|").alias("phrases"))

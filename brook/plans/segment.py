@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brook.operators import folds
+from brook.operators import chains, folds
 
 from .registry import CHUNKS, Plans, chunks
 
@@ -18,6 +18,14 @@ def _ordered():
     return Window.partitionBy(KEY).orderBy("seq")
 
 
+HOUR = 3600 * 10**6
+
+
+def _rows(spark, sf_dir, *more):
+    """Chunks with their times in microseconds."""
+    return chunks(spark, sf_dir).select(KEY, "seq", "prob", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), *more)
+
+
 def _fold(spark, sf_dir, machine, schema, **extra):
     df = chunks(spark, sf_dir).withColumns(extra)
     return folds.fold(df.select(KEY, "seq", "ts", "prob", "value", *extra), KEY, ["seq"], machine, f"{KEY} long, {schema}")
@@ -35,7 +43,7 @@ def _fold(spark, sf_dir, machine, schema, **extra):
   FROM (SELECT c.session_id, c.seq, c.prob, m.loud, m.silent, m.start FROM m JOIN chunks c ON c.session_id = m.session_id AND c.seq = m.seq + 1))
 SELECT session_id, ended AS start_seq, seq AS end_seq, n AS n_chunks FROM m WHERE ended IS NOT NULL""")
 def vad_utterances(spark, sf_dir):
-    return _fold(spark, sf_dir, folds.VoiceActivity, "start_seq long, end_seq long, n_chunks long")
+    return chains.utterances(_rows(spark, sf_dir), KEY)
 
 
 @plans.query(f"""WITH RECURSIVE {CHUNKS}, m AS (
@@ -48,7 +56,7 @@ def vad_utterances(spark, sf_dir):
   FROM (SELECT c.session_id, c.seq, c.prob, m.start FROM m JOIN chunks c ON c.session_id = m.session_id AND c.seq = m.seq + 1))
 SELECT session_id, seq, state FROM m WHERE seq > 0""")
 def vad_states(spark, sf_dir):
-    return _fold(spark, sf_dir, folds.SpeechStates, "seq long, state string")
+    return chains.speech_states(_rows(spark, sf_dir), KEY)
 
 
 @plans.query(f"""WITH RECURSIVE {CHUNKS}, m AS (
@@ -68,7 +76,7 @@ def rate_limit_fold(spark, sf_dir):
   FROM m JOIN chunks c ON c.session_id = m.session_id AND c.seq = m.seq + 1)
 SELECT session_id, seq FROM m WHERE emitted""")
 def debounce(spark, sf_dir):
-    return _fold(spark, sf_dir, folds.Debounce, "seq long")
+    return chains.spaced(_rows(spark, sf_dir), KEY, 12 * HOUR)
 
 
 @plans.query(f"""WITH RECURSIVE {CHUNKS}, m AS (
@@ -85,7 +93,7 @@ def debounce(spark, sf_dir):
       FROM m JOIN chunks c ON c.session_id = m.session_id AND c.seq = m.seq + 1)))
 SELECT session_id, seq, allowed, state FROM m WHERE seq > 0""")
 def circuit_breaker(spark, sf_dir):
-    return _fold(spark, sf_dir, folds.CircuitBreaker, "seq long, allowed boolean, state string", ok=F.col("event_type") != "error")
+    return chains.breaker(_rows(spark, sf_dir, (F.col("event_type") != "error").alias("ok")), KEY, 24 * HOUR)
 
 
 @plans.query(f"""WITH RECURSIVE {CHUNKS}, m AS (
@@ -160,7 +168,7 @@ def first_detection(spark, sf_dir):
 @plans.query(ORACLE["vad_utterances"].replace("SELECT session_id, ended AS start_seq, seq AS end_seq, n AS n_chunks FROM m WHERE ended IS NOT NULL", "SELECT session_id, min(seq) AS end_seq, arg_min(ended, seq) AS start_seq FROM m WHERE ended IS NOT NULL AND seq <= 30 GROUP BY session_id"))
 def first_utterance(spark, sf_dir):
     """The first utterance of each session that ends within its first 30 chunks."""
-    ends = vad_utterances(spark, sf_dir).where("end_seq <= 30")
+    ends = chains.utterances(_rows(spark, sf_dir).where("seq <= 30"), KEY)
     return ends.groupBy(KEY).agg(F.min("end_seq").alias("end_seq"), F.min_by("start_seq", "end_seq").alias("start_seq"))
 
 

@@ -181,11 +181,11 @@ def json_dispatch(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(known, F.col("event_type")).otherwise("error").alias("route"), F.when(known, body["k"]).alias("k"))
 
 
-@plans.query("SELECT event_id, 'ears' AS service, CASE WHEN event_type <> 'error' THEN round(value, 6) END AS result, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events")
+@plans.query("SELECT event_id, 'speech' AS service, CASE WHEN event_type <> 'error' THEN round(value, 6) END AS result, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events")
 def envelope_unwrap(spark, sf_dir):
     """Wraps each event as a JSON envelope with a result or an error, and takes it apart again."""
     ok = F.col("event_type") != "error"
-    wrapped = F.to_json(F.struct(F.lit("ears").alias("service"), F.when(ok, F.struct(F.round("value", 6).alias("value"))).alias("result"), F.when(~ok, F.struct(F.lit("failed").alias("message"))).alias("error")))
+    wrapped = F.to_json(F.struct(F.lit("speech").alias("service"), F.when(ok, F.struct(F.round("value", 6).alias("value"))).alias("result"), F.when(~ok, F.struct(F.lit("failed").alias("message"))).alias("error")))
     body = F.from_json("j", "service string, result struct<value:double>, error struct<message:string>")
     return table(spark, sf_dir, "events").select("event_id", wrapped.alias("j")).select("event_id", body.alias("b")).select("event_id", "b.service", F.col("b.result.value").alias("result"), F.col("b.error.message").alias("error"))
 
