@@ -246,3 +246,21 @@ def free_only(rows: DataFrame, key: str, block: int = BLOCK, span: int = SPAN) -
     taken = reached(nodes, key, block).withColumn("seq", F.col("at"))
     out = _at(rows.select(key, "seq"), taken, key, "seq", {"at": "taken"})
     return out.select(key, "seq", F.col("taken").isNotNull().alias("accepted"))
+
+
+def captures(rows: DataFrame, key: str, wake: float = 0.9, low: float = 0.35, silent: int = 3, most: int = 20, block: int = BLOCK) -> DataFrame:
+    """(key, detected_seq, end_seq, n_chunks) of rows (key, seq, prob): a row above `wake` starts a capture of the rows after it, which `silent`
+    quiet ones in a row end, or the `most`-th; then the next row above `wake` counts. A capture that is still open has no end."""
+    rows = rows.select(key, "seq", F.struct((F.col("prob") > wake).alias("wake"), (F.col("prob") < low).alias("quiet")).alias("p"))
+    rows = ahead(rows, key, "seq", "p", silent, block)
+    calm = F.col("p1.quiet")
+    for i in range(2, silent + 1):
+        calm = calm & F.col(f"p{i}.quiet")
+    looked = nearest(rows, key, ["seq"], F.floor(F.col("seq") / block), {"then": F.when(F.col("p1.wake"), F.col("seq") + 1), "calm": F.when(calm, F.col("seq") + silent)})
+    rows = written(looked.select(key, "seq", F.col("p.wake").alias("wake"), "then", F.least("calm", F.col("seq") + most).alias("end")))
+    starts = written(_at(rows.where("wake").select(key, "seq", "end"), rows, key, "end", {"seq": "ended", "then": "next"}))
+    first = starts.groupBy(F.col(key).alias("_k")).agg(F.min("seq").alias("first"))
+    nodes = starts.join(first, F.col(key).eqNullSafe(F.col("_k"))).select(key, F.col("seq").alias("at"), "next", (F.col("seq") == F.col("first")).alias("root"))
+    begun = reached(nodes, key, block).select(F.col(key).alias("_k"), "at")
+    out = starts.join(begun, F.col(key).eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("at")), "left_semi")
+    return out.select(key, F.col("seq").alias("detected_seq"), F.col("ended").alias("end_seq"), (F.col("ended") - F.col("seq")).alias("n_chunks"))

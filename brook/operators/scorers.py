@@ -6,7 +6,7 @@ import importlib.util
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,17 @@ class Registry:
         """The first scorer that can load."""
         return next((n for n in self.makers if not self.missing(n)), None)
 
+    def choice(self, rows: DataFrame) -> DataFrame:
+        """`rows` with `backend`, the first scorer that can load, and `problems` of those before it, as the workers find them."""
+
+        def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            problems = "; ".join(f"{n} needs {', '.join(m)}" for n in self.makers if (m := self.missing(n)))
+            for frame in frames:
+                yield frame.assign(backend=self.recommended(), problems=problems)
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInPandas(probe, f"{schema}, backend string, problems string")
+
     def scorer(self, name: str) -> Callable[[Column], Column]:
         """A column function: struct<text, confidence>. An unknown name or a lacking package is an error that lists the choices."""
         if name not in self.makers:
@@ -81,13 +92,9 @@ SCORERS.add("words", WordScorer, needs=("pandas",))
 
 
 def wake_scores(phrases: list[str]) -> Callable[[Column], Column]:
-    """A column function over frames: a map from each phrase to the score at its place."""
-
-    @F.pandas_udf("map<string, double>")
-    def run(frames: pd.Series) -> pd.Series:
-        return frames.map(lambda f: dict(zip(phrases, (float(x) for x in f), strict=False)))
-
-    return run
+    """A column function over frames: a map from each phrase to the score at its place; phrases beyond the frame are left out."""
+    names = F.array(*map(F.lit, phrases))
+    return lambda frames: F.map_from_arrays(F.slice(names, F.lit(1), F.size(frames)), F.transform(F.slice(frames, 1, len(phrases)), lambda x: x.cast("double")))
 
 
 #: Formatters by name; an unknown name leaves a text as it is.

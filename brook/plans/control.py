@@ -52,25 +52,25 @@ def pcm_to_wav(spark, sf_dir):
     return df.select("vec_id", F.concat(header, F.array_join(F.transform("q", lambda v: _little(unsigned(v), 2)), "")).alias("wav"))
 
 
-_IP = "CASE c_custkey % 9 WHEN 0 THEN 'localhost' WHEN 1 THEN '::1' WHEN 2 THEN '127.0.0.1' ELSE ([10, 172, 192, 8, 169, 11])[(c_custkey % 9 - 2)::INT] || '.' || ([16, 168, 31, 254, 32])[(c_custkey % 5 + 1)::INT] || '.' || c_custkey % 256 || '.1' END"
-
-
-@plans.query(rf"SELECT c_custkey, ip, regexp_matches(ip, '^(localhost|::1|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)$') AS local FROM (SELECT c_custkey, {_IP} AS ip FROM customer)")
+_IP = """CASE c_custkey % 24 WHEN 0 THEN 'localhost' WHEN 1 THEN '::1' WHEN 2 THEN '127.0.0.1' WHEN 3 THEN '10.300.1.1' WHEN 4 THEN 'fd12:3456::' || c_custkey % 10 WHEN 5 THEN 'fe80::1%eth0' WHEN 6 THEN '2001:db8::a:' || c_custkey % 100
+  WHEN 7 THEN '2001:4860:4860::8888' WHEN 8 THEN '::ffff:10.0.0.' || c_custkey % 300 WHEN 9 THEN '1::2::3' WHEN 10 THEN '1:2:3:4:5:6:7' WHEN 11 THEN 'FC00:0:0:0:0:0:0:' || c_custkey % 10000 WHEN 12 THEN '10.0.0.01' WHEN 13 THEN '192.0.0.9' WHEN 14 THEN ''
+  WHEN 15 THEN NULL WHEN 16 THEN '100::' || c_custkey % 7 ELSE ([10, 172, 192, 8, 169, 11, 198])[(c_custkey % 24 - 16)::INT] || '.' || ([16, 168, 31, 254, 32])[(c_custkey % 5 + 1)::INT] || '.' || c_custkey % 256 || '.1' END"""
+_HEAD = "list_transform(CASE WHEN {0} = '' THEN [] ELSE string_split({0}, ':') END, lambda g: lpad(g, 4, '0'))"
+
+
+@plans.query(rf"""WITH a AS (SELECT c_custkey, {_IP} AS ip FROM customer),
+d AS (SELECT c_custkey, ip, CASE WHEN regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') THEN list_transform(string_split(ip, '.'), lambda x: x::INT) END AS o,
+  CASE WHEN regexp_full_match(ip, '::ffff:10\.0\.0\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') THEN '::ffff:a00:' || lower(format('{{:x}}', split_part(ip, '.', 4)::INT)) ELSE lower(split_part(ip, '%', 1)) END AS s FROM a),
+g AS (SELECT *, CASE WHEN contains(s, ':') AND NOT contains(s, '.') AND len(string_split(s, '::')) <= 2 THEN {_HEAD.format("split_part(s, '::', 1)")} END AS l, CASE WHEN contains(s, '::') THEN {_HEAD.format("split_part(s, '::', 2)")} ELSE [] END AS r FROM d),
+h AS (SELECT *, CASE WHEN (contains(s, '::') AND len(l) + len(r) <= 7) OR (NOT contains(s, '::') AND len(l) = 8) THEN array_to_string(l, '') || repeat('0000', (8 - len(l) - len(r))::INT) || array_to_string(r, '') END AS x FROM g)
+SELECT c_custkey, ip, coalesce(ip = 'localhost' OR CASE WHEN o IS NOT NULL THEN o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 198 AND o[2] IN (18, 19))
+  OR (o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2) AND NOT (o[3] = 0 AND o[4] IN (9, 10))) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113)
+  ELSE regexp_matches(x, '^(0{{31}}1$|0{{32}}$|0{{20}}ffff0a|0064ff9b0001|01000{{12}}|2002|20010db8|f[cd]|fe[89ab]|20010[01])') END, ip = 'localhost', false) AS local FROM h""")
 def local_client(spark, sf_dir):
-    """Loopback, private and link-local addresses, compared as ranges of numbers."""
-    k = F.col("c_custkey")
-    first = F.element_at(F.array(*map(F.lit, (10, 172, 192, 8, 169, 11))), F.greatest(k % 9 - 2, F.lit(1)).cast("int"))
-    second = F.element_at(F.array(*map(F.lit, (16, 168, 31, 254, 32))), (k % 5 + 1).cast("int"))
-    made = F.concat_ws(".", first.cast("string"), second.cast("string"), (k % 256).cast("string"), F.lit("1"))
-    ip = F.when(k % 9 == 0, "localhost").when(k % 9 == 1, "::1").when(k % 9 == 2, "127.0.0.1").otherwise(made)
-    part = lambda i: F.try_to_number(F.get(F.split("ip", r"\."), F.lit(i)), F.lit("999")).cast("long")
-    number = part(0) * 2**24 + part(1) * 2**16 + part(2) * 2**8 + part(3)
-    ranges = [("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16)]
-    inside = F.lit(False)
-    for net, bits in ranges:
-        low = sum(int(x) << s for x, s in zip(net.split("."), (24, 16, 8, 0), strict=True))
-        inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
-    return table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")).select("c_custkey", "ip", (F.col("ip").isin("localhost", "::1") | F.coalesce(inside, F.lit(False))).alias("local"))
+    """Loopback and private addresses of both families; what is no valid address is not local."""
+    from brook.functions.address import is_local
+
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_IP.replace("[10, 172, 192, 8, 169, 11, 198])[(c_custkey % 24 - 16)::INT]", "array(10, 172, 192, 8, 169, 11, 198))[(c_custkey % 24 - 17)::INT]").replace("([16, 168, 31, 254, 32])[(c_custkey % 5 + 1)::INT]", "(array(16, 168, 31, 254, 32))[(c_custkey % 5)::INT]")).alias("ip")).select("c_custkey", "ip", is_local(F.col("ip")).alias("local"))
 
 
 @plans.query("SELECT page_id, trim(split_part(' ' || url || ' , 10.0.0.1', ',', 1)) AS client FROM pages")
@@ -117,12 +117,18 @@ def regression_score(spark, sf_dir):
     return by.agg(fixed.alias("fixed"), broke.alias("broke"), (fixed - broke).alias("score"))
 
 
-@plans.query("SELECT doc_id, n_frames, original, packed, round(original / packed, 6) AS ratio FROM (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_frames, strlen(text) AS original, 1 + strlen(array_to_string(list_distinct(string_split(text, chr(10))), '')) AS packed FROM documents)")
+@plans.query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 8)::INTEGER) AS q FROM embeddings),
+r AS (SELECT vec_id, q, 1 + len(list_filter(range(2, len(q) + 1), lambda i: q[i] <> q[i - 1])) AS runs FROM q)
+SELECT vec_id, runs, 2 * len(q) AS original, 3 * runs AS packed, round(2 * len(q) / (3 * runs), 6) AS ratio, true AS same FROM r""")
 def compression_ratio(spark, sf_dir):
-    """Sizes before and after each text's equal lines are stored once, and their ratio."""
-    lines = F.split("text", "\n")
-    df = table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_frames"), F.octet_length("text").cast("long").alias("original"), (1 + F.octet_length(F.array_join(F.array_distinct(lines), ""))).cast("long").alias("packed"))
-    return df.select("*", F.round(F.col("original") / F.col("packed"), 6).alias("ratio"))
+    """Samples of coarse steps as runs (two bytes for the value, one for the length): sizes, their ratio, and whether decoding gives the samples again."""
+    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * 8).cast("int"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", q.alias("q"))
+    heads = F.filter(F.transform("q", lambda x, i: F.when((i == 0) | (x != F.get("q", i - 1)), i)), lambda i: i.isNotNull())
+    df = df.withColumn("at", heads).withColumn("n", F.transform("at", lambda a, i: F.coalesce(F.get("at", i + 1), F.size("q")) - a))
+    decoded = F.flatten(F.zip_with("at", "n", lambda a, n: F.array_repeat(F.get("q", a), n)))
+    df = df.select("vec_id", F.size("at").cast("long").alias("runs"), (2 * F.size("q")).cast("long").alias("original"), (3 * F.size("at")).cast("long").alias("packed"), (decoded == F.col("q")).alias("same"))
+    return df.select("vec_id", "runs", "original", "packed", F.round(F.col("original") / F.col("packed"), 6).alias("ratio"), "same")
 
 
 @plans.query(f"""WITH RECURSIVE {CHUNKS}, m AS (
@@ -192,18 +198,31 @@ def assertion_parts(spark, sf_dir):
     return df.select("conv_id", "turn", "role", F.when(both, F.col("e")).alias("expected"), F.when(both, F.col("a")).alias("actual"))
 
 
-@plans.query("""WITH t AS (SELECT n_nationkey % 4 AS lang, n_regionkey AS key, min(n_name || ' {n}') AS text FROM nation GROUP BY ALL)
-SELECT c_custkey, replace(coalesce(a.text, b.text, 'key.' || c_nationkey % 7), '{n}', c_custkey::VARCHAR) AS message FROM customer
-LEFT JOIN t a ON a.lang = c_custkey % 6 AND a.key = c_nationkey % 7 LEFT JOIN t b ON b.lang = 0 AND b.key = c_nationkey % 7""")
+_DOMAIN = "CASE {0} % 3 WHEN 0 THEN 'common' WHEN 1 THEN 'speech' ELSE 'errors' END"
+
+
+@plans.query(f"""WITH t AS (SELECT n_nationkey % 4 AS lang, {_DOMAIN.format('n_nationkey // 4')} AS domain, 'menu.' || n_regionkey AS key, min(n_name || ' {{n}}') AS text FROM nation GROUP BY ALL),
+f AS (SELECT DISTINCT lang, domain FROM t),
+r AS (SELECT c_custkey, c_custkey % 6 AS lang, {_DOMAIN.format('c_custkey')} AS domain, CASE WHEN c_nationkey % 7 = 6 THEN 'menu' ELSE 'menu.' || c_nationkey % 7 END AS key FROM customer),
+w AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.lang = r.lang AND f.domain = r.domain) THEN r.lang ELSE 0 END AS l, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.lang = r.lang AND f.domain = 'common') THEN r.lang ELSE 0 END AS lc FROM r)
+SELECT c_custkey, w.key, replace(coalesce(a.text, b.text, w.key), '{{n}}', c_custkey::VARCHAR) AS message FROM w
+LEFT JOIN t a ON a.lang = l AND a.domain = w.domain AND a.key = w.key LEFT JOIN t b ON b.lang = lc AND b.domain = 'common' AND b.key = w.key""")
 def translate_lookup(spark, sf_dir):
-    """Text of a key in a language, else in the first language, else the key; with the number put in."""
-    texts = table(spark, sf_dir, "nation").groupBy((F.col("n_nationkey") % 4).alias("lang"), F.col("n_regionkey").alias("key")).agg(F.min(F.concat("n_name", F.lit(" {n}"))).alias("text"))
-    # languages x keys: as small as the dimension
-    own = F.broadcast(texts.select(F.col("lang").alias("al"), F.col("key").alias("ak"), F.col("text").alias("a")))
-    first = F.broadcast(texts.where("lang = 0").select(F.col("key").alias("bk"), F.col("text").alias("b")))
-    key = F.col("c_nationkey") % 7
-    df = table(spark, sf_dir, "customer").join(own, (F.col("al") == F.col("c_custkey") % 6) & (F.col("ak") == key), "left").join(first, F.col("bk") == key, "left")
-    return df.select("c_custkey", F.replace(F.coalesce("a", "b", F.concat(F.lit("key."), key.cast("string"))), F.lit("{n}"), F.col("c_custkey").cast("string")).alias("message"))
+    """Text of a dotted key in a domain's file, of the language or else of the first one; without a text there, from the domain `common` in the same way; else the key. The number is put in."""
+    domain = lambda c: F.expr(_DOMAIN.format(c))
+    texts = table(spark, sf_dir, "nation").groupBy((F.col("n_nationkey") % 4).alias("lang"), domain("n_nationkey div 4").alias("domain"), F.col("n_regionkey").cast("string").alias("key")).agg(F.min(F.concat("n_name", F.lit(" {n}"))).alias("text"))
+    # a nested file for each language and domain: as few as the dimension has
+    body = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("menu")))
+    files = texts.groupBy("lang", "domain").agg(body.alias("file"))
+    file = lambda n, only: F.broadcast(files.where(only).select(F.col("lang").alias(f"l{n}"), F.col("domain").alias(f"d{n}"), F.col("file").alias(f"f{n}")))
+    key = F.when(F.col("c_nationkey") % 7 == 6, "menu").otherwise(F.concat(F.lit("menu."), (F.col("c_nationkey") % 7).cast("string")))
+    df = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 6).alias("lang"), domain("c_custkey").alias("domain"), key.alias("key"))
+    df = df.join(file("a", "true"), (F.col("la") == F.col("lang")) & (F.col("da") == F.col("domain")), "left").join(file("b", "lang = 0"), F.col("db") == F.col("domain"), "left")
+    df = df.join(file("c", "domain = 'common'"), F.col("lc") == F.col("lang"), "left").join(file("e", "lang = 0 AND domain = 'common'"), F.col("de") == "common", "left")
+    found = lambda x: F.call_function("get_json_object", x, F.concat(F.lit("$."), F.col("key")))
+    text = lambda x: F.when(~found(x).startswith("{"), found(x))
+    message = F.coalesce(text(F.coalesce("fa", "fb")), text(F.coalesce("fc", "fe")), "key")
+    return df.select("c_custkey", "key", F.replace(message, F.lit("{n}"), F.col("c_custkey").cast("string")).alias("message"))
 
 
 @plans.query("""SELECT p_partkey, k - 1 AS variant, CASE k WHEN 1 THEN replace(p, 'hey', 'say') WHEN 2 THEN replace(p, 'hey', 'hay') WHEN 3 THEN replace(p, 'hey', 'he') ELSE split_part(p, ' ', -1) END AS phrase
@@ -298,13 +317,19 @@ def alias_map(spark, sf_dir):
     return df.select("p_partkey", F.explode(F.map_from_entries(last)).alias("agent", "v")).select("p_partkey", "agent", F.array_join("v", "|").alias("phrases"))
 
 
-@plans.query("SELECT doc_id, n_chars // 2 + n_chars % 2 AS samples, n_chars % 2 AS padded, greatest(0, (n_chars // 2 + n_chars % 2 + 255) // 256) AS chunks, CASE WHEN n_chars < 2 THEN 0 WHEN (n_chars // 2 + n_chars % 2) % 256 = 0 THEN 256 ELSE (n_chars // 2 + n_chars % 2) % 256 END AS last FROM documents WHERE n_chars >= 2")
+@plans.query("""WITH d AS (SELECT doc_id, hex(encode(text)) || CASE WHEN strlen(text) % 2 = 1 THEN '00' ELSE '' END AS h, strlen(text) % 2 AS padded FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, padded, h, unnest(range(0, (len(h) + 1023) // 1024)) AS chunk FROM d)
+SELECT doc_id, chunk, len(substr(h, chunk * 1024 + 1, 1024)) // 4 AS samples, md5(substr(h, chunk * 1024 + 1, 1024)) AS data_md5, CASE WHEN (chunk + 1) * 1024 >= len(h) THEN padded ELSE 0 END AS padded FROM c""")
 def tail_flush(spark, sf_dir):
-    """A buffer's samples at its end: an odd byte is padded, and the last short chunk goes out too."""
-    n = F.col("n_chars")
-    df = table(spark, sf_dir, "documents").where(n >= 2).select("doc_id", (F.floor(n / 2) + n % 2).cast("long").alias("samples"), (n % 2).cast("long").alias("padded"))
-    rest = F.col("samples") % 256
-    return df.select("doc_id", "samples", "padded", F.ceil(F.col("samples") / 256).cast("long").alias("chunks"), F.when(rest == 0, F.lit(256)).otherwise(rest).cast("long").alias("last"))
+    """A buffer's bytes at its end, from a base64 payload: an odd one is padded with a zero, and all chunks of 512 bytes go out, the short last one too."""
+    raw = F.unbase64(F.base64(F.encode("text", "UTF-8")))
+    df = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", raw.alias("raw"), (F.octet_length("text") % 2).alias("odd"))
+    df = df.select("doc_id", "odd", F.when(F.col("odd") == 1, F.concat("raw", F.unhex(F.lit("00")))).otherwise(F.col("raw")).alias("bytes"))
+    last = F.floor((F.octet_length("bytes") - 1) / 512)
+    df = df.select("doc_id", "odd", last.alias("last"), "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    data = F.substring("bytes", F.col("chunk").cast("int") * 512 + 1, F.lit(512))
+    df = df.select("doc_id", "chunk", "odd", "last", data.alias("data"))
+    return df.select("doc_id", "chunk", F.floor(F.octet_length("data") / 2).alias("samples"), F.md5(F.hex("data")).alias("data_md5"), F.when(F.col("chunk") == F.col("last"), F.col("odd")).otherwise(0).cast("long").alias("padded"))
 
 
 @plans.query("SELECT conv_id, turn, role, array_to_string(list_transform(string_split(text, ', '), lambda p: replace(p, ' ', '')), '') AS unstable FROM conversations")

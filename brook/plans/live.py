@@ -115,3 +115,23 @@ def session_registry(spark, sf_dir):
     df = df.withColumn("sum", F.sum("change").over(inside)).join(days, F.col("day") == F.col("of"))
     op = F.when(F.col("kind") == "signup", "create").when(F.col("kind") == "error", "remove").otherwise("get")
     return df.select("event_id", op.alias("op"), F.col("open").alias("found"), F.when(F.col("open"), F.col("run")).alias("run"), (F.col("base") + F.col("sum")).alias("active"))
+
+
+_AGENTS = "CASE event_type WHEN 'click' THEN 'desk' WHEN 'view' THEN 'desk' WHEN 'purchase' THEN 'shop' ELSE 'main' END"
+
+
+@plans.query(f"""WITH RECURSIVE {CHUNKS}, m AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS seq, NULL::BIGINT AS found, 0::BIGINT AS n, 0 AS silent, NULL::BIGINT AS done FROM chunks
+  UNION ALL
+  SELECT session_id, seq, CASE WHEN found IS NULL THEN CASE WHEN prob > 0.9 THEN seq END WHEN over THEN NULL ELSE found END,
+    CASE WHEN found IS NULL OR over THEN 0 ELSE n + 1 END, CASE WHEN found IS NULL OR over THEN 0 WHEN prob < 0.35 THEN silent + 1 ELSE 0 END, CASE WHEN found IS NOT NULL AND over THEN found END
+  FROM (SELECT c.session_id, c.seq, c.prob, m.found, m.n, m.silent, (c.prob < 0.35 AND m.silent + 1 >= 3) OR m.n + 1 >= 20 AS over FROM m JOIN chunks c ON c.session_id = m.session_id AND c.seq = m.seq + 1)),
+d AS (SELECT DISTINCT session_id, found FROM m WHERE found IS NOT NULL)
+SELECT d.session_id, d.found AS detected_seq, {_AGENTS} AS agent, e.seq AS end_seq, e.seq - d.found AS n_chunks
+FROM d JOIN chunks c ON c.session_id = d.session_id AND c.seq = d.found LEFT JOIN m e ON e.session_id = d.session_id AND e.done = d.found""")
+def wake_routes(spark, sf_dir):
+    """All detections of a session, each with its capture, routed to the agent of its phrase; while one is captured no other is detected."""
+    rows = chunks(spark, sf_dir)
+    found = chains.captures(rows.select(KEY, "seq", "prob"), KEY)
+    phrases = rows.select(KEY, F.col("seq").alias("detected_seq"), F.expr(_AGENTS).alias("agent"))
+    return found.join(phrases, [KEY, "detected_seq"]).select(KEY, "detected_seq", "agent", "end_seq", "n_chunks")

@@ -23,9 +23,7 @@ def backend_score(spark, sf_dir):
 @plans.query("SELECT lang, count(*) AS texts, 'words' AS backend, 'speech-model needs a_speech_model_package' AS problems FROM documents GROUP BY lang")
 def backend_choice(spark, sf_dir):
     """For each language its texts, the scorer that would take them, and why those before it can't."""
-    own = scorers.SCORERS
-    problems = "; ".join(f"{n} needs {', '.join(m)}" for n in own.makers if (m := own.missing(n)))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("texts")).select("lang", "texts", F.lit(own.recommended()).alias("backend"), F.lit(problems).alias("problems"))
+    return scorers.SCORERS.choice(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("texts")))
 
 
 @plans.query("SELECT vec_id, 'p' || i AS phrase, round(embedding[i]::DOUBLE, 6) AS score FROM embeddings, range(1, 4) t(i) WHERE embedding[i] > 0.05")
