@@ -184,9 +184,10 @@ def speech_states(rows: DataFrame, key: str, threshold: float = 0.5, speech: int
     return out.select(key, "seq", state.alias("state"))
 
 
-def utterances(rows: DataFrame, key: str, threshold: float = 0.5, low: float = 0.35, silent: int = 3, least: int = 3, most: int = 300, block: int = BLOCK) -> DataFrame:
+def utterances(rows: DataFrame, key: str, threshold: float = 0.5, low: float = 0.35, silent: int = 3, least: int = 3, most: int = 300, flush: bool = False, block: int = BLOCK) -> DataFrame:
     """(key, start_seq, end_seq, n_chunks) of the utterances of rows (key, seq, prob): two loud rows start one, at the second;
-    `silent` quiet rows in a row, or the `most`-th row, end it; ended by silence, it counts from `least` rows on."""
+    `silent` quiet rows in a row, or the `most`-th row, end it; ended by silence, it counts from `least` rows on. So does one that is still
+    open after the last row, if `flush` is set; else it is none."""
     rows = rows.select(key, "seq", F.struct((F.col("prob") > threshold).alias("loud"), (F.col("prob") < low).alias("quiet")).alias("p"))
     rows = ahead(rows, key, "seq", "p", max(silent, 2), block)
     pair = F.when(F.col("p1.loud") & F.col("p2.loud"), F.col("seq") + 2)
@@ -202,8 +203,13 @@ def utterances(rows: DataFrame, key: str, threshold: float = 0.5, low: float = 0
     first = starts.groupBy(F.col(key).alias("_k")).agg(F.min("seq").alias("first"))
     nodes = starts.join(first, F.col(key).eqNullSafe(F.col("_k"))).select(key, F.col("seq").alias("at"), "next", (F.col("seq") == F.col("first")).alias("root"))
     begun = reached(nodes, key, block).select(F.col(key).alias("_k"), "at")
+    if flush:
+        last = rows.groupBy(F.col(key).alias("_l")).agg(F.max("seq").alias("last"))
+        starts = starts.join(last, F.col(key).eqNullSafe(F.col("_l"))).withColumn("end", F.when(F.col("ended").isNull(), F.col("last")).otherwise(F.col("end")))
+    else:
+        starts = starts.where("ended IS NOT NULL")
     n = F.col("end") - F.col("seq") + 1
-    out = starts.where("ended IS NOT NULL").join(begun, F.col(key).eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("at")), "left_semi")
+    out = starts.join(begun, F.col(key).eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("at")), "left_semi")
     return out.where((n >= least) | (n >= most)).select(key, F.col("seq").alias("start_seq"), F.col("end").alias("end_seq"), n.alias("n_chunks"))
 
 

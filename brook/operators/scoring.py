@@ -6,7 +6,7 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scorers import Scorer
@@ -75,9 +75,10 @@ def outcomes(chunks: DataFrame, maker: Callable[[], Scorer], batch: int = 8, sec
     return chunks.mapInPandas(run, "id long, part long, text string, outcome string")
 
 
-def scored(docs: DataFrame, maker: Callable[[], Scorer], words: int = 200, overlap: int = 20, **limits) -> DataFrame:
+def scored(docs: DataFrame, maker: Callable[[], Scorer], words: int = 200, overlap: int = 20, finish: Callable[[Column], Column] | None = None, **limits) -> DataFrame:
     """(id, n_parts, outcome, failed_part, text): the chunks' texts in order without their overlaps, or null and the first failure's outcome.
 
+    `finish` is applied to the whole text, for instance text.remove_repetitions.
     Null and empty texts have one empty chunk. The chunks of a document meet in one row, as its text does."""
     parts = outcomes(cut(docs, words, overlap), maker, **limits)
     rows = parts.groupBy("id").agg(F.count("*").alias("n_parts"), F.sort_array(F.collect_list(F.struct("part", "text", "outcome"))).alias("p"))
@@ -85,4 +86,5 @@ def scored(docs: DataFrame, maker: Callable[[], Scorer], words: int = 200, overl
     rest = lambda w: F.array_join(F.slice(w, F.lit(overlap + 1), F.size(w)), " ")
     own = F.transform("p", lambda x: F.when(x["part"] == 0, x["text"]).otherwise(rest(F.split(x["text"], " "))))
     text = F.when(bad.isNull(), F.array_join(own, " "))
-    return rows.select("id", "n_parts", F.coalesce(bad["outcome"], F.lit("ok")).alias("outcome"), bad["part"].alias("failed_part"), text.alias("text"))
+    out = rows.select("id", "n_parts", F.coalesce(bad["outcome"], F.lit("ok")).alias("outcome"), bad["part"].alias("failed_part"), text.alias("text"))
+    return out.withColumn("text", finish(F.col("text"))) if finish else out

@@ -64,12 +64,14 @@ SELECT label, chunk, count(*) AS n, round(sum(x), 4) AS total FROM n GROUP BY AL
 def rechunk(spark, sf_dir):
     """Fixed-size chunks of each label's samples in order, the last one short.
 
-    Each vector's first place is a running count of the samples before it, so only vectors meet in
-    a window; samples are dealt to their chunks without one."""
+    Each vector's first place is a running count of the samples before it, for which only sizes meet in
+    a window; the samples themselves go to their chunks from where they are."""
     from pyspark.sql import Window
 
-    before = F.sum(F.size(E)).over(Window.partitionBy("label").orderBy(V).rowsBetween(Window.unboundedPreceding, -1))
-    df = _vectors(spark, sf_dir).select("label", V, E, F.coalesce(before, F.lit(0)).alias("b")).select("label", "b", F.posexplode(E).alias("i", "x"))
+    before = F.sum("size").over(Window.partitionBy("label").orderBy(V).rowsBetween(Window.unboundedPreceding, -1))
+    own = _vectors(spark, sf_dir).select("label", V, E)
+    places = own.select("label", V, F.size(E).alias("size")).select(V, F.coalesce(before, F.lit(0)).alias("b"))
+    df = own.join(places, V).select("label", "b", F.posexplode(E).alias("i", "x"))
     return df.groupBy("label", F.floor((F.col("b") + F.col("i")) / 100).alias("chunk")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 4).alias("total"))
 
 

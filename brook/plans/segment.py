@@ -115,7 +115,8 @@ def min_buffer_batches(spark, sf_dir):
   FROM m JOIN chunks c ON c.session_id = m.session_id AND c.seq = m.seq + 1 WHERE NOT m.done)
 SELECT session_id, found AS detected_seq, seq AS end_seq, n AS n_chunks FROM m WHERE done""")
 def wake_capture(spark, sf_dir):
-    return _fold(spark, sf_dir, folds.WakeCapture, "detected_seq long, end_seq long, n_chunks long")
+    first = chains.captures(_rows(spark, sf_dir), KEY).groupBy(KEY).agg(F.min("detected_seq").alias("detected_seq"), F.min_by(F.struct("end_seq", "n_chunks"), "detected_seq").alias("c"))
+    return first.where("c.end_seq IS NOT NULL").select(KEY, "detected_seq", "c.end_seq", "c.n_chunks")
 
 
 @plans.query(f"""WITH {CHUNKS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM chunks WINDOW w AS (PARTITION BY session_id ORDER BY seq)),

@@ -1,8 +1,9 @@
 """Utterances of a stream of chunks: the batch state machine, kept between micro-batches.
 
 Input: (session_id, seq, prob) with chunks of a session in order across micro-batches. The state of
-a session is the machine's four numbers; a session without chunks for `idle_ms` ends: its open
-utterance comes out if it is long enough, and it is forgotten. Without `idle_ms` sessions stay
+a session is the machine's four numbers; a session without chunks for `idle_ms` ends and is forgotten. Its open
+utterance comes out, if it is long enough, only with `flush`: that is the rule of the batch form,
+`chains.utterances`, with its `flush`. Without `idle_ms` sessions stay
 for ever; a run over what is there (`availableNow`) needs that, since time-outs always want another batch.
 """
 
@@ -22,7 +23,7 @@ OUTPUT = "session_id long, start_seq long, end_seq long, n_chunks long"
 COLUMNS = ["session_id", "start_seq", "end_seq", "n_chunks"]
 
 
-def stream_utterances(stream: DataFrame, idle_ms: int | None = 600_000, **settings) -> DataFrame:
+def stream_utterances(stream: DataFrame, idle_ms: int | None = 600_000, flush: bool = False, **settings) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = VoiceActivity(**settings)
         if state.exists:
@@ -30,7 +31,7 @@ def stream_utterances(stream: DataFrame, idle_ms: int | None = 600_000, **settin
             machine.start = start if start >= 0 else None
         if state.hasTimedOut:
             state.remove()
-            open_ = machine.start is not None and machine.n / machine.rate >= machine.min_speech
+            open_ = flush and machine.start is not None and machine.n / machine.rate >= machine.min_speech
             yield pd.DataFrame([(key[0], machine.start, machine.start + machine.n - 1, machine.n)] if open_ else [], columns=COLUMNS)
             return
         out = []

@@ -57,6 +57,24 @@ def test_utterances(spark, sessions, block):
     assert got == _folded(sessions, lambda: VoiceActivity(min_speech=0.6)) and got
 
 
+def test_captures(spark, sessions):
+    want, current, found = [], object(), None
+    for key, seq, prob, _, _ in [*sessions, ("end", 0, 0.0, 0, False)]:
+        if key != current:
+            if found is not None:
+                want.append((current, found, None, None))
+            current, found, n, silent = key, None, 0, 0
+        if found is None:
+            found, n, silent = (seq if prob > 0.8 else None), 0, 0
+            continue
+        n, silent = n + 1, silent + 1 if prob < 0.35 else 0
+        if silent >= 3 or n >= 9:
+            want.append((key, found, seq, n))
+            found = None
+    got = chains.captures(_frame(spark, sessions), "session_id", wake=0.8, most=9, block=16)
+    assert _rows(got) == sorted(want, key=str) and len(want) > 20
+
+
 @pytest.mark.parametrize("block", [8, 4096])
 def test_breaker(spark, sessions, block):
     for failures, successes in ((3, 2), (2, 3), (1, 1)):

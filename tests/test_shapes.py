@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brook.functions import shapes
 from brook.functions.address import is_local
+from brook.functions.text import remove_repetitions, without_repetitions
 from brook.operators import scoring
 from brook.operators.scorers import Scorer
 
@@ -84,6 +85,14 @@ def test_scoring_survives_bad_and_slow_chunks(spark):
     assert got[6][3] == "  TWO  SPACES " and got[7][3] == "ONE" and got[8][0] == 1 and got[9][0] == 2 and got[9][3] == " ".join(["X"] * 31)
 
 
+def test_whole_texts_are_finished_after_the_chunks(spark):
+    """Repetitions across the borders of chunks go, as in the whole text."""
+    text = " ".join(["a b c"] * 20 + [f"w{i}" for i in range(50)] + ["x y z"] * 9)
+    rows = spark.createDataFrame([(1, text), (2, "a few words of no note")], "id long, text string")
+    got = {r["id"]: r["text"] for r in scoring.scored(rows, Fussy, words=20, overlap=4, finish=remove_repetitions, seconds=5).collect()}
+    assert got == {1: without_repetitions(text.upper()), 2: "A FEW WORDS OF NO NOTE"} and len(got[1]) < len(text)
+
+
 def test_texts_of_tokens(spark):
     cases = ['"  a "', '["a","b"," "]', '[{"text":"p"},"q",7]', '{"text":" o "}', "null", "[]", "3"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, j string").select("i", shapes.tokens_text(F.parse_json("j")).alias("t"))
