@@ -60,7 +60,10 @@ TEMPLATES = {
         "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
         "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following "
         "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part "
-        "and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"
+        "and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement "
+        "in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software"
     ),
     "gpl-notice": (
         "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1}} of the license or [[at your option]] any later version "
@@ -72,7 +75,13 @@ TEMPLATES = {
     ),
     "unlicense": (
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
-        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+        "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software"
     ),
     "zlib": (
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "

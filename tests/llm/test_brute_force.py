@@ -139,3 +139,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         assert sorted(tuple(r) for r in docs.collect()) == sorted(want), name
     placed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in placed} == {d for d, _, _ in want}
+
+
+def test_whole_texts_of_two_licenses():
+    """A grant alone, or one that goes on in another way, gets no label; the whole wording does."""
+    from brook.llm.licenses import TEMPLATES, Automaton, tokens
+
+    for name, cut in (("unlicense", " in jurisdictions"), ("bsl-1.0", " the software is provided as is")):
+        automaton, whole = Automaton(TEMPLATES[name]), TEMPLATES[name]
+        grant = whole[: whole.index(cut)]
+        assert automaton.accepts(tokens(whole), 0) == len(tokens(whole))
+        assert automaton.accepts(tokens(grant), 0) is None and automaton.accepts(tokens(f"{grant} but only on mondays"), 0) is None
