@@ -181,7 +181,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """All columns of `docs` with entities in `text` replaced, and n_entities and kinds (sorted, distinct).
 
     One value has one surrogate in all documents, whatever its separators; different values have
-    different ones. Initials alone may share theirs. Null texts stay null and hold none. Repeated rows get the same text. Columns
+    different ones. Initials alone may share theirs; a single letter counts as one and is not looked for where it stands alone. Null texts stay null and hold none. Repeated rows get the same text. Columns
     n_entities and kinds of `docs` are replaced; any other names may be there. No rows give no rows."""
     text = F.col("text").cast("string")
     ids = docs.select(F.struct("*").alias("doc"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))).alias("dk"))
@@ -202,7 +202,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     pieces = pieces.withColumn("new", new)
     own = F.sort_array(F.collect_list(F.struct("i", "new", "piece", "kind")))
     whole = pieces.groupBy("dk", "at", "type").agg(own.alias("x")).withColumn("last", F.element_at("x", -1))
-    alone = F.when((F.col("last.kind") == "name") & (F.length("last.piece") > 2), F.struct(F.col("last.piece").alias("old"), F.col("last.new").alias("new")))
+    alone = F.when((F.col("last.kind") == "name") & (F.length("last.piece") > 1), F.struct(F.col("last.piece").alias("old"), F.col("last.new").alias("new")))
     per = whole.select("dk", "at", "type", F.array_join("x.new", " ").alias("new"), alone.alias("alone"))
     per = per.groupBy("dk").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"), F.sort_array(F.collect_set("type")).alias("kinds"), F.sort_array(F.collect_set("alone")).alias("alone"))
     per = materialize(per.select("dk", F.col("new.new").alias("new"), "kinds", "alone"))

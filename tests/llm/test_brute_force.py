@@ -150,3 +150,14 @@ def test_whole_texts_of_two_licenses():
         grant = whole[: whole.index(cut)]
         assert automaton.accepts(tokens(whole), 0) == len(tokens(whole))
         assert automaton.accepts(tokens(grant), 0) is None and automaton.accepts(tokens(f"{grant} but only on mondays"), 0) is None
+
+
+def test_short_surnames_alone(spark):
+    """A surname of two letters goes where it stands alone, as a longer one does."""
+    from brook.llm.surrogates import pseudonymize
+
+    rows = spark.createDataFrame([(1, "Mr Li and Li said, Ling too"), (2, "Mrs Xu, Xu"), (3, "Mr Otto, Otto")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pseudonymize(rows, "k").collect()}
+    first, *rest = re.findall(r"\w+", got[1])
+    assert first == "Mr" and rest[0] == rest[2] != "Li" and rest[-2:] == ["Ling", "too"]
+    assert "Xu" not in got[2] and "Otto" not in got[3]
