@@ -41,7 +41,7 @@ def cut(docs: DataFrame, words: int, overlap: int) -> DataFrame:
     return df.select("id", "part", F.array_join(F.slice("w", (F.col("part") * step + 1).cast("int"), F.lit(words)), " ").alias("chunk"))
 
 
-def outcomes(chunks: DataFrame, maker: Callable[[], Scorer], batch: int = 8, seconds: float = 1.0) -> DataFrame:
+def outcomes(chunks: DataFrame, maker: Callable[[], Scorer], batch: int = 8, seconds: float = 2.0) -> DataFrame:
     """(id, part, text, outcome) of chunks (id, part, chunk): `ok`, `timeout` or `error: ...`, scored `batch` at a time whatever their document.
 
     A batch that fails, or takes more than `seconds` for each of its chunks, is scored again one by one, so that a bad chunk harms no other."""

@@ -77,7 +77,7 @@ def test_captures(spark, sessions):
 
 @pytest.mark.parametrize("block", [8, 4096])
 def test_breaker(spark, sessions, block):
-    for failures, successes in ((3, 2), (2, 3), (1, 1)):
+    for failures, successes in ((3, 2), (2, 3), (1, 1)) if block == 8 else ((3, 2),):
         got = _rows(chains.breaker(_frame(spark, sessions), "session_id", 24 * HOUR, failures, successes, block=block, span=50 * HOUR))
         assert got == _folded(sessions, lambda f=failures, s=successes: CircuitBreaker(f, pd.Timedelta(hours=24), s))
 

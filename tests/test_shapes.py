@@ -78,7 +78,7 @@ class Fussy(Scorer):
 def test_scoring_survives_bad_and_slow_chunks(spark):
     long = " ".join(f"w{i}" for i in range(95))
     rows = [(1, long), (2, ""), (3, None), (4, f"{long} broken tail"), (5, "slow " + long), (6, "  two  spaces "), (7, "one"), (8, " ".join(["x"] * 30)), (9, " ".join(["x"] * 31))]
-    out = scoring.scored(spark.createDataFrame(rows, "id long, text string"), Fussy, words=30, overlap=5, seconds=0.7)
+    out = scoring.scored(spark.createDataFrame(rows, "id long, text string"), Fussy, words=30, overlap=5, batch=2, seconds=2.0)
     got = {r["id"]: tuple(r)[1:] for r in out.collect()}
     assert got[1] == (4, "ok", None, long.upper()) and got[2] == got[3] == (1, "ok", None, "")
     assert got[4] == (4, "error: broken", 3, None) and got[5] == (4, "timeout", 0, None)
