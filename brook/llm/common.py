@@ -38,20 +38,31 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.rsplit("/", 1)[1].startswith("t-"):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    for files, path in _folders(df):
+        files.delete(path, True)
 
 
-#: A table of at most so many rows of a few numbers each is sent to all tasks.
+#: A table of at most so many rows and so many bytes on disk is sent to all tasks.
 SENT_ROWS = 1_000_000
+SENT_BYTES = 8 << 20
 
 
 def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """A materialized table, marked to be sent to all tasks if it is small; a larger one is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if table_bytes(df) <= SENT_BYTES and df.count() <= rows else df
+
+
+def _folders(df: DataFrame) -> list:
+    """The file system and path of each materialized table that `df` reads."""
+    spark = df.sparkSession
+    found = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(found) if f.rsplit("/", 1)[1].startswith("t-")]
+    return [(x.getFileSystem(spark._jsc.hadoopConfiguration()), x) for x in paths]
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes on disk of the materialized tables that `df` reads."""
+    return sum(files.getContentSummary(path).getLength() for files, path in _folders(df))
 
 
 def words_of(text: Column) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, read, sent
+from .common import SPACES, drop_table, materialize, read, sent
 
 #: Counts of words, by hash.
 BUCKETS = 1 << 18
@@ -38,6 +38,11 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _id() -> Column:
+    """With `_key` it tells documents apart; a null doc_id comes after all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+
+
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -87,17 +92,17 @@ def _parities(bits: list[int]) -> Column:
 
 
 def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """(id, dk, no, sid, n, sig, more, prefix) of each line with a word, with its place; a null doc_id comes after all others.
+    """(id, dk, no, sid, sid2, n, sig, more, prefix) of each line with a word, with its place and 128 bits for its set.
 
     `sig` has 64 parities of the set's tokens, `more` those of one half of a larger set's tokens, so that
     `sig` xor `more` has those of the other half; the prefix has the upper half of each token, which keeps the order."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), _key().alias("dk"), F.split(_text(), "\n").alias("_l"))
+    keyed = docs.select(_id().alias("id"), _key().alias("dk"), F.split(_text(), "\n").alias("_l"))
     lines = keyed.select("id", "dk", F.posexplode("_l").alias("no", "line"))
     tokens = F.sort_array(F.array_distinct(_tokens(_words(F.col("line")), table)))
     lines = lines.select("id", "dk", "no", tokens.alias("_t")).where(F.size("_t") > 0).withColumn("n", F.size("_t"))
     more = F.when(F.col("n") >= LARGE, _parities(_HALF)).otherwise(F.lit(0).cast("long"))
     first = F.slice("_t", F.lit(1), F.when(F.col("n") >= LEAST, prefix_length(F.col("n"))).otherwise(F.lit(0)))
-    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), "n", _parities(_BITS).alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
+    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), F.xxhash64(F.lit(1), "_t").alias("sid2"), "n", _parities(_BITS).alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
 
 
 def _apart(x: str, y: str) -> Column:
@@ -107,15 +112,19 @@ def _apart(x: str, y: str) -> Column:
     return F.when((n >= LARGE) & (m >= LARGE), F.bit_count(sig.bitwiseXOR(more)) + F.bit_count(more)).otherwise(F.bit_count(sig))
 
 
-def _fits(x: str, y: str) -> Column:
-    """Length and positional filters, and the parities."""
+def _fits(x: str, y: str, first: bool = False) -> Column:
+    """Length and positional filters, and the parities; at the sets' `first` common token none is common before."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at")) + F.least(f"{x}at", f"{y}at")
+    rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at"))
+    if not first:
+        rest = rest + F.least(f"{x}at", f"{y}at")
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80) & (_apart(x, y) * 9 <= n + m)
 
 
-def _postings(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
-    return sets.select("uid", "n", "sig", "more", *more, F.posexplode(prefix).alias("at", "token"))
+def _postings(sets: DataFrame, *more: str) -> DataFrame:
+    """A row for each token of a prefix, with the tokens `before` it."""
+    rows = sets.select("uid", "n", "sig", "more", *more, "prefix", F.posexplode("prefix").alias("at", "token"))
+    return rows.withColumn("prefix", F.slice("prefix", F.lit(1), F.col("at"))).withColumnRenamed("prefix", "before")
 
 
 def _named(df: DataFrame, x: str, *more: str) -> DataFrame:
@@ -141,13 +150,15 @@ def _to_neighbours(sets: DataFrame) -> DataFrame:
 
 
 def _to_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """(a, b): the sets not in `gone` with all others of their tokens' postings that pass the filters."""
+    """(a, b): the sets not in `gone` with all others of their tokens' postings that pass the filters, at their first common token."""
     alive = sets.join(sent(gone.withColumn("_gone", F.lit(True))), "uid", "left").withColumn("alive", F.col("_gone").isNull())
-    both = _postings(alive, F.col("prefix"), "alive", "place.id").repartition("token")
+    both = _postings(alive, "alive", "place.id").repartition("token")
     both = both.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
-    met = _named(both, "x", "id", "alive").join(_named(both.where("alive"), "y", "id", "alive"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    met = _named(both, "x", "id", "alive", "before").join(_named(both.where("alive"), "y", "id", "alive", "before"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y", first=True))
     # a later set that is beaten already decides nothing; of two that are not, one order will do
     met = met.where((F.col("xid") < F.col("yid")) | ((F.col("xid") == F.col("yid")) & (~F.col("xalive") | (F.col("xuid") < F.col("yuid")))))
+    # each pair at its first common token only
+    met = met.where(~F.arrays_overlap("xbefore", "ybefore"))
     return met.select(F.least("xuid", "yuid").alias("a"), F.greatest("xuid", "yuid").alias("b")).distinct()
 
 
@@ -158,9 +169,9 @@ def _beaten(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = materialize(pairs)
     wanted = materialize(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
     places = sets.select("uid", "place").join(sent(wanted), "uid")
-    by_text = materialize(places.groupBy(F.col("place.dk").alias("dk")).agg(F.collect_list(F.struct(F.col("place.no").alias("no"), "uid", "place")).alias("at")))
-    texts = docs.select(_key().alias("_key"), _text().alias("_x")).join(sent(by_text), F.col("_key") == F.col("dk"))
-    lines = texts.select(F.explode("at").alias("at"), F.split("_x", "\n").alias("_l")).select("at.uid", "at.place", F.get("_l", F.col("at.no")).alias("line"))
+    by_text = materialize(places.groupBy(F.col("place.id").alias("id"), F.col("place.dk").alias("dk")).agg(F.collect_list(F.struct(F.col("place.no").alias("no"), "uid")).alias("at")))
+    texts = docs.select(_id().alias("_id"), _key().alias("_key"), _text().alias("_x")).join(sent(by_text), (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("dk")))
+    lines = texts.select("id", "dk", F.explode("at").alias("at"), F.split("_x", "\n").alias("_l")).select("at.uid", F.struct("id", "dk", "at.no").alias("place"), F.get("_l", F.col("at.no")).alias("line"))
     own = lines.select("uid", "place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(["uid"])
     own = materialize(own)
     a = own.select(F.col("uid").alias("a"), F.col("place").alias("pa"), F.col("words").alias("wa"))
@@ -168,22 +179,28 @@ def _beaten(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     met = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("wa", "wb"))
     met = met.where(common * 180 >= (F.size("wa") + F.size("wb")) * 80)
-    return materialize(met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("uid")).distinct())
+    out = materialize(met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("uid")).distinct())
+    for spent in (pairs, wanted, by_text, own):
+        drop_table(spent)
+    return out
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """(dk, no): the lines that match an earlier one."""
+    """(id, dk, no): the lines that match an earlier one, in a new table."""
     own = materialize(lines_of(docs, rarity(docs)))
     place = F.struct("id", "dk", "no")
-    sets = own.groupBy("sid").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "sig", "more", "prefix")])
+    sets = own.groupBy("sid", "sid2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "sig", "more", "prefix")])
     # numbers of the rows as written are shorter in the shuffles than hashes
     sets = materialize(sets.withColumn("uid", F.monotonically_increasing_id()))
-    gone = _beaten(_to_neighbours(sets), sets, docs)
-    gone = materialize(gone.union(_beaten(_to_all(sets, gone), sets, docs)).distinct())
-    state = sets.select("uid", "sid", "lines", F.col("place").alias("first")).join(sent(gone.withColumn("beaten", F.lit(True))), "uid", "left")
-    state = materialize(state.where("lines > 1 OR beaten").select("sid", "first", "beaten"))
-    lines = own.select(place.alias("place"), "sid").join(sent(state), "sid")
-    return lines.where((F.col("place") != F.col("first")) | F.col("beaten")).select("place.dk", "place.no").distinct()
+    near = _beaten(_to_neighbours(sets), sets, docs)
+    gone = materialize(near.union(_beaten(_to_all(sets, near), sets, docs)).distinct())
+    state = sets.select("uid", "sid", "sid2", "lines", F.col("place").alias("first")).join(sent(gone.withColumn("beaten", F.lit(True))), "uid", "left")
+    state = materialize(state.where("lines > 1 OR beaten").select("sid", "sid2", "first", "beaten"))
+    lines = own.select(place.alias("place"), "sid", "sid2").join(sent(state), ["sid", "sid2"])
+    out = materialize(lines.where((F.col("place") != F.col("first")) | F.col("beaten")).select("place.*").distinct())
+    for spent in (own, sets, near, gone, state):
+        drop_table(spent)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -194,9 +211,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     match. Lines without a word always stay. A null text stays null, an empty one empty. Identical
     rows are decided as one and keep the same lines. A null doc_id comes last. Columns n_lines and
     n_removed of `docs` are replaced; any other names may be there. No rows give no rows."""
-    found = materialize(later_matches(docs).groupBy("dk").agg(F.collect_set("no").alias("nos")))
-    left = docs.select(F.struct("*").alias("doc"), _key().alias("dk"))
-    out = left.join(sent(found), "dk", "left")
+    matched = later_matches(docs)
+    found = materialize(matched.groupBy("id", "dk").agg(F.collect_set("no").alias("nos")))
+    drop_table(matched)
+    left = docs.select(F.struct("*").alias("doc"), _id().alias("id"), _key().alias("dk"))
+    out = left.join(sent(found), ["id", "dk"], "left")
     lines = F.split(F.col("doc.text").cast("string"), "\n")
     removed = F.coalesce(F.size("nos"), F.lit(0))
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("nos"), i)), "\n")
