@@ -4,7 +4,8 @@ Texts are cut into words, and numbers, units and names become typed placeholders
 with other figures or names has the same template. Windows of template words are hash-joined with
 those of the benchmark. Matches on one diagonal (same offset between document and item) are taken
 together, and so are those on diagonals a few words apart, over which inserted and deleted words deal
-an item. The document must cover enough of the item's windows, and its slot values must map to the
+an item. Shorter items have shorter windows, so that one replaced word leaves more than half of them
+wherever it stands. The document must cover enough of the item's windows, and its slot values must map to the
 item's one to one, wherever a slot's value recurs. Placeholders of one type in a row are one slot.
 """
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, sent
 
-WINDOW = 8
+#: Words of a window, for items of so many words or more. Of w words, one word breaks w windows at most, and an item of
+#: 3 w - 1 words has 2 w. Items under the least length are matched whole.
+WINDOWS = {23: 8, 14: 5, 8: 4}
 #: Share of an item's windows that a document must hold.
 COVERED = 0.5
 #: Diagonals at most so many words apart are taken together.
@@ -60,6 +63,23 @@ def _runs(n: int) -> Column:
     return F.slice(run, F.lit(1), F.greatest(F.size("_h") - (n - 1), F.lit(0)))
 
 
+def _length(words: Column) -> Column:
+    """Words of a window of an item of so many words."""
+    out = words
+    for least, window in sorted(WINDOWS.items()):
+        out = F.when(words >= least, window).otherwise(out)
+    return out
+
+
+def _keys() -> list[Column]:
+    """`id` and `dk` tell documents apart; a null doc_id has the largest id."""
+    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.coalesce(number, F.lit(2**63 - 1)).alias("id"), F.xxhash64(number, text).alias("dk")]
+
+
+KEYS = ["id", "dk"]
+
+
 def _windows(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
     """(keys.., pos, h): hashes of all runs of each of `lengths` template words."""
     out = None
@@ -71,58 +91,60 @@ def _windows(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, dk, item_id, offset, windows, item_windows, slots): consistent matches that cover enough of an item."""
+    """(doc_id, id, dk, item_id, offset, windows, item_windows, slots): consistent matches that cover enough of an item."""
     items = _templates(benchmark.select(F.col("item_id"), F.col("text").alias("_b")), "_b").select("item_id", "kind", "raw").where(F.size("kind") > 0)
-    items = items.withColumn("ik", F.xxhash64("item_id", "kind", "raw")).dropDuplicates(["ik"])
+    items = items.withColumn("ik", F.xxhash64("item_id", "kind", "raw")).dropDuplicates(["ik"]).withColumn("length", _length(F.size("kind")))
     items = materialize(items)
-    # lengths of items under WINDOW words: at most WINDOW - 1 numbers
-    short = sorted(r[0] for r in items.where(F.size("kind") < WINDOW).select(F.size("kind")).distinct().collect())
-    lengths = [*short, WINDOW]
-    own = _windows(items.where(F.size("kind") >= WINDOW), ["ik"], [WINDOW])
-    for n in short:
-        own = own.union(_windows(items.where(F.size("kind") == n), ["ik"], [n]))
+    # at most as many numbers as the longest window has words
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    if not lengths:
+        lengths = [max(WINDOWS.values())]
+    own = None
+    for n in lengths:
+        part = _windows(items.where(F.col("length") == n), ["ik"], [n])
+        own = part if own is None else own.union(part)
     # a window of placeholders alone would be in any text with numbers or names
-    fixed = items.select("ik", F.posexplode(F.transform("kind", lambda _, i: F.exists(F.slice("kind", i + 1, F.lit(WINDOW)), lambda k: ~k.startswith("#")))).alias("pos", "fixed"))
+    fixed = items.select("ik", F.posexplode(F.transform("kind", lambda _, i: F.exists(F.slice("kind", i + 1, F.col("length")), lambda k: ~k.startswith("#")))).alias("pos", "fixed"))
     own = own.join(fixed.where("fixed"), ["ik", "pos"])
     own = materialize(own.select("ik", F.col("pos").alias("ipos"), "h").distinct())
-    per_item = own.groupBy("ik").agg(F.countDistinct("ipos").alias("item_windows"))
+    per_item = own.groupBy("ik").agg(F.countDistinct("ipos").alias("item_windows")).join(items.select("ik", "length"), "ik")
     if own.count() <= BROADCAST_WINDOWS:
         own = F.broadcast(own)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("dk"))
-    seen = _windows(_templates(keyed, "text"), ["dk"], lengths).join(own, "h")
-    diagonals = seen.groupBy("dk", "ik", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_keys())
+    seen = _windows(_templates(keyed, "text"), KEYS, lengths).join(own, "h")
+    diagonals = seen.groupBy(*KEYS, "ik", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at"))
     # each diagonal alone, and all within two overlapping bands: diagonals SHIFT apart or less share one
     band = F.floor(F.col("offset") / SHIFT).cast("int")
     group = lambda wide, n: F.struct(F.lit(wide).alias("wide"), n.cast("int").alias("n"))
-    dealt = diagonals.select("dk", "ik", F.explode(F.array(group(0, F.col("offset")), group(1, band), group(1, band - 1))).alias("band"), F.struct((-F.size("at")).alias("less"), "offset", "at").alias("d"))
-    runs = dealt.groupBy("dk", "ik", "band").agg(F.sort_array(F.collect_list("d")).alias("ds")).where((F.col("band.wide") == 0) | (F.size("ds") > 1))
-    runs = runs.withColumn("at", F.sort_array(F.array_distinct(F.flatten("ds.at"))))
-    # one edited word breaks at most WINDOW windows between two that match; these count as covered
+    dealt = diagonals.select(*KEYS, "ik", F.explode(F.array(group(0, F.col("offset")), group(1, band), group(1, band - 1))).alias("band"), F.struct((-F.size("at")).alias("less"), "offset", "at").alias("d"))
+    runs = dealt.groupBy(*KEYS, "ik", "band").agg(F.sort_array(F.collect_list("d")).alias("ds")).where((F.col("band.wide") == 0) | (F.size("ds") > 1))
+    runs = runs.withColumn("at", F.sort_array(F.array_distinct(F.flatten("ds.at")))).join(per_item, "ik")
+    # one edited word breaks at most as many windows between two that match as a window has words; these count as covered
     bridged = F.transform("at", lambda p, i: p - F.coalesce(F.get(F.col("at"), i - 1), p) - 1)
-    runs = runs.withColumn("windows", F.size("at") + F.aggregate(bridged, F.lit(0), lambda n, g: n + F.when((g > 0) & (g <= WINDOW), g).otherwise(0)))
-    runs = materialize(runs.join(per_item, "ik").where(F.col("windows") >= F.col("item_windows") * COVERED))
+    runs = runs.withColumn("windows", F.size("at") + F.aggregate(bridged, F.lit(0), lambda n, g: n + F.when((g > 0) & (g <= F.col("length")), g).otherwise(0)))
+    runs = materialize(runs.where(F.col("windows") >= F.col("item_windows") * COVERED))
 
     # slots are compared for the few documents with such runs only
-    few = runs.select("dk").distinct()
-    texts = _templates(keyed.join(few, "dk").dropDuplicates(["dk"]), "text").select("doc_id", "dk", F.col("raw").alias("draw"))
-    met = runs.join(texts, "dk").join(items.select("ik", "item_id", "kind", "raw"), "ik")
+    few = runs.select(*KEYS).distinct()
+    texts = _templates(keyed.join(few, KEYS).dropDuplicates(KEYS), "text").select("doc_id", *KEYS, F.col("raw").alias("draw"))
+    met = runs.join(texts, KEYS).join(items.select("ik", "item_id", "kind", "raw"), "ik")
     # a window of the item is aligned on that of its diagonals which has the most windows
     aligned = F.transform("at", lambda p: F.struct(p.alias("p"), (p + F.get(F.filter("ds", lambda d: F.array_contains(d["at"], p)), F.lit(0))["offset"]).alias("q")))
     met = met.withColumn("_w", aligned).withColumn("offset", F.get("ds", F.lit(0))["offset"])
-    cut = lambda c, start: F.slice(F.col(c), (start + 1).cast("int"), F.least(F.lit(WINDOW), F.size("kind")))
+    cut = lambda c, start: F.slice(F.col(c), (start + 1).cast("int"), F.col("length"))
     zipped = F.flatten(F.transform("_w", lambda w: F.arrays_zip(cut("kind", w["p"]).alias("k"), cut("raw", w["p"]).alias("i"), cut("draw", w["q"]).alias("d"))))
     slot = F.filter(zipped, lambda z: z["k"].isin("#n", "#u", "#p"))
     met = met.withColumn("slots", F.array_distinct(F.transform(slot, lambda z: F.struct(z["k"].alias("k"), z["i"].alias("i"), z["d"].alias("d")))))
     side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"].alias("k"), s[c].alias("v")))))
-    return met.where((side("i") == F.size("slots")) & (side("d") == F.size("slots"))).select("doc_id", "dk", "item_id", "offset", "windows", "item_windows", F.size("slots").alias("slots"))
+    return met.where((side("i") == F.size("slots")) & (side("d") == F.size("slots"))).select("doc_id", *KEYS, "item_id", "offset", "windows", "item_windows", F.size("slots").alias("slots"))
 
 
 def _by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = matches(docs, benchmark)
-    best = found.groupBy("dk", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("of"))
-    return best.groupBy("dk").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("windows") / F.col("of")).alias("covered"))
+    best = found.groupBy(*KEYS, "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("of"))
+    return best.groupBy(*KEYS).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("windows") / F.col("of")).alias("covered"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -130,13 +152,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     those that one edited word breaks between two matches included).
 
     Null and empty texts match nothing; benchmark items without words are ignored, and an empty
-    benchmark matches nothing. Items of under WINDOW words must be matched whole. Windows of placeholders
+    benchmark matches nothing. Items of under 8 words must be matched whole. Windows of placeholders
     alone decide nothing, so an item of numbers, units and names only matches nothing. Repeated rows get
     the same result; a null doc_id stays null; other columns are ignored."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"))
-    out = own.join(_by_document(docs, benchmark), F.col("_key") == F.col("dk"), "left")
-    return out.select("doc_id", F.col("dk").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.expr("array()").cast("array<bigint>")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys())
+    out = own.join(_by_document(docs, benchmark), KEYS, "left")
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.expr("array()").cast("array<bigint>")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -144,10 +165,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts hold none and stay, as do rows with a null doc_id that hold none. Repeated
     rows stay or go together. Any column names may be there. No rows give no rows."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = materialize(matches(docs, benchmark).select("dk").distinct())
-    left = docs.select(F.struct("*").alias("doc"), key.alias("key"))
-    return left.join(sent(bad), F.col("key") == F.col("dk"), "left_anti").select("doc.*")
+    bad = materialize(matches(docs, benchmark).select(*KEYS).distinct())
+    left = docs.select(F.struct("*").alias("doc"), *_keys())
+    return left.join(sent(bad), KEYS, "left_anti").select("doc.*")
 
 
 def op2_template_decontamination(spark, sf_dir):
