@@ -1,8 +1,9 @@
 """Quality rules: per-text counts and cross-document line frequency.
 
 A line is normalised (lower case, single spaces) and hashed; per host (the column `source`) the
-distinct documents that hold it are counted, equal texts once. Lines above the limit are removed,
-and a document with too little left is rejected.
+distinct documents that hold it are counted. Lines above the limit are removed, and a document with
+too little left is rejected. `by="texts"` counts equal texts once, for use in front of a stage that
+keeps one of a group of copies: else a text copied more often than the limit loses every copy here.
 """
 
 from __future__ import annotations
@@ -49,9 +50,19 @@ def _covered(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_h", "_w", "_s", "_p")
 
 
+#: Columns that tell documents, or texts, apart: a number and a hash, or two hashes. A null doc_id has the largest number.
+DOCUMENT, TEXT = ["id", "dk"], ["th", "th2"]
+UNITS = {"documents": DOCUMENT, "texts": TEXT}
+
+
+def _keys(text: Column) -> list[Column]:
+    number = F.col("doc_id").cast("long")
+    return [F.coalesce(number, F.lit(2**63 - 1)).alias("id"), F.xxhash64(number, text).alias("dk"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"), F.xxhash64(text).alias("th"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("dk"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"), *_keys(text))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -67,55 +78,59 @@ def counts(docs: DataFrame) -> DataFrame:
     })
     df = _covered(df, "_words", "n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return df.select("doc_id", "dk", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return df.select("doc_id", *DOCUMENT, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+
 
+def frequent_lines(docs: DataFrame, by: str = "documents") -> DataFrame:
+    """(id, dk, kept_words, all_words, lines) of the documents that hold lines above the limit; `lines` are those lines' hashes.
 
-def frequent_lines(docs: DataFrame) -> DataFrame:
-    """(dk, kept_words, all_words, lines) of the documents that hold lines above the limit; `lines` are those lines' hashes."""
+    A line's distinct documents are counted, or its distinct texts."""
+    unit = UNITS[by]
+    own = [*DOCUMENT, *[c for c in unit if c not in DOCUMENT]]
     keyed = _keyed(docs)
     line = F.explode(F.split("text", "\n")).alias("line")
-    lines = keyed.select("source", "th", "dk", line).select("source", "th", "dk", _line_key(F.col("line")).alias("lh"), F.size(F.filter(F.split("line", SPACES), lambda w: w != "")).alias("w"))
+    lines = keyed.select("source", *own, line).select("source", *own, _line_key(F.col("line")).alias("lh"), F.size(F.filter(F.split("line", SPACES), lambda w: w != "")).alias("w"))
     lines = materialize(lines.where("w > 0"))
-    in_documents = lines.select("source", "lh", "th").distinct().groupBy("source", "lh").agg(F.count("*").alias("c"))
+    in_documents = lines.select("source", "lh", *unit).distinct().groupBy("source", "lh").agg(F.count("*").alias("c"))
     above = in_documents.where(F.col("c") > LINE_DOCUMENTS).select("source", "lh", F.lit(True).alias("_cut"))
     marked = lines.join(above, ["source", "lh"], "left")
-    per = marked.groupBy("dk").agg(F.sum("w").alias("all_words"), F.sum(F.when(F.col("_cut"), F.lit(0)).otherwise(F.col("w"))).alias("kept_words"), F.collect_set(F.when(F.col("_cut"), F.col("lh"))).alias("lines"))
+    per = marked.groupBy(*DOCUMENT).agg(F.sum("w").alias("all_words"), F.sum(F.when(F.col("_cut"), F.lit(0)).otherwise(F.col("w"))).alias("kept_words"), F.collect_set(F.when(F.col("_cut"), F.col("lh"))).alias("lines"))
     return per.where("kept_words < all_words")
 
 
-def judge(docs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, frequent: DataFrame | None = None, by: str = "documents") -> DataFrame:
     """One row for each document: the counts, base_failed and kept.
 
-    A null text is empty and fails for want of words; a null source is a host of its own. Equal
-    texts count once in a line's documents, so mere copies do not reject each other. Repeated rows
+    A null text is empty and fails for want of words; a null source is a host of its own. Documents
+    of equal texts count each, unless `by` is "texts". Repeated rows are one document and
     get the same verdict. Other columns are ignored. No rows give no rows."""
     base = materialize(counts(docs))
-    frequent = frequent_lines(docs) if frequent is None else frequent
-    lines = frequent.select(F.col("dk").alias("_dk"), "all_words", "kept_words")
+    frequent = frequent_lines(docs, by) if frequent is None else frequent
+    lines = frequent.select(*DOCUMENT, "all_words", "kept_words")
     # of a repeated row, both sums are multiples: their ratio is one row's
-    left = F.when(F.col("_dk").isNull(), F.col("n_words")).otherwise(F.floor(F.col("n_words") * F.col("kept_words") / F.col("all_words"))).cast("long")
-    out = base.join(lines, F.col("dk") == F.col("_dk"), "left").withColumn("left_words", left)
+    left = F.when(F.col("all_words").isNull(), F.col("n_words")).otherwise(F.floor(F.col("n_words") * F.col("kept_words") / F.col("all_words"))).cast("long")
+    out = base.join(lines, DOCUMENT, "left").withColumn("left_words", left)
     depleted = (F.col("left_words") < MIN_WORDS) | (F.col("left_words") < F.col("n_words") * LEAST_SHARE)
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words", "dk")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words", *DOCUMENT)
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
+def filter_documents(docs: DataFrame, by: str = "documents") -> DataFrame:
     """The documents that are kept, without the lines above the limit; all columns of `docs` stay, whatever their names.
 
     Null, empty and short texts are rejected. A null source is a host of its own. Repeated rows stay
     or go together. No rows give no rows."""
-    frequent = materialize(frequent_lines(docs))
-    good = judge(docs, frequent).where("kept").select("dk").distinct()
-    cut = materialize(good.join(frequent.select("dk", "lines"), "dk", "left"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.select(F.struct("*").alias("doc"), key.alias("dk")).join(sent(cut, SENT), "dk")
+    frequent = materialize(frequent_lines(docs, by))
+    good = judge(docs, frequent).where("kept").select(*DOCUMENT).distinct()
+    cut = materialize(good.join(frequent.select(*DOCUMENT, "lines"), DOCUMENT, "left"))
+    keys = _keys(F.coalesce(F.col("text").cast("string"), F.lit("")))[:2]
+    out = docs.select(F.struct("*").alias("doc"), *keys).join(sent(cut, SENT), DOCUMENT)
     rest = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x: ~F.array_contains(F.col("lines"), _line_key(x))), "\n")
     text = F.when(F.size("lines") > 0, rest).otherwise(F.col("doc.text"))
     return out.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op9_line_frequency(spark, sf_dir):
-    return judge(read(spark, sf_dir, "documents")).drop("dk")
+    return judge(read(spark, sf_dir, "documents")).drop(*DOCUMENT)
 
 
 QUERIES = {"op9_line_frequency": op9_line_frequency}
@@ -134,7 +149,7 @@ ln AS (
   SELECT doc_id, source, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS k,
     len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
   FROM (SELECT doc_id, source, text, unnest(ls) AS l FROM d)),
-freq AS (SELECT source, k, count(DISTINCT text) AS c FROM ln GROUP BY ALL),
+freq AS (SELECT source, k, count(DISTINCT (doc_id, text)) AS c FROM ln GROUP BY ALL),
 above AS (SELECT source, k FROM freq WHERE c > 20),
 lost AS (SELECT doc_id, sum(w) AS n FROM ln JOIN above USING (source, k) GROUP BY doc_id),
 base AS (

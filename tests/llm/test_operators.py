@@ -188,6 +188,21 @@ def test_quality_rules(spark):
     assert quality_rules.judge(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_count_as_documents_or_as_one_text(spark):
+    foot = " ".join(f"foot{i}" for i in range(9))
+    body = " ".join(f"word{i}" for i in range(30))
+    copies = [(i, f"{body}\n{foot}", "s") for i in range(21)] + [(3, f"{body}\n{foot}", "s")]
+    # 20 documents are within the limit, whether their texts are equal or not
+    rest = [(100 + i, f"{body} twice\n{foot} there", "s") for i in range(20)] + [(200 + i, f"{body}\nown{i}", "other") for i in range(3)]
+    docs = _docs(spark, copies + rest)
+    assert sorted(r.doc_id for r in quality_rules.judge(docs).collect() if r.kept) == [d for d, _, _ in rest]
+    assert {r.left_words for r in quality_rules.judge(docs).collect() if r.doc_id < 100} == {0}
+    assert all(r.kept for r in quality_rules.judge(docs, by="texts").collect())
+    assert sorted(r.doc_id for r in quality_rules.filter_documents(docs).collect()) == [d for d, _, _ in rest]
+    kept = quality_rules.filter_documents(docs, by="texts").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((d, t) for d, t, _ in copies + rest)
+
+
 def test_frequent_lines_of_large_hosts(spark):
     from pyspark.sql import functions as F
 
