@@ -12,8 +12,8 @@ from brook.llm.common import materialize, read
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without lines that are too frequent in their host.
 
-    Null, empty and short texts are rejected; repeated rows stay or go together; no rows give no rows."""
-    return quality_rules.filter_documents(docs)
+    Equal texts count once in a line's documents, since a later stage keeps one of each group of copies. Null, empty and short texts are rejected; repeated rows stay or go together; no rows give no rows."""
+    return quality_rules.filter_documents(docs, by="texts")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
