@@ -48,7 +48,8 @@ _MIT = (
     "in no event shall {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 )
 
-#: Wording of the licenses (fixed values), with this module's markup.
+#: Wording of the licenses (fixed values), with this module's markup. A `-mention` names a license in one line, and what
+#: follows may change it.
 TEMPLATES = {
     "apache-2.0-notice": (
         "licensed under the apache license version 2 0 the license you may not use this [[file]] [[work]] except in compliance with the license "
@@ -91,20 +92,23 @@ TEMPLATES = {
         "[[3]] this notice may not be removed or altered from any source distribution"
     ),
     "0bsd": _ISC_GRANT + _ISC_DISCLAIMER,
-    "apache-2.0": "licensed under the apache license version 2 [[0]]",
+    "apache-2.0-mention": "licensed under the apache license version 2 [[0]]",
     "bsd-2-clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
     "bsd-3-clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
-    "cc-by-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0",
-    "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0",
+    "cc-by-4.0-mention": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0",
+    "cc-by-nc-4.0-mention": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
+    "cc-by-sa-4.0-mention": "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0",
     "copyright": "copyright [[c]] {{8}} all rights reserved",
-    "gpl-2.0": "[[this work is]] licensed under the gnu general public license version 2",
-    "gpl-3.0": "[[this work is]] licensed under the gnu general public license version 3",
+    "gpl-2.0-mention": "[[this work is]] licensed under the gnu general public license version 2",
+    "gpl-3.0-mention": "[[this work is]] licensed under the gnu general public license version 3",
     "isc": _ISC_GRANT + _ISC_NOTICE + _ISC_DISCLAIMER,
-    "mit": "released under the mit license",
-    "mit-text": _MIT,
+    "mit-mention": "released under the mit license",
+    "mit": _MIT,
 }
 
+#: End of the labels of one-line claims.
+MENTION = "-mention"
+
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 _WORD = np.zeros(256, dtype=bool)
@@ -193,15 +197,16 @@ class Scanner:
         found = {k for w, ks in self.starts.items() for i in places.get(w, ()) for k in ks if self.automata[k].accepts(words, i) is not None}
         own = {label for _, label in base}
         at = [i for i, _ in base]
-        score = 1.0 if found else 0.5 if base else 0.0
+        whole = any(not k.endswith(MENTION) for k in found)
+        score = 1.0 if whole else 0.75 if found else 0.5 if base else 0.0
         return n_words, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | found)), score
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """One row for each document: the base phrases' places and the labels of the accepted templates.
 
-    score is 1 if a template accepts a place of the text, 0.5 if only a base phrase stands in it,
-    else 0. Null and empty texts have no words and no labels. Repeated rows give repeated results;
+    score is 1 if the template of a text or notice accepts a place of the text, 0.75 if only that of a
+    mention does, 0.5 if only a base phrase stands in it, else 0. Null and empty texts have no words and no labels. Repeated rows give repeated results;
     a null doc_id stays null; other columns are ignored. No rows give no rows."""
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases

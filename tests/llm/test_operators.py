@@ -140,14 +140,14 @@ def test_licenses(spark):
         (8, "Licensed under the Apache License, Version 2.0", "s"), (None, "nothing here at all", "s"),
     ]
     got = {r.doc_id: r for r in licenses.scan_licenses(_docs(spark, rows)).collect()}
-    assert [got[k].labels for k in (1, 2, 3, 4, 5, 6, 7, 8, None)] == ["mit", "cc-by", "", "", "gpl,gpl-3.0", "copyright,reserved", "", "apache-2.0", ""]
+    assert [got[k].labels for k in (1, 2, 3, 4, 5, 6, 7, 8, None)] == ["mit-mention", "cc-by", "", "", "gpl,gpl-3.0-mention", "copyright,reserved", "", "apache-2.0-mention", ""]
     assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].last_word) == (6, 2, 1, 4)
     assert got[3].first_word is None and got[None].n_words == 4
     assert licenses.scan_licenses(_docs(spark, rows).limit(0)).count() == 0
 
 
 def test_license_texts_are_whole(spark):
-    full = {k: licenses.TEMPLATES[k] for k in ("0bsd", "bsd-2-clause", "bsd-3-clause", "isc", "mit-text")}
+    full = {k: licenses.TEMPLATES[k] for k in ("0bsd", "bsd-2-clause", "bsd-3-clause", "isc", "mit")}
     texts = {k: re.sub(r"\{\{\d+\}\}", "the holders", v).replace("[[", "").replace("]]", "") for k, v in full.items()}
     # the mandatory word at each of these places is another one, or the text ends
     cases = [(k, t) for k, t in texts.items()] + [("", t.rsplit(" ", 1)[0]) for t in texts.values()] + [("", t.replace("liable", "answerable")) for t in texts.values()]
