@@ -27,11 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, private: bool = False) -> DataFrame:
     """Write to a new table in the shared folder and read it again, so that a lost executor costs
-    no recomputation of what lies before and later reads see the same rows."""
+    no recomputation of what lies before and later reads see the same rows. A private one only its owner may read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    if private:
+        # the folder stands above the table's own, since a write makes that one anew
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        owner = hadoop.Path(path)
+        files = owner.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(owner)
+        files.setPermission(owner, hadoop.permission.FsPermission("700"))
+        path = f"{path}/t-own"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
