@@ -82,12 +82,10 @@ KEYS = ["id", "dk"]
 
 def _windows(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
     """(keys.., pos, h): hashes of all runs of each of `lengths` template words."""
-    out = None
     df = df.withColumn("_h", F.transform("kind", lambda w: F.xxhash64(w)))
-    for n in lengths:
-        part = df.select(*keys, F.posexplode(_runs(n)).alias("pos", "h"))
-        out = part if out is None else out.union(part)
-    return out
+    # all lengths of one text together, so that it is read and cut into words once
+    every = F.concat(*[F.transform(_runs(n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for n in lengths])
+    return df.select(*keys, F.explode(every).alias("w")).select(*keys, "w.pos", "w.h")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
