@@ -23,6 +23,10 @@ WINDOWS = {23: 8, 14: 5, 8: 4}
 COVERED = 0.5
 #: Diagonals at most so many words apart are taken together.
 SHIFT = 8
+#: A text's windows are hashed only where its next words, so many of them, may begin one of the benchmark's.
+START = 4
+#: Most entries of the table of these starts, which is sent with the plan.
+STARTS = 1 << 17
 #: Windows of a benchmark of at most so many rows are sent to all tasks; a larger one is shuffled.
 BROADCAST_WINDOWS = 200_000
 
@@ -58,11 +62,21 @@ def _kind(word: Column, before: Column, ends: list[str]) -> Column:
     return F.when(digit, F.lit("#n")).when(low.isin(UNITS), F.lit("#u")).when(capital & inside, F.lit("#p")).otherwise(low)
 
 
+def _hashes() -> Column:
+    return F.transform("kind", lambda w: F.xxhash64(w))
+
+
 def _runs(n: int) -> Column:
     run = F.transform("_h", lambda _, i: F.xxhash64(F.lit(n), F.slice(F.col("_h"), i + 1, F.lit(n))))
     return F.slice(run, F.lit(1), F.greatest(F.size("_h") - (n - 1), F.lit(0)))
 
 
+def _start(i: Column, n: int) -> Column:
+    """Hash of the first words of a window of `n` words at place i."""
+    m = min(n, START)
+    return F.xxhash64(F.lit(m), *[F.get(F.col("_h"), i + k) for k in range(m)])
+
+
 def _length(words: Column) -> Column:
     """Words of a window of an item of so many words."""
     out = words
@@ -80,12 +94,34 @@ def _keys() -> list[Column]:
 KEYS = ["id", "dk"]
 
 
-def _windows(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """(keys.., pos, h): hashes of all runs of each of `lengths` template words."""
-    df = df.withColumn("_h", F.transform("kind", lambda w: F.xxhash64(w)))
-    # all lengths of one text together, so that it is read and cut into words once
-    every = F.concat(*[F.transform(_runs(n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for n in lengths])
-    return df.select(*keys, F.explode(every).alias("w")).select(*keys, "w.pos", "w.h")
+def _windows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys.., pos, h, start): hashes of all runs of n template words, and of their first words."""
+    every = F.transform(_runs(n), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), _start(i, n).alias("start")))
+    return df.withColumn("_h", _hashes()).select(*keys, F.explode(every).alias("w")).select(*keys, "w.*")
+
+
+def start_table(own: DataFrame) -> bytes:
+    """`1` at each start of the windows `own`, by hash, else `0`: as long as it needs to be, and STARTS bytes at most."""
+    starts = own.select("start").distinct()
+    size = min(STARTS, 1 << max(8, 16 * starts.count() - 1).bit_length())
+    table = bytearray(b"0" * size)
+    for r in starts.select(F.col("start").bitwiseAND(F.lit(size - 1)).cast("int").alias("b")).distinct().collect():
+        table[r["b"]] = 49
+    return bytes(table)
+
+
+def screened_windows(df: DataFrame, keys: list[str], lengths: list[int], table: bytes) -> DataFrame:
+    """(keys.., pos, h): hashes of the runs of each of `lengths` template words whose start stands in the table.
+
+    All lengths of one text go together, so that it is read and cut into words once."""
+    df = df.withColumn("_h", _hashes())
+    known = lambda h: F.substring(F.lit(table), h.bitwiseAND(F.lit(len(table) - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"1")
+    starts = sorted({min(n, START) for n in lengths})
+    places = lambda m: F.array_compact(F.transform("_h", lambda _, i: F.when(known(_start(i, m)), i)))
+    df = df.select(*keys, "_h", *[places(m).alias(f"_at{m}") for m in starts])
+    # no filter on these: pushed down, it would hold all that they are made of once for each use
+    run = lambda n: F.transform(F.filter(f"_at{min(n, START)}", lambda i: i <= F.size("_h") - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(n), F.slice(F.col("_h"), i + 1, F.lit(n))).alias("h")))
+    return df.select(*keys, F.explode(F.concat(*map(run, lengths))).alias("w")).select(*keys, "w.pos", "w.h")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,19 +135,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lengths = [max(WINDOWS.values())]
     own = None
     for n in lengths:
-        part = _windows(items.where(F.col("length") == n), ["ik"], [n])
+        part = _windows(items.where(F.col("length") == n), ["ik"], n)
         own = part if own is None else own.union(part)
     # a window of placeholders alone would be in any text with numbers or names
     fixed = items.select("ik", F.posexplode(F.transform("kind", lambda _, i: F.exists(F.slice("kind", i + 1, F.col("length")), lambda k: ~k.startswith("#")))).alias("pos", "fixed"))
     own = own.join(fixed.where("fixed"), ["ik", "pos"])
-    own = materialize(own.select("ik", F.col("pos").alias("ipos"), "h").distinct())
+    own = materialize(own.select("ik", F.col("pos").alias("ipos"), "h", "start").distinct())
+    table = start_table(own)
+    own = own.drop("start")
     per_item = own.groupBy("ik").agg(F.countDistinct("ipos").alias("item_windows")).join(items.select("ik", "length"), "ik")
     if own.count() <= BROADCAST_WINDOWS:
         own = F.broadcast(own)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_keys())
-    seen = _windows(_templates(keyed, "text"), KEYS, lengths).join(own, "h")
+    seen = screened_windows(_templates(keyed, "text"), KEYS, lengths, table).join(own, "h")
     diagonals = seen.groupBy(*KEYS, "ik", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at"))
     # each diagonal alone, and all within two overlapping bands: diagonals SHIFT apart or less share one
     band = F.floor(F.col("offset") / SHIFT).cast("int")

@@ -106,3 +106,22 @@ def test_equal_hashes_need_equal_ids(spark):
     rows = [(None, item, "a", "b", "c"), (2**63 - 1, item, "a", "b", "c"), (1, "nothing", "a", "b", "c")]
     left = decontaminate.drop_contaminated(_docs(spark, rows), _bench(spark, [(1, item)]))
     assert [r.doc_id for r in left.collect()] == [1] and left.columns == ["doc_id", "text", "dk", "kind", "length"]
+
+
+def test_windows_are_hashed_only_where_they_may_begin_one_of_the_benchmark(spark):
+    random.seed(8)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts = [" ".join(random.choices(words, k=random.randint(0, 60))) for _ in range(300)]
+    items = [" ".join(random.choices(words, k=n)) for n in (3, 9, 16, 30)]
+    texts += [f"{random.choice(texts)} {x} {random.choice(texts)}" for x in items]
+    frame = lambda rows: decontaminate._templates(spark.createDataFrame(list(enumerate(rows)), "k long, text string"), "text")
+    lengths = [3, 4, 5, 8]
+    own = [decontaminate._windows(frame(items[i : i + 1]), ["k"], n) for i, n in enumerate(lengths)]
+    own = own[0].union(own[1]).union(own[2]).union(own[3]).select("h", "start").distinct()
+    table = decontaminate.start_table(own)
+    wanted = {r["h"] for r in own.collect()}
+    rows = lambda df: {(r["k"], r["pos"], r["h"]) for r in df.collect()}
+    every = set().union(*(rows(decontaminate._windows(frame(texts), ["k"], n)) for n in lengths))
+    got = rows(decontaminate.screened_windows(frame(texts), ["k"], lengths, table))
+    assert {r for r in got if r[2] in wanted} == {r for r in every if r[2] in wanted} and len({r for r in got if r[2] in wanted}) >= 42
+    assert got <= every and len(got) * 5 < len(every)
