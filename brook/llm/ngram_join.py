@@ -37,6 +37,8 @@ TURNS = [1, 4, 16]
 EARLIER = 32
 #: Words of 64 parity bits for each set.
 LANES = 16
+#: Sets of so many shingles have so many words of parity bits where they take part in several pairs.
+WIDE, WIDE_LANES = 1024, 128
 _U = np.uint64
 
 
@@ -82,6 +84,11 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
     return token[order], order.astype(np.int32)
 
 
+def _parities(s: np.ndarray, lanes: int) -> np.ndarray:
+    odd = np.bincount((s & _U(64 * lanes - 1)).astype(np.int64), minlength=64 * lanes) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
     """(uid, n, pkey, prefix, q0..): each set's prefix, rarest first, a key of it, and parities of the set's shingles."""
     known = texts.sparkSession.sparkContext.broadcast(frequent)
@@ -102,8 +109,7 @@ def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: i
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
                 own.append(prefix.view(np.int64))
-                odd = np.bincount((s & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
-                parities.append(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
+                parities.append(_parities(s, LANES))
             ends = np.cumsum([0] + [len(p) for p in own], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
             q = np.stack(parities) if parities else np.zeros((0, LANES), dtype="<i8")
@@ -130,15 +136,51 @@ def _named(df: DataFrame, x: str, key: str = "token") -> DataFrame:
     return df.select(*[F.col(c) if c == key else F.col(c).alias(f"{x}{c}") for c in df.columns])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
+
+
+def _texts_of_sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    return texts_of(docs, materialize(reps.join(sent(wanted), "uid").select("uid", "dk"))).dropDuplicates(["uid"])
+
+
+def screen(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b, xn, yn) in a table, without those of large sets that differ in too many of WIDE_LANES words of parities.
+
+    The few parities that every set has let nearly all pairs of large sets pass. More of them are taken from each text
+    once, where a pair's comparison would take the shingles of both texts again for each pair."""
+    large = (F.col("xn") >= WIDE) & (F.col("yn") >= WIDE)
+    many = materialize(pairs.where(large))
+    wanted = _ends(many)
+    if many.count() <= wanted.count():
+        return pairs
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [_parities(s, WIDE_LANES).tobytes() for s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["uid", "w"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WIDE_LANES) for i in (4, 5))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            most = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            yield batch.select(["a", "b", "xn", "yn"]).filter(pa.array(apart * 9 <= most))
+
+    wide = materialize(_texts_of_sets(wanted, reps, docs).mapInArrow(sketch, "uid long, w binary"))
+    both = many.join(_named(wide, "x").withColumnRenamed("xuid", "a"), "a").join(_named(wide, "y").withColumnRenamed("yuid", "b"), "b")
+    left = both.select("a", "b", "xn", "yn", "xw", "yw").mapInArrow(near, "a long, b long, xn int, yn int")
+    return materialize(pairs.where(~large).union(left))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 80 * union of the texts' shingles, in a new table.
 
     Only pairs that the parities let pass meet the texts."""
     marks = sets.select("uid", "n", *[f"q{i}" for i in range(LANES)])
     pairs = pairs.join(_named(marks, "x").withColumnRenamed("xuid", "a"), "a").join(_named(marks, "y").withColumnRenamed("yuid", "b"), "b")
-    pairs = materialize(pairs.where(_near("x", "y")).select("a", "b").distinct())
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = texts_of(docs, materialize(reps.join(sent(materialize(wanted)), "uid").select("uid", "dk"))).dropDuplicates(["uid"])
+    pairs = screen(materialize(pairs.where(_near("x", "y")).select("a", "b", "xn", "yn").distinct()), reps, docs, words)
+    texts = _texts_of_sets(_ends(pairs), reps, docs)
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
