@@ -1,13 +1,15 @@
 """Line deduplication by an exact set-similarity join on lines.
 
-A line's tokens are its distinct words (lower case). All words of all texts are counted in a table of
-BUCKETS counts by hash, whatever the corpus; the class of a word's count (two classes for each doubling) comes
-before its hash in its token, so tokens in ascending order are in the order of rarity. Lines with
-equal sets collapse into the earliest. Two sets of Jaccard 0.8 or more share a token among the first
-n - ceil(0.8 n) + 1 of each; length and positional filters and an upper bound of the overlap by 64
-parities thin the pairs of a token's postings, which are then verified on the words. A line that
-matches an earlier one goes, whether that one stays or not. First each set is compared with the
-nearest of a few earlier ones in some of its tokens' postings; pairs of postings are then formed only for the sets
+A line's words are its set (distinct, lower case); lines with equal sets collapse into the earliest.
+Two sets of sizes n and m and of Jaccard 0.8 or more differ in at most (n + m) / 9 words. So the space of a
+word's hash is cut into SPARE more parts than the words that two sets may differ in: at least SPARE
+parts then hold the same words in both sets. A part's signature is a token; in one order of all tokens, by their
+letters (as long words are rare), each set needs only as many of its first ones as parts may differ, and one. The number of parts must be
+the same for both, so sizes are divided into levels that double; a pair belongs to the level of its smaller set, and a
+set with smaller partners in the level below has tokens there too. Tokens that stand alone, most of them, go at once.
+Length and 64 or 128 parities thin the pairs of the other lists, which are then verified on the words. A line that
+matches an earlier one goes, whether that one stays or not. In long lists each set is first compared with the
+nearest of a few earlier ones; pairs are then formed only for the sets
 that no earlier one has beaten yet, so a group of near copies costs as many pairs as it has sets.
 """
 
@@ -18,18 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, drop_table, materialize, read, sent
 
-#: Counts of words, by hash.
-BUCKETS = 1 << 18
-#: Classes of counts.
-CLASSES = 64
-#: Tokens of a prefix in whose postings some earlier sets are tried first: the earliest, and those so many rows before.
-TRIED = 3
-BACK = (1, 2, 3, 4, 6, 9, 13, 20)
-SALTS = 4
 #: Smaller sets match equal ones only.
 LEAST = 4
+#: Sizes at which the levels start.
+STARTS = [LEAST << i for i in range(29)]
+#: Parts of a level beyond the most in which two sets may differ.
+SPARE = 3
+#: In lists of so many rows some earlier sets are tried first: the earliest, and those so many rows before.
+LONG = 24
+BACK = (1, 2, 3, 4, 6, 9, 13, 20)
+SALTS = 4
 #: Sets of so many tokens have more parities.
-LARGE = 72
+LARGE = 96
+#: The letters and 36 hash bits of a token.
+_SUMMED = 15 + (2**48 - 2**12)
 
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -56,53 +60,76 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.when(odd, F.regexp_replace(low, SPACES, " ")).otherwise(low), " "), "")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """BUCKETS bytes: 48 and the class of the count of all words with this hash. It comes to the driver in 256 rows."""
-    spark = docs.sparkSession
-    words = docs.select(F.explode(_words(_text())).alias("w"))
-    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
-    every = counted.union(spark.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
-    own = F.char(48 + F.least(F.floor(F.log2(F.greatest("n", F.lit(1))) * 2), F.lit(CLASSES - 1)))
-    part = every.groupBy(F.floor(F.col("b") / (BUCKETS // 256)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("b", own.alias("c")))).alias("x"))
-    rows = part.select("part", F.array_join("x.c", "").alias("x")).orderBy("part").collect()
-    return "".join(r["x"] for r in rows).encode()
+def _level(n: Column) -> Column:
+    """The last level that starts at `n` or below; -1 for sets under LEAST."""
+    out = F.when(n < STARTS[0], -1)
+    for i, start in enumerate(STARTS[1:]):
+        out = out.when(n < start, i)
+    return out
+
+
+def _last(level: Column) -> Column:
+    """The largest size of a level."""
+    return F.get(F.array(*[F.lit(x - 1) for x in STARTS[1:]]), level)
+
 
+def _levels(n: Column) -> list[Column]:
+    """(level, parts, count) of either level of a set's pairs: that of the smaller set; parts of the hashes there, and parts to be taken.
 
-def _tokens(words: Column, table: bytes) -> Column:
-    """For each word the class of its count, then 57 bits of its hash: a positive long."""
-    # a literal of bytes is light in plans and tasks
-    sign = lambda h: F.substring(F.lit(table), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")
-    one = lambda h: F.shiftleft((F.ascii(sign(h)) - 48).cast("long"), 57)
-    return F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: one(h).bitwiseOR(F.shiftrightunsigned(h, 7)))
+    Two sets of sizes n and m with a Jaccard of 0.8 differ in at most (n + m) / 9 tokens, and so in no more parts."""
+    most = lambda x, y: F.floor((x + y) / 9).cast("int")
+    larger = lambda x: F.floor(x * 5 / 4).cast("int")
+    one = lambda at, last, other: F.struct(at.alias("level"), (most(last, larger(last)) + SPARE).alias("parts"), (most(n, other) + 1).alias("count"))
+    at = F.col("level")
+    below = one(at - 1, _last(at - 1), _last(at - 1))
+    return [F.when(at >= 0, one(at, _last(at), larger(n))), F.when((at > 0) & (n * 4 <= _last(at - 1) * 5), below)]
 
 
-def prefix_length(n: Column) -> Column:
-    """n - ceil(0.8 n) + 1."""
-    return (n - F.floor((n * 4 + 4) / 5) + 1).cast("int")
+def _signed(lines: DataFrame, name: str, at: Column) -> DataFrame:
+    """Adds the signatures at a level: 32 bits for each of the parts with the most letters; null without a level."""
+    step = F.floor(F.lit(2**59 - 1) / F.col("_at.parts")).cast("long") * 16
+    # a border, a multiple of 16, stands in front of each part but the first, and at the end
+    borders = F.concat(F.sequence(step, step * (F.col("_at.parts") - 1), step), F.array(F.lit(2**63 - 16)))
+    lines = lines.withColumn("_at", at).withColumn("_m", F.when(F.col("_at").isNotNull(), F.sort_array(F.concat("_t", borders))))
+    places = F.transform("_m", lambda t, i: F.when(t.bitwiseAND(F.lit(15)) == 0, i).otherwise(F.lit(-1)))
+    lines = lines.withColumn("_b", F.array_remove(places, -1))
 
+    def one(border: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.get("_b", i - 1) + 1)
+        # letters in the low 12 bits, then sums of hash bits: no sum overflows
+        total = F.aggregate(F.slice("_m", start + 1, border - start), F.lit(0).cast("long"), lambda a, t: a + t.bitwiseAND(F.lit(_SUMMED)))
+        return total
 
-#: The bit of a token's last six bits, and the same for tokens whose seventh bit is 1 only.
-_BITS = [1 << i for i in range(63)] + [-(1 << 63)]
-_HALF = [0] * 64 + _BITS
+    lines = lines.withColumn("_s", F.transform("_b", one))
+    key = lambda x, i: F.shiftleft(4095 - x.bitwiseAND(F.lit(4095)), 51).bitwiseOR(F.xxhash64(x, i, F.col("_at.level")).bitwiseAND(F.lit(2**51 - 1)))
+    lines = lines.withColumn("_k", F.slice(F.sort_array(F.transform("_s", key)), F.lit(1), F.col("_at.count")))
+    return lines.withColumn(name, F.transform("_k", lambda k: (k.bitwiseAND(F.lit(2**32 - 1)) - 2**31).cast("int"))).drop("_at", "_m", "_b", "_s", "_k")
 
 
-def _parities(bits: list[int]) -> Column:
-    own = F.array(*map(F.lit, bits))
-    return F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.get(own, t.bitwiseAND(F.lit(len(bits) - 1)).cast("int"))))
+def _parities(t: Column, half: bool = False) -> Column:
+    """64 parities of the set's tokens, or of those only whose seventh bit is 1."""
+    one = (lambda t: F.shiftright(t, 10).bitwiseAND(F.lit(1))) if half else (lambda t: F.lit(1).cast("long"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one(t), F.shiftright(t, 4).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """(id, dk, no, sid, sid2, n, sig, more, prefix) of each line with a word, with its place and 128 bits for its set.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(id, dk, no, sid, sid2, n, sig, more, tokens) of each line with a word, with its place and 128 bits for its set.
 
-    `sig` has 64 parities of the set's tokens, `more` those of one half of a larger set's tokens, so that
-    `sig` xor `more` has those of the other half; the prefix has the upper half of each token, which keeps the order."""
+    `sig` has 64 parities of the set's words, `more` those of one half of a larger set's words, so that
+    `sig` xor `more` has those of the other half; the tokens are the signatures at one level or two."""
     keyed = docs.select(_id().alias("id"), _key().alias("dk"), F.split(_text(), "\n").alias("_l"))
-    lines = keyed.select("id", "dk", F.posexplode("_l").alias("no", "line"))
-    tokens = F.sort_array(F.array_distinct(_tokens(_words(F.col("line")), table)))
-    lines = lines.select("id", "dk", "no", tokens.alias("_t")).where(F.size("_t") > 0).withColumn("n", F.size("_t"))
-    more = F.when(F.col("n") >= LARGE, _parities(_HALF)).otherwise(F.lit(0).cast("long"))
-    first = F.slice("_t", F.lit(1), F.when(F.col("n") >= LEAST, prefix_length(F.col("n"))).otherwise(F.lit(0)))
-    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), F.xxhash64(F.lit(1), "_t").alias("sid2"), "n", _parities(_BITS).alias("sig"), more.alias("more"), F.transform(first, lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
+    # blank lines go by a test of their own: one of the tokens would be pushed down and compute them twice
+    lines = keyed.select("id", "dk", F.posexplode("_l").alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    token = lambda w: F.shiftrightunsigned(F.xxhash64(w), 1).bitwiseAND(F.lit(-16)).bitwiseOR(F.octet_length(w).bitwiseAND(F.lit(15)).bitwiseOR(F.lit(1)).cast("long"))
+    lines = lines.select("id", "dk", "no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), token))).alias("_t"))
+    lines = lines.select("*", F.size("_t").alias("n"))
+    more = F.when(F.col("n") >= LARGE, _parities(F.col("_t"), half=True)).otherwise(F.lit(0).cast("long"))
+    lines = lines.withColumn("level", _level(F.col("n")))
+    for name, at in zip(("own", "below"), _levels(F.col("n")), strict=True):
+        lines = _signed(lines, name, at)
+    none = F.array().cast("array<int>")
+    tokens = F.concat(F.coalesce("own", none), F.coalesce("below", none))
+    return lines.select("id", "dk", "no", F.xxhash64("_t").alias("sid"), F.xxhash64(F.lit(1), "_t").alias("sid2"), "n", _parities(F.col("_t")).alias("sig"), more.alias("more"), tokens.alias("tokens"))
 
 
 def _apart(x: str, y: str) -> Column:
@@ -112,53 +139,45 @@ def _apart(x: str, y: str) -> Column:
     return F.when((n >= LARGE) & (m >= LARGE), F.bit_count(sig.bitwiseXOR(more)) + F.bit_count(more)).otherwise(F.bit_count(sig))
 
 
-def _fits(x: str, y: str, first: bool = False) -> Column:
-    """Length and positional filters, and the parities; at the sets' `first` common token none is common before."""
+def _fits(x: str, y: str) -> Column:
+    """Length filter and the parities."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    rest = F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at"))
-    if not first:
-        rest = rest + F.least(f"{x}at", f"{y}at")
-    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (rest * 180 >= (n + m) * 80) & (_apart(x, y) * 9 <= n + m)
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (_apart(x, y) * 9 <= n + m)
 
 
-def _postings(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each token of a prefix, with the tokens `before` it."""
-    rows = sets.select("uid", "n", "sig", "more", *more, "prefix", F.posexplode("prefix").alias("at", "token"))
-    return rows.withColumn("prefix", F.slice("prefix", F.lit(1), F.col("at"))).withColumnRenamed("prefix", "before")
+def _postings(sets: DataFrame) -> DataFrame:
+    """(uid, token, rows, n, sig, more, id) of the tokens that more than one set has, in a new table; most tokens stand alone."""
+    every = sets.select("uid", F.explode("tokens").alias("token")).repartition("token")
+    lists = every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = every.join(lists.hint("shuffle_hash"), "token")
+    return materialize(shared.join(sets.select("uid", "n", "sig", "more", "place.id"), "uid"))
 
 
 def _named(df: DataFrame, x: str, *more: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("uid", "n", "sig", "more", "at", *more)])
+    return df.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("uid", "n", "sig", "more", *more)])
 
 
-def _to_neighbours(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with two of some earlier sets in some of its tokens' postings, those whose parities are nearest.
+def _to_neighbours(postings: DataFrame) -> DataFrame:
+    """(a, b): each set in a long list with two of some earlier sets of its lists, those whose parities are nearest.
 
     Each list is dealt over SALTS parts, so that a long one is no single task's."""
-    # by hash, not by rarity: edits put words of their own in front of the rarest common ones
-    chosen = F.slice(F.sort_array(F.transform("prefix", lambda t, i: F.struct(t.bitwiseAND(F.lit(2**25 - 1)).alias("h"), i.alias("at"), t.alias("token")))), 1, TRIED)
-    short = sets.select("uid", "n", "sig", "more", "place.id", F.explode(chosen).alias("c")).select("uid", "n", "sig", "more", "id", "c.at", "c.token")
-    own = F.struct("uid", "n", "sig", "more", "at")
+    own = F.struct("uid", "n", "sig", "more")
     order = Window.partitionBy("token", F.pmod(F.xxhash64("uid"), F.lit(SALTS))).orderBy("id", "uid")
-    short = short.withColumn("x", F.array(F.first(own).over(order), *[F.lag(own, k).over(order) for k in BACK]))
-    met = short.select(*[F.col(c).alias(f"y{c}") for c in ("uid", "n", "sig", "more", "at")], F.explode("x").alias("x"))
-    met = met.select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("uid", "n", "sig", "more", "at")]).where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
+    long = postings.where(F.col("rows") >= LONG).withColumn("x", F.array(F.first(own).over(order), *[F.lag(own, k).over(order) for k in BACK]))
+    met = long.select(*[F.col(c).alias(f"y{c}") for c in ("uid", "n", "sig", "more")], F.explode("x").alias("x"))
+    met = met.select("*", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("uid", "n", "sig", "more")]).where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
     nearest = F.struct(_apart("x", "y") / (F.col("xn") + F.col("yn")), "xuid")
     # the nearest of either half of the sets
     half = [F.min(F.when(F.xxhash64("xuid") % 2 == 0, nearest)).alias("m"), F.min(F.when(F.xxhash64("xuid") % 2 != 0, nearest)).alias("o")]
     return met.groupBy(F.col("yuid").alias("b")).agg(*half).select(F.explode(F.array("m.xuid", "o.xuid")).alias("a"), "b").where(F.col("a").isNotNull())
 
 
-def _to_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """(a, b): the sets not in `gone` with all others of their tokens' postings that pass the filters, at their first common token."""
-    alive = sets.join(sent(gone.withColumn("_gone", F.lit(True))), "uid", "left").withColumn("alive", F.col("_gone").isNull())
-    both = _postings(alive, "alive", "place.id").repartition("token")
-    both = both.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
-    met = _named(both, "x", "id", "alive", "before").join(_named(both.where("alive"), "y", "id", "alive", "before"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y", first=True))
+def _to_all(postings: DataFrame, gone: DataFrame) -> DataFrame:
+    """(a, b): the sets not in `gone` with all earlier ones of their tokens' lists that pass the filters."""
+    both = postings.join(sent(gone.withColumn("_gone", F.lit(True))), "uid", "left").withColumn("alive", F.col("_gone").isNull())
+    met = _named(both, "x", "id", "alive").join(_named(both.where("alive"), "y", "id"), "token").where((F.col("xuid") != F.col("yuid")) & _fits("x", "y"))
     # a later set that is beaten already decides nothing; of two that are not, one order will do
     met = met.where((F.col("xid") < F.col("yid")) | ((F.col("xid") == F.col("yid")) & (~F.col("xalive") | (F.col("xuid") < F.col("yuid")))))
-    # each pair at its first common token only
-    met = met.where(~F.arrays_overlap("xbefore", "ybefore"))
     return met.select(F.least("xuid", "yuid").alias("a"), F.greatest("xuid", "yuid").alias("b")).distinct()
 
 
@@ -187,13 +206,15 @@ def _beaten(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(id, dk, no): the lines that match an earlier one, in a new table."""
-    own = materialize(lines_of(docs, rarity(docs)))
+    own = materialize(lines_of(docs))
     place = F.struct("id", "dk", "no")
-    sets = own.groupBy("sid", "sid2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "sig", "more", "prefix")])
+    sets = own.groupBy("sid", "sid2").agg(F.min(place).alias("place"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "sig", "more", "tokens")])
     # numbers of the rows as written are shorter in the shuffles than hashes
     sets = materialize(sets.withColumn("uid", F.monotonically_increasing_id()))
-    near = _beaten(_to_neighbours(sets), sets, docs)
-    gone = materialize(near.union(_beaten(_to_all(sets, near), sets, docs)).distinct())
+    postings = _postings(sets)
+    near = _beaten(_to_neighbours(postings), sets, docs)
+    gone = materialize(near.union(_beaten(_to_all(postings, near), sets, docs)).distinct())
+    drop_table(postings)
     state = sets.select("uid", "sid", "sid2", "lines", F.col("place").alias("first")).join(sent(gone.withColumn("beaten", F.lit(True))), "uid", "left")
     state = materialize(state.where("lines > 1 OR beaten").select("sid", "sid2", "first", "beaten"))
     lines = own.select(place.alias("place"), "sid", "sid2").join(sent(state), ["sid", "sid2"])

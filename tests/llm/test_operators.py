@@ -93,6 +93,26 @@ def test_line_dedup_needs_an_earlier_match_itself(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(_docs(spark, rows)).collect()} == {1: 0, 2: 0, 3: 1}
 
 
+def test_line_dedup_across_levels(spark):
+    # sizes on both sides of each level's border, at the last Jaccard that matches and the first that doesn't
+    random.seed(5)
+    rows, want = [], {}
+    for k, (n, m) in enumerate([(4, 5), (7, 8), (8, 8), (13, 16), (15, 17), (28, 33), (31, 32), (52, 65), (63, 72), (104, 130), (127, 128), (250, 260)] * 2):
+        most = 4 * (n + m) // 9 + (4 * (n + m) % 9 > 0) - (k >= 12)
+        words = [f"x{k}y{i}" + "z" * random.randint(0, 9) for i in range(n + m - most)]
+        rows += [(2 * k, " ".join(words[:n]), "s"), (2 * k + 1, " ".join(words[n - most :]), "s")]
+        a, b = (_line_words(t) for _, t, _ in rows[-2:])
+        assert (len(a), len(b)) == (n, m)
+        want |= {2 * k: 0, 2 * k + 1: int(100 * len(a & b) >= 80 * len(a | b))}
+    assert sum(want.values()) == 12
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(_docs(spark, rows)).collect()} == want
+
+
+def test_line_dedup_takes_each_line_apart_once(spark):
+    lines = line_dedup.lines_of(_docs(spark, [(1, "one two", "s")]))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+
+
 def test_pipeline_drops_short_repeats(spark):
     import corpus_pipeline
 
