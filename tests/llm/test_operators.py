@@ -113,6 +113,15 @@ def test_line_dedup_takes_each_line_apart_once(spark):
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
 
 
+def test_pipeline_takes_each_line_apart_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    plans, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    corpus_pipeline.lines(spark, _docs(spark, [(1, "one two", "s")]), "")
+    assert plans[0].count("array_distinct") == 1
+
+
 def test_pipeline_drops_short_repeats(spark):
     import corpus_pipeline
 
